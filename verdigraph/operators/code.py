@@ -145,6 +145,11 @@ def called_names(callee: Column) -> Column:
 
 
 def variables(ids: DataFrame, calls: DataFrame) -> DataFrame:
-    """Names of a function that none of its calls takes out."""
-    taken = distinct_calls(calls).select("idx", F.explode(called_names(F.col("callee"))).alias("text")).distinct()
-    return ids.join(taken, ["idx", "text"], "left_anti")
+    """Names of a function that none of its calls takes out.
+
+    Both sides shrink to one row a function before they meet, on the partitioning they already have.
+    """
+    mine = ids.groupBy("idx").agg(F.collect_set("text").alias("_ids"))
+    theirs = calls.groupBy("idx").agg(F.collect_set("callee").alias("_callees"))
+    taken = F.flatten(F.transform(F.coalesce("_callees", F.array().cast("array<string>")), called_names))
+    return mine.join(theirs, "idx", "left").select("idx", F.explode(F.array_except("_ids", taken)).alias("text"))
