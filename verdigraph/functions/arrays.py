@@ -30,6 +30,11 @@ def _ids(*values: int) -> Column:
     return F.array(*[F.lit(v).cast("bigint") for v in values])
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, for bodies that read it inside a lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
 def pad_to(ids: Column, width: int, fill: int) -> Column:
     """Right-pad; an array that is already long enough is left alone."""
     missing = F.greatest(F.lit(width) - F.size(ids), F.lit(0))
@@ -45,10 +50,17 @@ def lay_out(ids: Column, block: int, layout: str, special: SpecialIds) -> Column
 
 def keep_last_eos(ids: Column, eos: int = EOS_ID, fill: int = EOS_FILL, width: int = EOS_WIDTH) -> Column:
     """When the EOS id occurs more than once only its last place stays, then pad to ``width``."""
-    count = F.size(F.filter(ids, lambda x: x == eos))
-    last = F.size(ids) - F.array_position(F.reverse(ids), F.lit(eos).cast("bigint"))
-    single = F.filter(ids, lambda x, i: (x != eos) | (i == last))
-    return F.when(count > 1, pad_to(single, width, fill)).otherwise(ids)
+
+    def shorten(found: Column) -> Column:
+        single = F.filter(found["ids"], lambda x, i: (x != eos) | (i == found["last"]))
+        return F.when(found["count"] > 1, pad_to(single, width, fill)).otherwise(found["ids"])
+
+    def locate(x: Column) -> Column:
+        last = F.size(x) - F.array_position(F.reverse(x), F.lit(eos).cast("bigint"))
+        count = F.size(F.filter(x, lambda item: item == eos))
+        return F.struct(x.alias("ids"), last.alias("last"), count.alias("count"))
+
+    return let(let(ids, locate), shorten)
 
 
 def attention_mask(ids: Column, pad: int) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigraph.functions import c_words as fixed
-from verdigraph.functions.text import NOT_SPACE, strip_comments
+from verdigraph.functions.text import NOT_SPACE, SPACE, strip_comments
 
 # Java form of the token pattern: possessive quantifiers keep long literals off the stack.
 TOKEN = (
@@ -35,65 +35,74 @@ def token_kind(text: Column) -> Column:
     )
 
 
-def tokens(df: DataFrame, text: str = "func") -> DataFrame:
-    """idx, pos, text, kind: tokens in source order; literals whole, comments gone."""
-    spread = df.select("idx", F.col(text).alias("_source")).repartition("idx")
-    found = F.regexp_extract_all(strip_comments("_source"), F.lit(TOKEN), F.lit(0))
-    rows = spread.select("idx", F.posexplode(found).alias("pos", "text"))
-    return rows.withColumn("kind", token_kind(F.col("text")))
+# As above with a member chain (a->b.c) as one token.
+CHAIN_TOKEN = TOKEN.replace(
+    f"|{fixed.NAME}|", f"|{fixed.NAME}(?:{SPACE}*(?:->|\\.){SPACE}*{fixed.NAME})*+|", 1
+)
+
+
+# Text up to the next ; { or } outside literals.
+STATEMENT = r"""(?s)(?:[^;{}"']++|"(?:[^\\"]++|\\.)*+"|'(?:[^\\']++|\\.)*+'|["'])++[;{}]?+|[;{}]"""
+
+
+def by_function(df: DataFrame, text: str = "func") -> DataFrame:
+    """idx and comment-free source, spread by idx.
+
+    The number of partitions is stated: left open, adaptive execution would size them by the compact
+    text and merge most of them, although tokens and edges are many times larger.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = df.select("idx", F.col(text).alias("_raw")).repartition(parts, "idx")
+    return spread.select("idx", strip_comments("_raw").alias("_source"))
+
 
+def split_tokens(source: Column, chains: bool = False) -> Column:
+    """Token texts of a source as an array; ``chains`` takes names joined by ``.`` or ``->`` as one."""
+    return F.regexp_extract_all(source, F.lit(CHAIN_TOKEN if chains else TOKEN), F.lit(0))
 
-def _in_text() -> Window:
-    return Window.partitionBy("idx").orderBy("pos")
+
+def tokens(df: DataFrame, text: str = "func", chains: bool = False) -> DataFrame:
+    """idx, pos, text, kind, before, next: tokens in source order with their neighbours' texts.
+
+    Literals stay whole, comments are gone. Neighbours are read off the array before it is unrolled,
+    so looking one token ahead or back needs no window.
+    """
+    listed = by_function(df, text).select("idx", split_tokens(F.col("_source"), chains).alias("_l"))
+    near = F.transform(
+        "_l",
+        lambda x, i: F.struct(
+            x.alias("text"),
+            F.when(i > 0, F.get("_l", i - 1)).otherwise(F.lit("")).alias("before"),
+            F.coalesce(F.get("_l", i + 1), F.lit("")).alias("next"),
+        ),
+    )
+    rows = listed.select("idx", F.posexplode(near).alias("pos", "_t")).select("idx", "pos", "_t.*")
+    if chains:
+        name = F.col("text").rlike("^[A-Za-z_]")
+        rows = rows.withColumn("text", F.when(name, F.regexp_replace("text", SPACE, "")).otherwise(F.col("text")))
+    return rows.select("idx", "pos", "text", token_kind(F.col("text")).alias("kind"), "before", "next")
 
 
 def identifiers(toks: DataFrame) -> DataFrame:
     """Distinct names per function, members after ``.`` or ``->`` left out."""
-    before = F.coalesce(F.lag("text").over(_in_text()), F.lit(""))
-    seen = toks.select("idx", "text", "kind", before.alias("_before"))
-    return seen.where((F.col("kind") == "ident") & ~F.col("_before").isin(*fixed.MEMBER)).select("idx", "text").distinct()
+    names = toks.where((F.col("kind") == "ident") & ~F.col("before").isin(*fixed.MEMBER))
+    return names.select("idx", "text").distinct()
 
 
-def call_sites(toks: DataFrame) -> DataFrame:
-    """idx, ord, callee in source order; ``a->b`` and ``a.b`` kept, repeats kept.
+def call_sites(df: DataFrame, text: str = "func") -> DataFrame:
+    """idx, ord, callee in source order; member chains ``a->b`` and ``a.b`` kept, repeats kept.
 
     A call is a name before ``(`` inside a body; a name right after another name or a type declares.
-    A member chain that does not start at a name (``f(x)->g``) keeps its last name only.
+    A chain that does not start at a name (``f(x)->g``) keeps what follows that start. Only braces and
+    names before ``(`` enter the window that counts depth.
     """
-    w = _in_text()
-    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    text = F.col("text")
-    marked = toks.withColumns(
-        {
-            "_next": F.lead("text").over(w),
-            "_before": F.coalesce(F.lag("text").over(w), F.lit("")),
-            "_before_kind": F.coalesce(F.lag("kind").over(w), F.lit("op")),
-            "_depth": F.sum(F.when(text == "{", 1).when(text == "}", -1).otherwise(0)).over(so_far),
-        }
-    )
-    joins = text.isin(*fixed.MEMBER) | F.col("_before").isin(*fixed.MEMBER)
-    marked = marked.withColumn("_starts", (~joins).cast("int"))
-    chained = marked.withColumn("_chain", F.sum("_starts").over(so_far))
-    chain = Window.partitionBy("idx", "_chain").orderBy("pos")
-    chained = chained.withColumns(
-        {
-            "_parts": F.collect_list("text").over(chain.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-            "_head": F.first("kind").over(chain.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-            "_head_before": F.first("_before_kind").over(chain.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-        }
-    )
-    is_call = (
-        (F.col("kind") == "ident")
-        & (F.col("_next") == "(")
-        & (F.col("_depth") > 0)
-        & ~F.col("_head_before").isin("ident", "type")
-    )
-    calls = chained.where(is_call).select(
-        "idx",
-        "pos",
-        F.when(F.col("_head") == "ident", F.array_join("_parts", "")).otherwise(text).alias("callee"),
-    )
-    return calls.select("idx", F.row_number().over(_in_text()).alias("ord"), "callee")
+    named = (F.col("kind") == "ident") & (F.col("next") == "(")
+    seen = tokens(df, text, chains=True).where(named | F.col("text").isin("{", "}"))
+    w = Window.partitionBy("idx").orderBy("pos")
+    brace = F.when(F.col("text") == "{", 1).when(F.col("text") == "}", -1).otherwise(0)
+    deep = seen.withColumn("_depth", F.sum(brace).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    calls = deep.where(named & (F.col("_depth") > 0) & ~token_kind(F.col("before")).isin("ident", "type"))
+    return calls.select("idx", F.row_number().over(w).alias("ord"), F.col("text").alias("callee"))
 
 
 def distinct_calls(calls: DataFrame) -> DataFrame:

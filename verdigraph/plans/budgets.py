@@ -153,7 +153,8 @@ def p9(t):
   unnest(d.l) WITH ORDINALITY AS u(w, i)) a) b""",
 )
 def p10(t):
-    spread = t.documents.select(F.col("doc_id").alias("idx"), "text").repartition("idx")
+    parts = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = t.documents.select(F.col("doc_id").alias("idx"), "text").repartition(parts, "idx")
     toks = spread.select("idx", F.posexplode(text.words("text")).alias("pos", "w"))
     return C.subtoken_spans(toks.select("idx", "pos", F.ceil(F.length("w") / 4).alias("n")))
 

@@ -8,15 +8,27 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Tables whose queries spend their time on each row's text rather than on shuffles.
+TEXT_TABLES = ("documents", "pages", "part")
+
+
 class Tables:
-    """``tables.documents`` is the documents table of one data folder."""
+    """``tables.documents`` is the documents table of one data folder.
+
+    A text table stored in fewer files than there are cores is spread once on reading, because one
+    file's rows may all sit in a single row group, and so in one task. With enough files this adds nothing.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        if name in TEXT_TABLES and len(table.inputFiles()) < cores:
+            return table.repartition(cores)
+        return table
 
 
 @dataclass(frozen=True)

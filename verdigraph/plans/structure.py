@@ -21,7 +21,11 @@ def toks(t):
 
 @query("g1_tokens", f"WITH {TOKS} SELECT idx, pos, text, kind FROM toks")
 def g1(t):
-    return toks(t)
+    return toks(t).select("idx", "pos", "text", "kind")
+
+
+def calls(t):
+    return C.call_sites(code_corpus(t))
 
 
 IDS = f"""ids AS (SELECT DISTINCT idx, text FROM (SELECT *, coalesce(lag(text) OVER (PARTITION BY idx ORDER BY pos), '') AS before FROM toks) x
@@ -45,12 +49,12 @@ CALLS = f"""near AS (SELECT *, lead(text) OVER w AS nxt, coalesce(lag(text) OVER
 
 @query("g3_call_sites", f"WITH {TOKS}, {CALLS} SELECT idx, CAST(ord AS INTEGER) AS ord, callee FROM calls")
 def g3(t):
-    return C.call_sites(toks(t))
+    return calls(t)
 
 
 @query("g3_distinct_calls", f"WITH {TOKS}, {CALLS} SELECT DISTINCT idx, callee FROM calls")
 def g3_distinct(t):
-    return C.distinct_calls(C.call_sites(toks(t)))
+    return C.distinct_calls(calls(t))
 
 
 @query(
@@ -60,7 +64,7 @@ def g3_distinct(t):
  FROM (SELECT *, count(*) OVER (PARTITION BY idx) AS n FROM calls) c GROUP BY idx""",
 )
 def g4(t):
-    return C.call_sentence(C.call_sites(toks(t)))
+    return C.call_sentence(calls(t))
 
 
 VARS = """vars AS (SELECT i.idx, i.text FROM ids i WHERE NOT EXISTS (SELECT 1 FROM calls c WHERE c.idx = i.idx AND (
@@ -70,8 +74,7 @@ VARS = """vars AS (SELECT i.idx, i.text FROM ids i WHERE NOT EXISTS (SELECT 1 FR
 
 @query("g5_variables", f"WITH {TOKS}, {IDS}, {CALLS}, {VARS} SELECT idx, text FROM vars")
 def g5(t):
-    rows = toks(t)
-    return C.variables(C.identifiers(rows), C.call_sites(rows))
+    return C.variables(C.identifiers(toks(t)), calls(t))
 
 
 VALUE_KINDS = S.in_list(G.VALUE_KINDS)
@@ -111,7 +114,7 @@ EDGES = f"""a1 AS (SELECT *, coalesce(lag(text) OVER w, '') AS bf, coalesce(lead
 
 
 def edges(t):
-    return G.def_use(toks(t))
+    return G.def_use(code_corpus(t))
 
 
 def listed(df):
@@ -234,8 +237,8 @@ def _nth(c: str) -> str:
 )
 def g12(t):
     rows = toks(t)
-    names = C.variables(C.identifiers(rows), C.call_sites(rows))
-    return G.flow_sentences(G.align_deps(G.reindex_edges(G.prune_edges(G.def_use(rows)))), names)
+    names = C.variables(C.identifiers(rows), calls(t))
+    return G.flow_sentences(G.align_deps(G.reindex_edges(G.prune_edges(G.def_use(code_corpus(t))))), names)
 
 
 # Four characters of a token make a subtoken; nodes follow the code and its two markers.
@@ -253,6 +256,6 @@ def g13(t):
     rows = toks(t)
     spans = subtoken_spans(rows.select("idx", "pos", F.ceil(F.length("text") / 4).alias("n")))
     spans = spans.withColumn("node_index", F.max("end").over(Window.partitionBy("idx")) + 1)
-    laid = G.reindex_edges(G.prune_edges(G.def_use(rows))).join(spans, ["idx", "pos"])
+    laid = G.reindex_edges(G.prune_edges(G.def_use(code_corpus(t)))).join(spans, ["idx", "pos"])
     laid = laid.withColumn("length", F.col("node_index") + 12)
     return G.attention_links(laid)
