@@ -89,6 +89,17 @@ def identifiers(toks: DataFrame) -> DataFrame:
     return names.select("idx", "text").distinct()
 
 
+def _with_depth(chained: DataFrame) -> DataFrame:
+    so_far = Window.partitionBy("idx").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    brace = F.when(F.col("text") == "{", 1).when(F.col("text") == "}", -1).otherwise(0)
+    return chained.withColumn("_depth", F.sum(brace).over(so_far))
+
+
+def _is_call() -> Column:
+    declares = token_kind(F.col("before")).isin("ident", "type")
+    return (F.col("kind") == "ident") & (F.col("next") == "(") & (F.col("_depth") > 0) & ~declares
+
+
 def call_sites(df: DataFrame, text: str = "func") -> DataFrame:
     """idx, ord, callee in source order; member chains ``a->b`` and ``a.b`` kept, repeats kept.
 
@@ -97,12 +108,9 @@ def call_sites(df: DataFrame, text: str = "func") -> DataFrame:
     names before ``(`` enter the window that counts depth.
     """
     named = (F.col("kind") == "ident") & (F.col("next") == "(")
-    seen = tokens(df, text, chains=True).where(named | F.col("text").isin("{", "}"))
-    w = Window.partitionBy("idx").orderBy("pos")
-    brace = F.when(F.col("text") == "{", 1).when(F.col("text") == "}", -1).otherwise(0)
-    deep = seen.withColumn("_depth", F.sum(brace).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    calls = deep.where(named & (F.col("_depth") > 0) & ~token_kind(F.col("before")).isin("ident", "type"))
-    return calls.select("idx", F.row_number().over(w).alias("ord"), F.col("text").alias("callee"))
+    seen = _with_depth(tokens(df, text, chains=True).where(named | F.col("text").isin("{", "}")))
+    ordered = Window.partitionBy("idx").orderBy("pos")
+    return seen.where(_is_call()).select("idx", F.row_number().over(ordered).alias("ord"), F.col("text").alias("callee"))
 
 
 def distinct_calls(calls: DataFrame) -> DataFrame:
@@ -154,11 +162,30 @@ def called_names(callee: Column) -> Column:
 
 
 def variables(ids: DataFrame, calls: DataFrame) -> DataFrame:
-    """Names of a function that none of its calls takes out.
+    """Names of a function that none of its calls takes out, from two tables.
+
+    Both shrink to distinct names per function before they meet in one aggregate.
+    """
+    none = F.lit(None).cast("string")
+    both = ids.select("idx", F.col("text").alias("_id"), none.alias("_callee")).unionByName(
+        calls.select("idx", none.alias("_id"), F.col("callee").alias("_callee"))
+    )
+    return _untaken(both.groupBy("idx").agg(F.collect_set("_id").alias("_ids"), F.collect_set("_callee").alias("_callees")))
+
+
+def _untaken(named: DataFrame) -> DataFrame:
+    taken = F.flatten(F.transform("_callees", called_names))
+    return named.select("idx", F.explode(F.array_except("_ids", taken)).alias("text"))
 
-    Both sides shrink to one row a function before they meet, on the partitioning they already have.
+
+def function_variables(df: DataFrame, text: str = "func") -> DataFrame:
+    """As :func:`variables`, straight from source: names and calls of one pass over glued chains.
+
+    A chain's first name is an identifier unless it follows a member operator; the rest are members.
     """
-    mine = ids.groupBy("idx").agg(F.collect_set("text").alias("_ids"))
-    theirs = calls.groupBy("idx").agg(F.collect_set("callee").alias("_callees"))
-    taken = F.flatten(F.transform(F.coalesce("_callees", F.array().cast("array<string>")), called_names))
-    return mine.join(theirs, "idx", "left").select("idx", F.explode(F.array_except("_ids", taken)).alias("text"))
+    seen = _with_depth(tokens(df, text, chains=True).where((F.col("kind") == "ident") | F.col("text").isin("{", "}")))
+    name = F.when((F.col("kind") == "ident") & ~F.col("before").isin(*fixed.MEMBER), F.regexp_extract("text", fixed.NAME, 0))
+    named = seen.groupBy("idx").agg(
+        F.collect_set(name).alias("_ids"), F.collect_set(F.when(_is_call(), F.col("text"))).alias("_callees")
+    )
+    return _untaken(named)

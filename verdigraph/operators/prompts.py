@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from verdigraph.functions import prompt_text as fixed
 from verdigraph.functions.text import collapse_ws
 from verdigraph.operators.corpus import RESERVE_HOSTED, RESERVE_LOCAL, fit_budget
-from verdigraph.operators.scale import join_small
+from verdigraph.operators.scale import is_small, join_small
 
 
 def answer_text(target: Column) -> Column:
@@ -112,9 +112,10 @@ def few_shot(df: DataFrame, shots: DataFrame, n: int, seed: int | None = None, n
     blocks = pair_blocks(shots)
     pool = n_pairs if n_pairs is not None else blocks.count()
     drawn = sample_pairs(out, pool, n, seed)
+    small = is_small(blocks)
     for k in range(n):
         named = blocks.select(F.col("pair_id").alias("_pick"), F.col("block").alias(f"_block{k}"))
-        drawn = join_small(drawn.withColumn("_pick", F.col("picks")[k]), named, ["_pick"], "left", spread_by=["idx"]).drop("_pick")
+        drawn = join_small(drawn.withColumn("_pick", F.col("picks")[k]), named, ["_pick"], "left", ["idx"], known_small=small).drop("_pick")
     user = F.concat(*[F.col(f"_block{k}") for k in range(n)], question)
     return drawn.withColumn("user", user).drop("picks", *[f"_block{k}" for k in range(n)])
 

@@ -32,14 +32,12 @@ def cut_after_failures(
     ``pos`` numbers the attempts of a run densely from 0. A cut is handed to every block of its run
     (one row a block), so attempts meet it on (run, block) and a huge run stays spread out.
     """
-    keys = list(keys)
-    cuts = full_runs(attempts, keys, pos, F.col(failed), n, block_rows).groupBy(*keys).agg(F.min(pos).alias("_cut"))
     block = F.floor(F.col(pos) / F.lit(block_rows))
-    ends = attempts.groupBy(*keys).agg(F.max(pos).alias("_last")).join(cuts, keys)
-    per_block = ends.select(
-        *keys, "_cut", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("_last") / F.lit(block_rows)))).alias("_block")
-    )
-    kept = attempts.where(~F.col(failed)).withColumn("_block", block).join(per_block, [*keys, "_block"], "left")
+    placed = attempts.withColumn("_run", F.struct(*keys) if keys else F.struct(F.lit(0)))
+    cuts = full_runs(placed, ["_run"], pos, F.col(failed), n, block_rows).groupBy("_run").agg(F.min(pos).alias("_cut"))
+    ends = placed.groupBy("_run").agg(F.max(block).alias("_last")).join(cuts, "_run")
+    per_block = ends.select("_run", "_cut", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_last"))).alias("_block"))
+    kept = placed.where(~F.col(failed)).withColumn("_block", block).join(per_block, ["_run", "_block"], "left")
     return kept.where(F.col("_cut").isNull() | (F.col(pos) < F.col("_cut"))).select(*attempts.columns)
 
 

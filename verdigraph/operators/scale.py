@@ -20,18 +20,18 @@ SMALL_BYTES = 64 << 20
 SALTS = 64
 
 
-def _same(left: str, right: str, keys: Sequence[str]) -> Column:
-    out = F.lit(True)
-    for key in keys:
-        out = out & F.col(f"{left}.{key}").eqNullSafe(F.col(f"{right}.{key}"))
-    return out
+def _keyed(df: DataFrame, keys: Sequence[str], part: str) -> DataFrame:
+    """Add ``_key``, one struct of the keys and a part: grouping, windows and joins on it share a
+    partitioning, and unlike bare columns a null key meets itself."""
+    return df.withColumn("_key", F.struct(*keys, part))
 
 
 def rank_rows(df: DataFrame, order: Sequence[str], keys: Sequence[str] = (), name: str = "pos") -> DataFrame:
     """Exact 0-based position of each row within ``keys``, ordered by ``order`` (a total order).
 
     Rows are range-partitioned on (keys, order), so a hot key spreads over many partitions. The
-    checkpoint pins every row to its partition; per (key, partition) counts then give the offset.
+    checkpoint pins every row to its partition; per (key, partition) counts then give the offset. There
+    are at most as many of those as keys and partitions together; they are broadcast if that is little.
     """
     by = [*keys, *order]
     placed = cut_lineage(
@@ -40,12 +40,15 @@ def rank_rows(df: DataFrame, order: Sequence[str], keys: Sequence[str] = (), nam
         .withColumn("_row", F.monotonically_increasing_id())
         .withColumn("_part", F.spark_partition_id())
     )
-    group = [*keys, "_part"]
-    counts = placed.groupBy(*group).agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = counts.select(*group, (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
-    joined = placed.alias("a").join(shifts.alias("b"), _same("a", "b", group))
-    return joined.select(*[F.col(f"a.{c}") for c in df.columns], (F.col("_row") + F.col("_shift")).alias(name))
+    placed = _keyed(placed, keys, "_part")
+    counts = placed.groupBy("_key").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = (
+        Window.partitionBy(*[F.col(f"_key.{k}") for k in keys]).orderBy("_key._part").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    shifts = counts.select("_key", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
+    if is_small(shifts):
+        shifts = F.broadcast(shifts)
+    return placed.join(shifts, "_key").select(*df.columns, (F.col("_row") + F.col("_shift")).alias(name))
 
 
 def running(
@@ -59,25 +62,27 @@ def running(
 ) -> DataFrame:
     """Running sums and maxima within ``keys`` along the integer position ``pos``.
 
-    ``include_row=False`` gives the value just before the row (null at the start).
+    ``include_row=False`` gives the value just before the row (null at the start). The rows are shuffled
+    once, by (key, block); the carries, one row a block, come to them.
     """
     folds = {n: (F.sum, e) for n, e in (sums or {}).items()}
     folds.update({n: (F.max, e) for n, e in (maxima or {}).items()})
-    blocked = df.withColumn("_block", F.floor(F.col(pos) / F.lit(block_rows)))
-    for name, (_, expr) in folds.items():
-        blocked = blocked.withColumn(f"_v_{name}", expr)
-    group = [*keys, "_block"]
-    totals = blocked.groupBy(*group).agg(*[fold(f"_v_{n}").alias(f"_t_{n}") for n, (fold, _) in folds.items()])
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(*group, *[fold(f"_t_{n}").over(before).alias(f"_c_{n}") for n, (fold, _) in folds.items()])
+    blocked = df.withColumns(
+        {"_block": F.floor(F.col(pos) / F.lit(block_rows)), **{f"_v_{n}": e for n, (_, e) in folds.items()}}
+    )
+    blocked = _keyed(blocked, keys, "_block")
+    totals = blocked.groupBy("_key").agg(*[fold(f"_v_{n}").alias(f"_t_{n}") for n, (fold, _) in folds.items()])
+    before = (
+        Window.partitionBy(*[F.col(f"_key.{k}") for k in keys]).orderBy("_key._block").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    carry = totals.select("_key", *[fold(f"_t_{n}").over(before).alias(f"_c_{n}") for n, (fold, _) in folds.items()])
     inside = (
-        Window.partitionBy(*group)
+        Window.partitionBy("_key")
         .orderBy(pos)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow if include_row else -1)
     )
     local = blocked.select("*", *[fold(f"_v_{n}").over(inside).alias(f"_w_{n}") for n, (fold, _) in folds.items()])
-    joined = local.alias("a").join(carry.alias("b"), _same("a", "b", group))
-    out = [F.col(f"a.{c}") for c in df.columns]
+    out = [F.col(c) for c in df.columns]
     for name, (fold, _) in folds.items():
         here, past = F.col(f"_w_{name}"), F.col(f"_c_{name}")
         if fold is F.max:
@@ -87,7 +92,7 @@ def running(
                 F.coalesce(here, F.lit(0)) + F.coalesce(past, F.lit(0))
             )
         out.append(both.alias(name))
-    return joined.select(*out)
+    return local.join(carry, "_key").select(*out)
 
 
 def full_runs(df: DataFrame, keys: Sequence[str], pos: str, flag: Column, n: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -124,14 +129,15 @@ def join_small(
     how: str = "left",
     spread_by: Sequence[str] = (),
     max_rows: int = SMALL_ROWS,
+    known_small: bool | None = None,
 ) -> DataFrame:
     """Join with a table that is broadcast only after its size was checked.
 
     Beyond the bound the join shuffles, the big side salted over ``spread_by`` so that a frequent
-    join key does not land in one task.
+    join key does not land in one task. ``known_small`` passes on the answer of an earlier check.
     """
     on = list(on)
-    if is_small(small, max_rows):
+    if is_small(small, max_rows) if known_small is None else known_small:
         return big.join(F.broadcast(small), on, how)
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in (spread_by or big.columns)]), F.lit(SALTS)).cast("int")
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -74,6 +74,11 @@ VARS = """vars AS (SELECT i.idx, i.text FROM ids i WHERE NOT EXISTS (SELECT 1 FR
 
 @query("g5_variables", f"WITH {TOKS}, {IDS}, {CALLS}, {VARS} SELECT idx, text FROM vars")
 def g5(t):
+    return C.function_variables(code_corpus(t))
+
+
+@query("g5_variables_of_tables", f"WITH {TOKS}, {IDS}, {CALLS}, {VARS} SELECT idx, text FROM vars")
+def g5_tables(t):
     return C.variables(C.identifiers(toks(t)), calls(t))
 
 
@@ -236,8 +241,7 @@ def _nth(c: str) -> str:
  FROM occ o JOIN vars v ON v.idx = o.idx AND v.text = o.var JOIN occ d ON d.idx = o.idx AND d.node = o.dep_node GROUP BY o.idx""",
 )
 def g12(t):
-    rows = toks(t)
-    names = C.variables(C.identifiers(rows), calls(t))
+    names = C.function_variables(code_corpus(t))
     return G.flow_sentences(G.align_deps(G.reindex_edges(G.prune_edges(G.def_use(code_corpus(t))))), names)
 
 
