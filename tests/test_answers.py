@@ -33,7 +33,7 @@ def to_python(pattern):
 
 def model_rules(text):
     def hit(rule):
-        _, pattern, voids = rule
+        _, pattern, voids, _ = rule
         lead = r"[^.;,\n]*" if rule[0] == "yes" else ""
         for m in to_python(lead + pattern).finditer(text):
             if not any(re.search(v, m.group(0)) for v in voids):

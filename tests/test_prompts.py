@@ -120,3 +120,10 @@ def test_graph_budget(spark):
 def test_merge_turns(spark):
     rows = spark.createDataFrame([([("user", "a"), ("assistant", "b"), ("user", "c")],)], "t array<struct<role string, content string>>")
     assert rows.select(P.merge_turns(F.col("t"))).first()[0] == "a\n\nb\n\nc"
+
+
+def test_with_context(spark):
+    rows = spark.createDataFrame([(1, "api_call"), (1, "data_flow"), (2, "api_call"), (3, "None")], "idx bigint, kind string")
+    contexts = spark.createDataFrame([(1, "api_call", "A"), (1, "data_flow", "D"), (3, "api_call", "B")], "idx bigint, kind string, text string")
+    got = P.with_context(rows, contexts, F.col("kind")).collect()
+    assert sorted((r["idx"], r["kind"], r["context"]) for r in got) == [(1, "api_call", "A"), (1, "data_flow", "D"), (2, "api_call", ""), (3, "None", "")]

@@ -1,7 +1,9 @@
 """Fixed values of answer reading: word lists, patterns and markers, in Java regex syntax.
 
 ``(?U)`` makes word boundaries Unicode-aware and ``(?d)`` lets ``$`` see only a newline.
-A rule is (name, pattern, patterns that void a single match of it).
+A rule is (name, pattern, patterns that void a single match of it, needs). A text with none of the
+needs cannot match the pattern, and finding that out by plain search is far cheaper than the pattern;
+``END`` marks a need that must end the text.
 """
 
 from __future__ import annotations
@@ -39,13 +41,21 @@ CANNOT_TELL = (
 LOOKS_SOUND = r"appears to be[^.;\n,]+" + SOUND_ADJECTIVE
 ECHOED_QUESTION = r"please answer yes or no"
 
+END = "\x00"
+STEMS = (
+    "bug", "cwe", "issue", "flaw", "vulnerab", "overflow", "leak", "race", "after", "segmentation", "behavior", "crash",
+)
+ADJECTIVES = (
+    "correct", "fine", "bug-free", "well-", "valid", "functioning as intended", "safe", "secure", "straightforward",
+)
+
 # The start of a sentence's match. Anchoring it to a sentence start, or to where the last match ended,
 # finds the same matches as an open prefix would, without trying every character as a start.
 LEAD = r"(?:\G|(?<![^.;,\n]))[^.;,\n]*"
 
 # Rules for "vulnerable", then for "not vulnerable", then the late ones.
 VULNERABLE_RULES = (
-    ("yes", r"\byes(, |\.|\n|$)", ()),
+    ("yes", r"\byes(, |\.|\n|$)", (), ("yes, ", "yes.", "yes\n", "yes" + END)),
     (
         "has_weakness",
         LEAD + r"\b(contains(?! (no|none|the function))"
@@ -53,6 +63,7 @@ VULNERABLE_RULES = (
         r"|will result in|point out|has|does have|which is a(?! (good practice))"
         r"|(?<!(if) )there is(?! (no|none))|(?<!(if) )there are(?! (no|none)))\b[^.;,\n]+" + WEAKNESS,
         (DENIES_WEAKNESS, CANNOT_TELL),
+        STEMS,
     ),
     (
         "is_weak",
@@ -61,28 +72,30 @@ VULNERABLE_RULES = (
         + r"))\b[^.;\n,]+"
         + WEAK_ADJECTIVE,
         (LOOKS_SOUND, DENIES_STATE, CANNOT_TELL),
+        ("buggy", "vulnerable"),
     ),
-    ("can_be_exploited", r"\bcan be (exploited|fixed)\b", ()),
-    ("will_not_free", r"will not[^.;\n,]+(free)[^.;\n,]+memory", ()),
-    ("not_cleaned_up", r"memory[^.;\n,]+will not[^.;\n,]+(cleaned up)", ()),
-    ("will_fail", r"(function|code|snippet|`) will fail", ()),
-    ("answer_yes", r"answer: yes", ()),
+    ("can_be_exploited", r"\bcan be (exploited|fixed)\b", (), ("can be exploited", "can be fixed")),
+    ("will_not_free", r"will not[^.;\n,]+(free)[^.;\n,]+memory", (), ("will not",)),
+    ("not_cleaned_up", r"memory[^.;\n,]+will not[^.;\n,]+(cleaned up)", (), ("cleaned up",)),
+    ("will_fail", r"(function|code|snippet|`) will fail", (), ("will fail",)),
+    ("answer_yes", r"answer: yes", (), ("answer: yes",)),
 )
 SOUND_RULES = (
-    ("no", LEAD + r"\bno(, |\.|\n|$)", (ECHOED_QUESTION,)),
-    ("is_sound", r"\b(appears to be|is) " + SOUND_ADJECTIVE, ()),
+    ("no", LEAD + r"\bno(, |\.|\n|$)", (ECHOED_QUESTION,), ("no, ", "no.", "no\n", "no" + END)),
+    ("is_sound", r"\b(appears to be|is) " + SOUND_ADJECTIVE, (), ADJECTIVES),
     (
         "lacks_weakness",
         r"\b(does not|do not|don't|doesn't|has no|is not(?! possible to determine)"
         r"|isn't(?! possible to determine)|there are no|contains none of|contains no|cannot detect)\b[^.;,\n]+"
         + WEAKNESS,
         (),
+        STEMS,
     ),
-    ("answer_no", r"answer: no", ()),
+    ("answer_no", r"answer: no", (), ("answer: no",)),
 )
 LATE_VULNERABLE_RULES = (
-    ("leading_id", r"^(- |[0-9]+\.)?cwe-", ()),
-    ("types_present", r"the vulnerability types present are", ()),
+    ("leading_id", r"^(- |[0-9]+\.)?cwe-", (), ("cwe-",)),
+    ("types_present", r"the vulnerability types present are", (), ("the vulnerability types present are",)),
 )
 
 # The substrings of the simple verdict, tried in this order.

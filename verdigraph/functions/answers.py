@@ -60,15 +60,20 @@ def answer_family(model: Column) -> Column:
 
 def rule_holds(c: Column, rule) -> Column:
     """Whether some match of the rule's pattern is free of every voiding pattern."""
-    _, pattern, voids = rule
+    _, pattern, voids, needs = rule
     pattern = fixed.FLAGS + pattern
+
+    def present(need: str) -> Column:
+        return c.endswith(need[:-1]) if need.endswith(fixed.END) else c.contains(need)
+
+    possible = reduce(lambda a, b: a | b, [present(n) for n in needs])
     if not voids:
-        return c.rlike(pattern)
+        return possible & c.rlike(pattern)
 
     def stands(match: Column) -> Column:
         return reduce(lambda a, b: a & b, [~match.rlike(fixed.FLAGS + v) for v in voids])
 
-    return F.exists(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), stands)
+    return possible & F.exists(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), stands)
 
 
 def rule_verdict(c: Column) -> Column:

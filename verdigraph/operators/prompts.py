@@ -184,9 +184,24 @@ def expand_sweep(df: DataFrame, configs: Iterable[Mapping[str, str | None]]) ->
     return df.select("*", F.explode(F.array(*items)).alias("_config")).select(*df.columns, "_config.*")
 
 
+def attach_contexts(df: DataFrame, contexts: DataFrame) -> DataFrame:
+    """``contexts``: a struct with each kind's sentence. ``contexts`` rows are idx, kind, text.
+
+    Done once per function, ahead of a sweep, so that the sweep's copies of the text are not shuffled.
+    """
+    texts = [F.max(F.when(F.col("kind") == k, F.col("text"))).alias(k) for k in fixed.CONTEXT_LABELS]
+    per_text = contexts.groupBy("idx").agg(*texts).select("idx", F.struct(*fixed.CONTEXT_LABELS).alias("contexts"))
+    return df.join(per_text, "idx", "left")
+
+
+def context_of(kind: Column) -> Column:
+    """The attached sentence of a row's kind, empty when there is none."""
+    out = F.lit(None).cast("string")
+    for name in fixed.CONTEXT_LABELS:
+        out = F.when(kind == name, F.col(f"contexts.{name}")).otherwise(out)
+    return F.coalesce(out, F.lit(""))
+
+
 def with_context(df: DataFrame, contexts: DataFrame, kind: Column) -> DataFrame:
-    """``context`` of the row's kind, empty when there is none. ``contexts``: idx, kind, text."""
-    keyed = df.withColumn("_kind", kind)
-    named = contexts.select(F.col("idx"), F.col("kind").alias("_kind"), F.col("text").alias("_context"))
-    met = keyed.join(named, ["idx", "_kind"], "left")
-    return met.select(*df.columns, F.coalesce("_context", F.lit("")).alias("context"))
+    """``context`` of the row's kind, empty when there is none."""
+    return attach_contexts(df, contexts).withColumn("context", context_of(kind)).select(*df.columns, "context")

@@ -83,10 +83,10 @@ def rule_sql(c: str) -> str:
     weak = [_exists(c, r"\byes(, |\.|\n|$)")]
     weak += [_exists(c, HAS_WEAKNESS, (fixed.DENIES_WEAKNESS, fixed.CANNOT_TELL, r"contains (no|none|the function)|there (is|are) (no|none)|(could|can) not|which is a good practice"))]
     weak += [_exists(c, IS_WEAK, (fixed.LOOKS_SOUND, fixed.DENIES_STATE, fixed.CANNOT_TELL, r" is (not|also not|no|none)"))]
-    weak += [f"regexp_matches({c}, {S.quoted(p)})" for n, p, _ in fixed.VULNERABLE_RULES if n not in ("yes", "has_weakness", "is_weak")]
+    weak += [f"regexp_matches({c}, {S.quoted(p)})" for n, p, *_ in fixed.VULNERABLE_RULES if n not in ("yes", "has_weakness", "is_weak")]
     sound = [_exists(c, REACH + r"\bno(, |\.|\n|$)", (fixed.ECHOED_QUESTION,))]
     sound += [_exists(c, fixed.SOUND_RULES[1][1]), _exists(c, LACKS, (r"(is not|isn't) possible to determine",)), _exists(c, "answer: no")]
-    late = [f"regexp_matches({c}, {S.quoted(p)})" for _, p, _ in fixed.LATE_VULNERABLE_RULES]
+    late = [f"regexp_matches({c}, {S.quoted(p)})" for _, p, *_ in fixed.LATE_VULNERABLE_RULES]
     return f"CASE WHEN {' OR '.join(weak)} THEN 1 WHEN {' OR '.join(sound)} THEN 0 WHEN {' OR '.join(late)} THEN 1 ELSE 2 END"
 
 

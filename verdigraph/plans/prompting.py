@@ -177,6 +177,7 @@ def q11(t):
     rows = corpus(t).withColumn("func", collapse_ws("func"))
     kind = F.when(F.col("idx") % 4 == 0, "api_call").when(F.col("idx") % 4 == 1, "data_flow")
     contexts = rows.select("idx", kind.alias("kind"), F.expr(CONTEXT_EXPR).alias("text")).where("kind IS NOT NULL")
-    swept = P.expand_sweep(rows, [c for c in CONFIGS if c["prompt_type"] == "zero_shot"])
-    asked = P.zero_shot(P.with_context(swept, contexts, F.col("graph_type")), F.col("graph_type"))
+    zero = [c for c in CONFIGS if c["prompt_type"] == "zero_shot"]
+    swept = P.expand_sweep(P.attach_contexts(rows, contexts), zero)
+    asked = P.zero_shot(swept.withColumn("context", P.context_of(F.col("graph_type"))), F.col("graph_type"))
     return asked.select("idx", "model", "graph_type", "user")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigraph.operators.history import to_history
+from verdigraph.sources.readers import read_responses
 
 
 def prediction_lines(df: DataFrame) -> DataFrame:
@@ -36,17 +36,13 @@ def write_generations(df: DataFrame, path: str, verdict: str = "pred") -> None:
 
 
 def append_responses(df: DataFrame, log_path: str, run_path: str) -> None:
-    """Append successful answers to the shared log and keep a copy per run.
+    """Keep successful answers per run, and append the same answers to the shared log.
 
-    The answers are computed once: they may come from a costly step that must not run twice.
+    The log is fed from the run's written copy: the answers may come from a step that must not run
+    twice, and a lost executor cannot make the two copies differ.
     """
-    done = df.where(F.col("response").isNotNull()).select("idx", "target", "response")
-    done = done.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        done.write.mode("append").json(log_path)
-        done.write.json(run_path)
-    finally:
-        done.unpersist()
+    df.where(F.col("response").isNotNull()).select("idx", "target", "response").write.json(run_path)
+    read_responses(df.sparkSession, run_path).write.mode("append").json(log_path)
 
 
 def write_history(wide: DataFrame, path: str, ids: tuple[str, ...] = ("run", "epoch", "step")) -> None:

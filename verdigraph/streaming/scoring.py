@@ -56,5 +56,5 @@ def drain_to_table(scored: DataFrame, label: str = "scores") -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    last = query.lastProgress["batchId"] if query.lastProgress else 0
-    return spark.read.parquet(f"{root}/batch={last:012d}")
+    kept = spark.read.parquet(root)
+    return kept.where(F.col("batch") == kept.select(F.max("batch")).scalar()).drop("batch")
