@@ -8,16 +8,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from verdigraph.functions import answer_rules as fixed
+from verdigraph.functions.arrays import let
 
 
 def simple_verdict(c: Column) -> Column:
     """1 or 0 by substring of the lower-cased text, null when neither list hits."""
-    low = F.lower(c)
 
-    def holds(parts):
-        return reduce(lambda a, b: a | b, [low.contains(p) for p in parts])
+    def judge(low: Column) -> Column:
+        def holds(parts):
+            return reduce(lambda a, b: a | b, [low.contains(p) for p in parts])
 
-    return F.when(holds(fixed.SIMPLE_YES), F.lit(1)).when(holds(fixed.SIMPLE_NO), F.lit(0))
+        return F.when(holds(fixed.SIMPLE_YES), F.lit(1)).when(holds(fixed.SIMPLE_NO), F.lit(0))
+
+    return let(F.lower(c), judge)
 
 
 def cut_at_question(c: Column, prompt_type: Column) -> Column:

@@ -134,14 +134,22 @@ RENDER_SQL = f"""WITH base AS (SELECT idx, kind, cot, family, '{fixed.SYSTEM}' A
  SELECT idx, family, truncated, user_turn, {_pick('whole', 0)} || st || user_turn || {_pick('whole', 1)} AS prompt FROM done"""
 
 
-@query("q7_render_chat", RENDER_SQL)
-def q7(t):
+def rendered(t):
     rows = corpus(t).withColumns(
         {"context": F.expr(CONTEXT_EXPR), "kind": F.expr(KIND_EXPR), "cot": F.expr(COT_EXPR), "model": F.expr(MODEL_EXPR)}
     )
     asked = P.zero_shot(rows, F.col("kind"))
-    out = P.render_chat(asked, P.route(F.col("model")), F.lit(CAP), F.col("cot"), F.col("kind"))
-    return out.select("idx", "family", "truncated", "user_turn", "prompt")
+    return P.render_chat(asked, P.route(F.col("model")), F.lit(CAP), F.col("cot"), F.col("kind"))
+
+
+@query("q7_render_chat", RENDER_SQL)
+def q7(t):
+    return rendered(t).select("idx", "family", "truncated", "user_turn", "prompt")
+
+
+@query("q8_closers", f"SELECT idx, family, truncated, right(user_turn, 40) AS tail FROM ({RENDER_SQL}) r")
+def q8(t):
+    return rendered(t).select("idx", "family", "truncated", F.right("user_turn", F.lit(40)).alias("tail"))
 
 
 @query("q9_route", f"SELECT idx, {MODEL_EXPR} AS model, {FAMILY_EXPR} AS family FROM ({CORPUS_SQL}) c")

@@ -1,6 +1,5 @@
 """Token, call and data-flow tables of the code corpus."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from verdigraph.functions import c_words
@@ -134,6 +133,20 @@ def g6(t):
     return listed(edges(t))
 
 
+# Declarations of every form, one function per customer.
+DECLARED_EXPR = """concat('void d', c_custkey, '(void) { int n', c_nationkey, ' = ', c_nationkey, ' + base, spare = 1; struct seg *s = find("',
+ c_mktsegment, '", n', c_nationkey, '); unsigned long total; amount_t a = total; for (int i = 0; i < n', c_nationkey, '; i++) { total += a * i; } const char *c; }')"""
+DECLARED_SQL = f"SELECT c_custkey AS idx, {DECLARED_EXPR} AS func FROM customer"
+
+
+@query(
+    "g6b_declarations",
+    f"WITH {S.tokens_cte(DECLARED_SQL)}, {EDGES} SELECT idx, pos, var, rel, coalesce(dep, '') AS deps, coalesce(CAST(dep_pos AS VARCHAR), '') AS dep_pos FROM edges",
+)
+def g6b(t):
+    return listed(G.def_use(t.customer.select(F.col("c_custkey").alias("idx"), F.expr(DECLARED_EXPR).alias("func"))))
+
+
 @query(
     "g7_merge_edges",
     f"""WITH {TOKS}, {EDGES} SELECT idx, pos, var, rel, coalesce(string_agg(DISTINCT dep, ' ' ORDER BY dep), '') AS deps,
@@ -259,7 +272,5 @@ def g12(t):
 def g13(t):
     rows = toks(t)
     spans = subtoken_spans(rows.select("idx", "pos", F.ceil(F.length("text") / 4).alias("n")))
-    spans = spans.withColumn("node_index", F.max("end").over(Window.partitionBy("idx")) + 1)
-    laid = G.reindex_edges(G.prune_edges(G.def_use(code_corpus(t)))).join(spans, ["idx", "pos"])
-    laid = laid.withColumn("length", F.col("node_index") + 12)
-    return G.attention_links(laid)
+    nodes = G.reindex_edges(G.prune_edges(G.def_use(code_corpus(t))))
+    return G.attention_links(G.place_nodes(nodes, spans, room=12))
