@@ -18,7 +18,7 @@ def test_py_round(column):
 
 
 def test_verdict_is_strict(column):
-    assert column([0.5, 0.5000001, 0.49], scores.verdict, "double") == [0, 1, 0]
+    assert column([0.5, 0.5000001, 0.49, float("nan")], scores.verdict, "double") == [0, 1, 0, 0]
 
 
 def test_softmax_survives_large_logits(column):

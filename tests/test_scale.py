@@ -80,6 +80,9 @@ def test_checkpoint_values(spark):
     assert [tuple(r) for r in best_checkpoint(df).collect()] == [("r", 4, 72.0)]
     assert sorted(r["step"] for r in improvements(df, block_rows=2).collect()) == [2, 4]
     assert [r["step"] for r in improvements(df, start=71.7, block_rows=2).collect()] == [4]
+    undefined = df.union(spark.createDataFrame([("r", 0, float("nan")), ("r", 9, float("nan"))], df.schema))
+    assert [tuple(r) for r in best_checkpoint(undefined).collect()] == [("r", 4, 72.0)]
+    assert sorted(r["step"] for r in improvements(undefined, block_rows=2).collect()) == [2, 4]
 
 
 def test_logged_steps(spark):

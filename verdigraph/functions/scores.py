@@ -26,8 +26,8 @@ def softmax(logits: Column) -> Column:
 
 
 def verdict(score: Column, bound: float = DECISION_BOUND) -> Column:
-    """1 when strictly above the bound."""
-    return (score > bound).cast("int")
+    """1 when strictly above the bound; an undefined score is not."""
+    return ((score > bound) & ~F.isnan(score)).cast("int")
 
 
 def pick_score(scores: Column, model_type: Column, phase: str = "test") -> Column:

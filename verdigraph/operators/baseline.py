@@ -49,7 +49,7 @@ def fit_baseline(
                 F.col("label").cast("int").alias("target"),
                 verdict(vector_to_array("probability")[1]).alias("pred"),
             )
-            bacc = with_fractions(confusion(scored)).select("bacc").first()[0]
+            bacc = with_fractions(confusion(scored)).select(F.nanvl("bacc", F.lit(0.0))).first()[0]
             if best is None or bacc > best.valid_bacc:
                 best = Fitted(PipelineModel([tokenizer, hashing, model]), reg, bacc)
     finally:

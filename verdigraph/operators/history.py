@@ -69,11 +69,11 @@ def best_checkpoint(
 ) -> DataFrame:
     """Step of the best value per run if it beats ``start``; the earliest wins ties.
 
-    One aggregation over structs, so partial results shrink before the shuffle.
+    An undefined value (NaN) never beats anything. One aggregation over structs, so partial results shrink before the shuffle.
     """
     top = F.max(F.struct(F.col(value).alias("v"), (-F.col(step)).alias("s")))
     return (
-        history.where(F.col(value) > start)
+        history.where((F.col(value) > start) & ~F.isnan(value))
         .groupBy(*keys)
         .agg(top.alias("_top"))
         .select(*keys, (-F.col("_top.s")).alias(f"best_{step}"), F.col("_top.v").alias(f"best_{value}"))
@@ -85,8 +85,9 @@ def improvements(
     start: float = 0.0, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Every step whose value is strictly above all earlier ones and above ``start``."""
-    past = running(history, keys, step, maxima={"_past": F.col(value)}, include_row=False, block_rows=block_rows)
-    return past.where(F.col(value) > F.greatest(F.col("_past"), F.lit(start))).drop("_past")
+    known = F.when(~F.isnan(value), F.col(value))
+    past = running(history, keys, step, maxima={"_past": known}, include_row=False, block_rows=block_rows)
+    return past.where(known > F.greatest(F.col("_past"), F.lit(start))).drop("_past")
 
 
 def to_history(wide: DataFrame, ids: Sequence[str]) -> DataFrame:

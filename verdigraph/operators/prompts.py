@@ -77,7 +77,7 @@ def sample_pairs(df: DataFrame, n_pairs: int, n: int, seed: int, key: str = "idx
     that range's last number, which gives every n-subset the same chance without touching the pool.
     A second hash then puts the picks in random order.
     """
-    if n > n_pairs:
+    if not 1 <= n <= n_pairs:
         raise ValueError(f"cannot draw {n} of {n_pairs} pairs without replacement")
 
     def hashed(tag: Column) -> Column:
