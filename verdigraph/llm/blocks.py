@@ -56,9 +56,9 @@ def pack_documents(docs: DataFrame, label: str) -> DataFrame:
     return stored(arrow_map(texts(docs, drop_null_ids=True), run, PACKED), label)
 
 
-def block_count(batches: DataFrame) -> int:
+def block_count(batches: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
     total = batches.agg(F.sum("n_bytes")).first()[0] or 0
-    return max(MIN_BLOCKS, -(-total // BLOCK_BYTES))
+    return max(MIN_BLOCKS, -(-total // block_bytes))
 
 
 def grouped(df: DataFrame, key: str, fn: Callable[[pa.Table], dict], schema: str) -> DataFrame:
@@ -74,11 +74,6 @@ def grouped(df: DataFrame, key: str, fn: Callable[[pa.Table], dict], schema: str
     return df.groupBy(key).applyInArrow(run, schema)
 
 
-def dealt(keys: np.ndarray, blocks: int) -> np.ndarray:
-    """Order that brings distinct sorted keys together by block."""
-    return np.argsort((keys & np.uint64(0xFFFFFFFF)) % np.uint64(blocks), kind="stable")
-
-
 def by_block(keys: np.ndarray, blocks: int):
     """(block, positions) for distinct sorted keys."""
     block = ((keys & np.uint64(0xFFFFFFFF)) % np.uint64(blocks)).astype(np.int64)
@@ -196,3 +191,48 @@ def window_least(values: np.ndarray, width: int) -> np.ndarray:
         at = np.where(right, at[step:], at[:m])
         span += step
     return at[:n].astype(np.int64)
+
+
+class AnchorRuns:
+    """Windows of ``window`` units by their anchor, the leftmost least of the grams inside.
+
+    Equal windows have equal anchors at equal places. ``start`` (unit), ``number`` of windows, ``doc`` and
+    ``key`` of every run of neighbouring windows that share an anchor.
+    """
+
+    def __init__(self, grams: np.ndarray, gram: int, window: int, starts: np.ndarray, sizes: np.ndarray):
+        least = window_least(grams, window - gram + 1)
+        n_windows = np.maximum(sizes - window + 1, 0)
+        at = runs(starts, n_windows)
+        doc = np.repeat(np.arange(len(sizes)), n_windows)
+        anchor = least[at] if len(at) else at
+        new = np.ones(len(at), dtype=bool)
+        new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
+        first = np.flatnonzero(new)
+        self.start = at[first]
+        self.number = np.diff(np.append(first, len(at)))
+        self.doc = doc[first]
+        self.key = grams[anchor[first]] if len(first) else np.zeros(0, dtype=np.uint64)
+
+    def keys(self, by_document: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys, and the documents (or else runs) of the batch each occurs in."""
+        if not len(self.key):
+            return self.key, np.zeros(0, dtype=np.int64)
+        order = np.lexsort((self.doc, self.key))
+        key, doc = self.key[order], self.doc[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        counted = (np.concatenate([[True], doc[1:] != doc[:-1]]) | new) if by_document else np.ones(len(key))
+        return key[new], np.bincount(np.cumsum(new) - 1, weights=counted).astype(np.int64)
+
+    def recurring(self, keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        """Places of the runs whose key's bit is set."""
+        return np.flatnonzero(bits[np.searchsorted(keys, self.key)]) if len(keys) else np.zeros(0, dtype=np.int64)
+
+
+def shards_of(keys: np.ndarray, shards: int):
+    """(shard, positions), dealt by key."""
+    shard = (keys % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+    for s in np.flatnonzero(np.diff(cuts)):
+        yield int(s), order[cuts[s] : cuts[s + 1]]

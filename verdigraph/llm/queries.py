@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from verdigraph.llm import bpe, imi, licenses, pii, quality, tokenfile
+from verdigraph.llm import bpe, imi, licenses, phrases, pii, quality, repeats, tokenfile
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
 WORD_BPE = "word_bpe_49k.json"
@@ -25,6 +25,14 @@ def op3_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op5_interval_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op6_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -44,7 +52,7 @@ def op10_elias_fano_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_inverted_multi_index, op3_semi_markov_pii, op7_subword_quality, op8_license_join, op9_recursive_bpe, op10_elias_fano_tokens,
+        op1_inverted_multi_index, op3_semi_markov_pii, op5_interval_repeats, op6_phrase_automata, op7_subword_quality, op8_license_join, op9_recursive_bpe, op10_elias_fano_tokens,
     )
 }
 SQL: dict[str, str] = {}
