@@ -68,11 +68,6 @@ def components(rows, percent=75):
         for j, (_, b) in enumerate(sets[:i]):
             if a and b and 100 * len(a & b) >= percent * len(a | b):
                 parent[root(i)] = root(j)
-    by_id = {}
-    for i, (d, _) in enumerate(sets):  # rows of one doc_id are one node
-        if d in by_id:
-            parent[root(i)] = root(by_id[d])
-        by_id[d] = i
     least = {}
     for i, (d, _) in enumerate(sets):
         least[root(i)] = min(d, least.get(root(i), d))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from verdigraph.llm import bpe, imi, licenses, phrases, pii, quality, repeats, tokenfile
+from verdigraph.llm import bpe, imi, jaccard, licenses, phrases, pii, quality, repeats, tokenfile
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
 WORD_BPE = "word_bpe_49k.json"
@@ -25,6 +25,10 @@ def op3_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(table(spark, sf_dir, "documents"))
+
+
 def op5_interval_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_elias_fano_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_inverted_multi_index, op3_semi_markov_pii, op5_interval_repeats, op6_phrase_automata, op7_subword_quality, op8_license_join, op9_recursive_bpe, op10_elias_fano_tokens,
+        op1_inverted_multi_index, op3_semi_markov_pii, op4_ngram_jaccard, op5_interval_repeats, op6_phrase_automata, op7_subword_quality, op8_license_join, op9_recursive_bpe, op10_elias_fano_tokens,
     )
 }
 SQL: dict[str, str] = {}
