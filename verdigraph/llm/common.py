@@ -54,11 +54,11 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[d
     return (df.select(*columns) if columns else df).mapInArrow(run, schema)
 
 
-def map_texts(docs: DataFrame, fn: Callable[[list, list[str]], dict], schema: str, drop_null_ids: bool = False) -> DataFrame:
+def map_texts(docs: DataFrame, fn: Callable[[list, list[str]], dict], schema: str, drop_null_ids: bool = False, max_bytes: int = SLICE_BYTES) -> DataFrame:
     """Apply ``fn(ids, texts)`` to slices of the documents."""
 
     def run(batches):
-        for ids, rows in slices(batches):
+        for ids, rows in slices(batches, max_bytes):
             yield fn(ids, rows)
 
     return arrow_map(texts(docs, drop_null_ids), run, schema)

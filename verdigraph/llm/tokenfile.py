@@ -33,7 +33,8 @@ SHARD_IDS = 1 << 20
 SELECT_STEP = 64
 DOCS_PER_BUCKET = 4000
 MAX_BUCKETS = 20_000
-KEPT = 500_000
+KEPT_PIECES, KEPT_WORDS = 320_000, 200_000
+ENCODE_BYTES = 1 << 20
 CONTROL_SPACE = re.compile("[\x1c-\x1f]")
 # The tokenizer's own split of a text without white space, for Latin-1 characters, where its
 # normalisation is lower-casing alone. Fixed value.
@@ -147,7 +148,6 @@ class WordEncoder:
         for c in map(chr, range(128, 256)):
             for b, s in zip(c.encode(), shown.pre_tokenize_str(c)[0][0]):
                 self.shown[b] = s
-        self.table = {b: s for b, s in self.shown.items()}
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -157,7 +157,7 @@ class WordEncoder:
     def _word(self, word: str) -> bytes:
         got = self.words.get(word)
         if got is None:
-            seen = word if word.isascii() and word.isalnum() else word.encode().decode("latin-1").translate(self.table)
+            seen = word if word.isascii() and word.isalnum() else word.encode().decode("latin-1").translate(self.shown)
             got = self.words[word] = self._raw([t.id for t in self.model.tokenize(seen)])
         return got
 
@@ -172,10 +172,10 @@ class WordEncoder:
     def encode(self, rows: list[str]) -> list[bytes]:
         cut = [None if CONTROL_SPACE.search(t) else t.split() for t in rows]
         fresh = set().union(*[c for c in cut if c]) - self.pieces.keys()
-        if len(self.pieces) + len(fresh) > KEPT:
+        if len(self.pieces) + len(fresh) > KEPT_PIECES:
             self.pieces.clear()
             fresh = set().union(*[c for c in cut if c])
-        if len(self.words) + len(fresh) > KEPT:
+        if len(self.words) + len(fresh) > KEPT_WORDS:
             self.words.clear()
         self.pieces.update((p, self._piece(p)) for p in fresh)
         get = self.pieces.__getitem__
@@ -224,7 +224,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, w
         return {"doc_id": ids, "ids": [x + end for x in coder.encode(rows)], "bucket": np.searchsorted(found, np.array(ids, dtype=np.int64), side="right").astype(np.int32)}
 
     placed = (
-        map_texts(docs, encoded, "doc_id long, ids binary, bucket int", drop_null_ids=True)
+        map_texts(docs, encoded, "doc_id long, ids binary, bucket int", drop_null_ids=True, max_bytes=ENCODE_BYTES)
         .repartition(len(cuts) + 1, "bucket")
         .sortWithinPartitions("bucket", "doc_id", "ids")
     )
