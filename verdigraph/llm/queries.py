@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from verdigraph.llm import bpe, imi, jaccard, licenses, phrases, pii, quality, repeats, tokenfile
+from verdigraph.llm import bpe, decontam, imi, jaccard, licenses, phrases, pii, quality, repeats, tokenfile
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
 WORD_BPE = "word_bpe_49k.json"
@@ -21,6 +21,10 @@ def op1_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imi.search(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
 
 
+def op2_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -56,7 +60,7 @@ def op10_elias_fano_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_inverted_multi_index, op3_semi_markov_pii, op4_ngram_jaccard, op5_interval_repeats, op6_phrase_automata, op7_subword_quality, op8_license_join, op9_recursive_bpe, op10_elias_fano_tokens,
+        op1_inverted_multi_index, op2_latent_leaks, op3_semi_markov_pii, op4_ngram_jaccard, op5_interval_repeats, op6_phrase_automata, op7_subword_quality, op8_license_join, op9_recursive_bpe, op10_elias_fano_tokens,
     )
 }
 SQL: dict[str, str] = {}
