@@ -210,13 +210,15 @@ def codec(path: str, pattern: str) -> Codec:
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, ids (blank-joined token ids) of every text."""
+    """doc_id, n_tokens, ids, decoded_sha256: token ids of every text, and the digest of the bytes they decode to."""
 
     def run(ids, rows):
         coder = codec(path, pattern)
-        return {"doc_id": ids, "ids": [coder.shown(e) for e in coder.encode(rows)]}
+        encoded = coder.encode(rows)
+        decoded = [hashlib.sha256(d).hexdigest() for d in coder.decode(encoded)]
+        return {"doc_id": ids, "n_tokens": [len(e) for e in encoded], "ids": encoded, "decoded_sha256": decoded}
 
-    return map_texts(docs, run, "doc_id long, ids string")
+    return map_texts(docs, run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from verdigraph.session import scratch_path
 
 SLICE_BYTES = 4 << 20
-ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
+ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
 HEX = "0123456789abcdef"
 
 

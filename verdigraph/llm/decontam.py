@@ -292,3 +292,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
         found = _leaks(docs, items, rank)
         out = found if out is None else out.unionByName(found)
     return docs.sparkSession.createDataFrame([], SCHEMA) if out is None else out
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
+    """The documents, with all their columns, that hold no benchmark item; rows without doc_id stay."""
+    found = leaks(docs, benchmark, rank).select(F.col("doc_id").alias("_leak")).distinct()
+    return docs.join(found, F.col("doc_id").cast("long") == F.col("_leak"), "left_anti")

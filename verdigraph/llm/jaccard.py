@@ -325,3 +325,16 @@ def link(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
     return sets.select("doc_id", "n", "digest").join(final, "digest", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
     )
+
+
+def one_of_each(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """The documents, with all their columns, that have the least doc_id of their component; rows without doc_id stay.
+
+    Of rows that repeat both doc_id and text, one stays.
+    """
+    least = link(docs, size, percent).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"))
+    least = stored(least, "least")
+    kept = docs.join(least.select(F.col("doc_id").alias("_least")), F.col("doc_id").cast("long") == F.col("_least"), "left_semi")
+    if not least.where("times > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(docs.where("doc_id is null"))

@@ -303,11 +303,12 @@ def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 def redact(docs: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
-    """The documents with all columns, personal data masked in ``text``; a null text stays null."""
+    """The documents with all columns, personal data masked in ``text`` and ``n_chars``, if there, made to fit; a null text stays null."""
     field = fitted(docs, fit_docs)
 
     @F.pandas_udf("string")
     def cover(column):
         return column.map(lambda t: None if t is None else masked(t, all_spans(t, field)[1]))
 
-    return docs.withColumn("text", cover("text"))
+    out = docs.withColumn("text", cover(F.col("text").cast("string")))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -169,10 +169,26 @@ def score_texts(rows: list[str], folded: np.ndarray, bias: float) -> np.ndarray:
     return 1 / (1 + np.exp(-(total / np.maximum(count, 1) + bias)))
 
 
+def fitted(docs: DataFrame, labels: DataFrame, max_train: int) -> tuple[np.ndarray, float]:
+    rows = training_rows(docs, labels, max_train)
+    return train(rows) if rows else (np.zeros(BUCKETS, np.float32), 0.0)
+
+
+def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_train: int = MAX_TRAIN) -> DataFrame:
+    """The documents, with all their columns, that are predicted to have label 1."""
+    folded, bias = fitted(docs, labels, max_train)
+    model = docs.sparkSession.sparkContext.broadcast((folded, bias))  # BUCKETS numbers, whatever the input
+
+    @F.pandas_udf("double")
+    def score(column):
+        return column.__class__(score_texts(column.tolist(), *model.value))
+
+    return docs.where(score(F.coalesce(F.col("text").cast("string"), F.lit(""))) >= threshold)
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_train: int = MAX_TRAIN) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
-    rows = training_rows(docs, labels, max_train)
-    folded, bias = train(rows) if rows else (np.zeros(BUCKETS, np.float32), 0.0)
+    folded, bias = fitted(docs, labels, max_train)
     model = docs.sparkSession.sparkContext.broadcast((folded, bias))  # BUCKETS numbers, whatever the input
 
     def run(ids, texts_):
