@@ -72,3 +72,47 @@ def components(rows, percent=75):
     for i, (d, _) in enumerate(sets):
         least[root(i)] = min(d, least.get(root(i), d))
     return sorted((d, len(s), least[root(i)]) for i, (d, s) in enumerate(sets))
+
+
+def edges(text):
+    """The pieces a PII scan must find, by plain patterns."""
+    kinds = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(p) <= 255 for p in s.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", _card),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 10 <= len(re.findall("[0-9]", s)) <= 15),
+    }
+    out = []
+    for order, (kind, (pattern, good)) in enumerate(kinds.items()):
+        out += [(m.start(), order, f"{kind}:{m.start()}:{m.end()}", kind) for m in re.finditer(pattern, text or "") if good(m.group())]
+    return sorted(out)
+
+
+def _card(s):
+    d = re.sub("[^0-9]", "", s)
+    return 14 <= len(d) <= 19 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def license_places(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text or ""))
+    out = []
+    for phrase, label in (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")):
+        p = phrase.split()
+        out += [(i, label) for i in range(len(words)) if words[i : i + len(p)] == p]
+    return len(words), sorted(out)
+
+
+def nearest(vectors, k=5):
+    import numpy as np
+
+    out = []
+    for q, v in vectors:
+        if q % 50:
+            continue
+        scores = []
+        for i, w in vectors:
+            if i != q:
+                a, b = np.array(v, dtype=float), np.array(w, dtype=float)
+                scores.append((-float(a @ b / np.sqrt((a @ a) * (b @ b))), i))
+        out.append((q, [(i, -s) for s, i in sorted(scores)[:k]]))
+    return out

@@ -241,33 +241,50 @@ def tile_pairs(rows: DataFrame, blocks: int) -> DataFrame:
     return grouped(column_blocks(rows, blocks, ["tile", "comp"], True), "block", meet, "i long, j long").distinct()
 
 
-def product_links(left: list, right: list, percent: int) -> list[tuple[int, int]]:
+class Tile:
+    """Classes of one tile: sizes, components, and the incidence of its distinct shingles, as one packed value."""
+
+    def __init__(self, n: np.ndarray, comp: np.ndarray, row: np.ndarray, spot: np.ndarray, keys: np.ndarray):
+        self.n, self.comp, self.row, self.spot, self.keys = n, comp, row, spot, keys
+
+    @staticmethod
+    def of(n: np.ndarray, comp: np.ndarray, sets: list[bytes]) -> Tile:
+        keys, spot = np.unique(np.frombuffer(b"".join(sets), dtype=np.uint64), return_inverse=True)
+        return Tile(n, comp, np.repeat(np.arange(len(sets)), [len(s) // 8 for s in sets]), spot, keys)
+
+    def dump(self) -> list[bytes]:
+        return [pack(self.n), pack(self.comp), pack(self.row.astype(np.uint32)), pack(self.spot.astype(np.uint32)), pack(self.keys)]
+
+    @staticmethod
+    def load(parts: list[bytes]) -> Tile:
+        return Tile(*[unpack(x, k) for x, k in zip(parts, (np.int64, np.int64, np.uint32, np.uint32, np.uint64))])
+
+
+def product_links(left: Tile, right: Tile, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the components that linked pairs of two tiles join.
 
-    A tile is a list of (n, comp, hashes). Overlaps are sums of products of 0/1 blocks of ``COLUMNS`` columns.
+    Overlaps are sums of products of 0/1 blocks of ``COLUMNS`` columns, over the shingles both tiles hold.
     """
-    sides = [[np.frombuffer(h, dtype=np.uint64) for _, _, h in side] for side in (left, right)]
-    common = np.intersect1d(np.concatenate(sides[0]), np.concatenate(sides[1]))
+    common = np.intersect1d(left.keys, right.keys, assume_unique=True)
     entries = []
-    for side in sides:
-        key = np.concatenate(side)
-        row = np.repeat(np.arange(len(side)), [len(s) for s in side])
-        at = np.searchsorted(common, key)
-        ok = (at < len(common)) & (common[np.minimum(at, len(common) - 1)] == key) if len(common) else np.zeros(len(key), dtype=bool)
-        order = np.argsort(at[ok], kind="stable")
-        entries.append((row[ok][order], at[ok][order]))
-    overlap = np.zeros((len(left), len(right)), dtype=np.float32)
+    for side in (left, right):
+        at = np.full(len(side.keys), -1)
+        at[np.searchsorted(side.keys, common)] = np.arange(len(common))
+        col = at[side.spot]
+        ok = np.flatnonzero(col >= 0)
+        ok = ok[np.argsort(col[ok], kind="stable")]
+        entries.append((side.row[ok], col[ok]))
+    overlap = np.zeros((len(left.n), len(right.n)), dtype=np.float32)
     for start in range(0, len(common), COLUMNS):
         dense = []
-        for (row, col), side in zip(entries, sides):
+        for (row, col), side in zip(entries, (left, right)):
             lo, hi = np.searchsorted(col, [start, start + COLUMNS])
-            x = np.zeros((len(side), min(COLUMNS, len(common) - start)), dtype=np.float32)
+            x = np.zeros((len(side.n), min(COLUMNS, len(common) - start)), dtype=np.float32)
             x[row[lo:hi], col[lo:hi] - start] = 1
             dense.append(x)
         overlap += dense[0] @ dense[1].T
-    n, m = np.array([r[0] for r in left]), np.array([r[0] for r in right])
-    c, d = np.array([r[1] for r in left]), np.array([r[1] for r in right])
-    hit = ((100 + percent) * overlap.astype(np.int64) >= percent * (n[:, None] + m[None, :])) & (c[:, None] != d[None, :])
+    bound = percent * (left.n[:, None] + right.n[None, :])
+    hit = ((100 + percent) * overlap.astype(np.int64) >= bound) & (left.comp[:, None] != right.comp[None, :])
     x, y = np.nonzero(hit)
     parent: dict[int, int] = {}
 
@@ -278,7 +295,7 @@ def product_links(left: list, right: list, percent: int) -> list[tuple[int, int]
         return v
 
     out = []
-    for a, b in np.unique(np.stack([c[x], d[y]], axis=1), axis=0).tolist():
+    for a, b in np.unique(np.stack([left.comp[x], right.comp[y]], axis=1), axis=0).tolist():
         if root(a) != root(b):
             parent[root(a)] = root(b)
             out.append((a, b))
@@ -287,16 +304,24 @@ def product_links(left: list, right: list, percent: int) -> list[tuple[int, int]
 
 def tile_links(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """a, b: components that the products of the tile pairs link."""
-    held = rows.groupBy("tile").agg(F.collect_list(F.struct("n", "comp", "hashes")).alias("held"))
-    wanted = pairs.join(held.select(F.col("tile").alias("i"), F.col("held").alias("left")), "i").join(
-        held.select(F.col("tile").alias("j"), F.col("held").alias("right")), "j"
+
+    def packed(table: pa.Table) -> dict:
+        n, comp = table["n"].to_numpy(), table["comp"].to_numpy()
+        return {"tile": table["tile"][:1], **{c: [x] for c, x in zip("vwxyz", Tile.of(n, comp, table["hashes"].to_pylist()).dump())}}
+
+    parts = grouped(rows.select("tile", "n", "comp", "hashes"), "tile", packed, "tile long, v binary, w binary, x binary, y binary, z binary")
+    held = stored(parts.select("tile", F.array(*"vwxyz").alias("held")), "held")
+    # The product of a tile with itself needs it once: its second place is empty.
+    asked = pairs.select("i", F.when(F.col("i") != F.col("j"), F.col("j")).alias("j"))
+    wanted = asked.join(held.select(F.col("tile").alias("i"), F.col("held").alias("left")), "i").join(
+        held.select(F.col("tile").alias("j"), F.col("held").alias("right")), "j", "left"
     )
 
     def run(batches):
         for b in batches:
-            for i in range(b.num_rows):
-                sides = [[(r["n"], r["comp"], r["hashes"]) for r in b.column(k)[i].as_py()] for k in (0, 1)]
-                found = product_links(*sides, percent)
+            for first, second in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                left = Tile.load(first)
+                found = product_links(left, Tile.load(second) if second else left, percent)
                 yield {"a": [x for x, _ in found], "b": [y for _, y in found]}
 
     return arrow_map(wanted, run, "a long, b long", ["left", "right"])
