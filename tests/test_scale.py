@@ -61,14 +61,6 @@ def test_cut_after_failures(spark):
         assert {r["id"] for r in got} == wanted and len(got) == len(wanted)
 
 
-def test_join_small_both_ways(spark):
-    big = spark.range(1000).withColumn("k", F.pmod("id", F.lit(3)))
-    small = spark.createDataFrame([(0, "x"), (1, "y")], "k bigint, t string")
-    sent = S.join_small(big, small, ["k"], "left").orderBy("id").collect()
-    salted = S.join_small(big, small, ["k"], "left", spread_by=["id"], max_rows=1).orderBy("id").collect()
-    assert sent == salted and len(sent) == 1000
-
-
 def test_size_check_counts_bytes(spark):
     wide = spark.createDataFrame([("x" * 100000,)], "t string")
     assert S.is_small(wide) and not S.is_small(wide, max_bytes=1000) and not S.is_small(spark.range(10), max_rows=9)

@@ -46,13 +46,8 @@ STATEMENT = r"""(?s)(?:[^;{}"']++|"(?:[^\\"]++|\\.)*+"|'(?:[^\\']++|\\.)*+'|["']
 
 
 def by_function(df: DataFrame, text: str = "func") -> DataFrame:
-    """idx and comment-free source, spread by idx.
-
-    The number of partitions is stated: left open, adaptive execution would size them by the compact
-    text and merge most of them, although tokens and edges are many times larger.
-    """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = df.select("idx", F.col(text).alias("_raw")).repartition(parts, "idx")
+    """idx and comment-free source, spread by idx as compact text."""
+    spread = df.select("idx", F.col(text).alias("_raw")).repartition("idx")
     return spread.select("idx", strip_comments("_raw").alias("_source"))
 
 

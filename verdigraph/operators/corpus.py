@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from verdigraph.functions.arrays import LAYOUT_MARKERS, SpecialIds, _ids, lay_out
 from verdigraph.functions.text import clean_for, spaced_words, words
-from verdigraph.operators.scale import join_small
 
 # Places kept for the answer, with and without the step-by-step line.
 RESERVE_COT, RESERVE_LOCAL, RESERVE_HOSTED = 200, 20, 30
@@ -32,11 +31,12 @@ def encode(
 ) -> DataFrame:
     """idx, input_ids: the first words of each text as vocabulary ids within ``block`` places.
 
-    Only words that can enter the block are exploded. ``vocab`` has token and id, one row a token.
+    Only words that can enter the block are exploded. ``vocab`` has token and id, one row a token. Words meet
+    it by a plain join: adaptive execution sends it to all tasks if it measures small, and splits hot words.
     """
     room = block - LAYOUT_MARKERS[layout]
     placed = df.select("idx", F.posexplode_outer(F.slice(words(text), 1, room)).alias("_at", "token"))
-    known = join_small(placed, vocab.select("token", "id"), ["token"], "left", spread_by=["idx", "_at"])
+    known = placed.join(vocab.select("token", "id"), "token", "left")
     item = F.when(
         F.col("_at").isNotNull(),
         F.struct("_at", F.coalesce(F.col("id"), F.lit(special.unk)).cast("bigint").alias("id")),
@@ -122,7 +122,7 @@ def with_model_limits(df: DataFrame, limits: DataFrame, model: str = "model") ->
     """max_length per row: the hosted models' fixed limit, else the model's own from ``limits``."""
     hosted = F.create_map(*[F.lit(x) for pair in HOSTED_LIMITS.items() for x in pair])
     own = limits.select(model, F.col("max_length").alias("_own"))
-    joined = join_small(df, own, [model], "left")
+    joined = df.join(own, model, "left")
     return joined.withColumn("max_length", F.coalesce(F.try_element_at(hosted, F.col(model)), F.col("_own"))).drop("_own")
 
 

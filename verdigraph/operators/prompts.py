@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from verdigraph.functions import prompt_text as fixed
 from verdigraph.functions.text import collapse_ws
 from verdigraph.operators.corpus import RESERVE_HOSTED, RESERVE_LOCAL, fit_budget
-from verdigraph.operators.scale import is_small, join_small
+from verdigraph.operators.scale import rank_rows
 
 
 def answer_text(target: Column) -> Column:
@@ -46,6 +46,12 @@ def merge_turns(turns: Column) -> Column:
     return F.array_join(F.transform(turns, lambda t: t["content"]), "\n\n")
 
 
+def merge_dialogs(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", content: str = "text") -> DataFrame:
+    """conv, merged: all contents of each dialog in turn order, equal turns by content, a blank line between them."""
+    listed = F.array_sort(F.collect_list(F.struct(F.col(turn), F.col(content).alias("content"))))
+    return turns.groupBy(conv).agg(merge_turns(listed).alias("merged"))
+
+
 def shot_block(func: Column, target: Column) -> Column:
     """One worked example, question turn then answer turn, each closed by a blank line."""
     turns = F.array(
@@ -97,11 +103,18 @@ def sample_pairs(df: DataFrame, n_pairs: int, n: int, seed: int, key: str = "idx
     return df.withColumn("picks", F.transform(mixed, lambda x: x["p"]))
 
 
-def few_shot(df: DataFrame, shots: DataFrame, n: int, seed: int | None = None, n_pairs: int | None = None, code: str = "func") -> DataFrame:
+def draw_pairs(df: DataFrame, shots: DataFrame, n: int, seed: int, key: str = "idx") -> DataFrame:
+    """key, slot, pair_id: ``n`` distinct stored pairs for each row, drawn by their rank in the pool."""
+    ranked = rank_rows(shots.select("pair_id").distinct(), ["pair_id"], name="_pick")
+    drawn = sample_pairs(df.select(key), ranked.count(), n, seed, key)
+    return drawn.select(key, F.posexplode("picks").alias("slot", "_pick")).join(ranked, "_pick").select(key, "slot", "pair_id")
+
+
+def few_shot(df: DataFrame, shots: DataFrame, n: int, seed: int | None = None, code: str = "func") -> DataFrame:
     """Add system and user turns, worked examples ahead of the question in one user turn.
 
-    Without a seed the first ``n`` example rows serve everyone; with one, ``n`` pairs are drawn per row
-    and met on their number, one join a draw (broadcast only when the pool's size allows it).
+    Without a seed the first ``n`` example rows serve everyone; with one, ``n`` stored pairs are drawn per
+    row. Draws meet their blocks as (idx, slot) rows and become one text a row before the corpus joins, once.
     """
     question = question_with_code(collapse_ws(code))
     out = df.withColumn("system", F.lit(fixed.SYSTEM))
@@ -109,15 +122,11 @@ def few_shot(df: DataFrame, shots: DataFrame, n: int, seed: int | None = None, n
         ordered = F.array_sort(F.collect_list(F.struct("pair_id", "pos_in_pair", shot_block(F.col("func"), F.col("target")).alias("block"))))
         examples = first_shots(shots, n).agg(F.array_join(F.transform(ordered, lambda x: x["block"]), "").alias("block"))
         return out.withColumn("user", F.concat(examples.scalar(), question))
-    blocks = pair_blocks(shots)
-    pool = n_pairs if n_pairs is not None else blocks.count()
-    drawn = sample_pairs(out, pool, n, seed)
-    small = is_small(blocks)
-    for k in range(n):
-        named = blocks.select(F.col("pair_id").alias("_pick"), F.col("block").alias(f"_block{k}"))
-        drawn = join_small(drawn.withColumn("_pick", F.col("picks")[k]), named, ["_pick"], "left", ["idx"], known_small=small).drop("_pick")
-    user = F.concat(*[F.col(f"_block{k}") for k in range(n)], question)
-    return drawn.withColumn("user", user).drop("picks", *[f"_block{k}" for k in range(n)])
+    drawn = draw_pairs(df, shots, n, seed).join(pair_blocks(shots), "pair_id")
+    listed = F.array_sort(F.collect_list(F.struct("slot", "block")))
+    told = drawn.groupBy("idx").agg(F.array_join(F.transform(listed, lambda x: x["block"]), "").alias("_blocks"), F.count(F.lit(1)).alias("_n"))
+    held = F.when(F.col("_n") == n, F.col("_blocks")).otherwise(F.raise_error(F.lit("an example block is missing")))
+    return out.join(told, "idx", "left").withColumn("user", F.concat(held, question)).drop("_blocks", "_n")
 
 
 def route(model: Column) -> Column:
@@ -132,7 +141,8 @@ def route(model: Column) -> Column:
 def render_chat(df: DataFrame, family: Column, max_len: Column, cot: Column, graph_type: Column) -> DataFrame:
     """Lay each dialog out as its family's prompt: fit the user turn, close what was cut, frame it.
 
-    Adds ``family``, ``system_turn``, ``user_turn``, ``prompt`` and ``truncated`` to rows with system
+    Adds ``family``, ``system_turn``, ``user_turn``, ``prompt``, ``truncated``, ``closer`` (what ends a cut turn)
+    and ``step_line`` to rows with system
     and user columns. All families share one pass: their texts are picked per row.
     """
     fam = F.col("family")
@@ -158,20 +168,18 @@ def render_chat(df: DataFrame, family: Column, max_len: Column, cot: Column, gra
     none = F.lit("")
     comment_end = F.when(graph_type.isin(*fixed.CONTEXT_LABELS), F.lit(fixed.COMMENT_END)).otherwise(none)
     cot_line = F.when(cot, pick("cot")).otherwise(none)
-    usual = F.concat(
-        F.col("user_turn"), F.when(F.col("truncated"), F.concat(comment_end, pick("cut"))).otherwise(none), cot_line
-    )
     # Starchat closes the turn itself: the comment end only shows together with the step-by-step line,
     # and a turn that fits is rebuilt from the dialog.
     end = F.lit(fixed.LAYOUTS["starchat"]["user"][1])
-    closed = F.concat(
-        F.col("user_turn"),
-        F.when(cot, F.concat(comment_end, F.lit("\n" + fixed.QUOTES + "\n" + fixed.COT))).otherwise(pick("cut")),
-        end,
-    )
-    rebuilt = F.concat(pick("user", 0), F.col("user"), cot_line, end)
-    own = F.when(F.col("truncated"), closed).otherwise(rebuilt)
-    done = fit.withColumn("user_turn", F.when(fam == "starchat", own).otherwise(usual)).drop("_counted")
+    own_step = F.lit("\n" + fixed.QUOTES + "\n" + fixed.COT)
+    star, cut = fam == "starchat", F.col("truncated")
+    closer = F.when(~cut, none).when(star, F.when(cot, comment_end).otherwise(pick("cut"))).otherwise(F.concat(comment_end, pick("cut")))
+    step_line = F.when(star & cut, F.when(cot, own_step).otherwise(none)).otherwise(cot_line)
+    fit = fit.withColumns({"closer": closer, "step_line": step_line})
+    start = F.when(cut, F.col("user_turn")).otherwise(F.concat(pick("user", 0), F.col("user")))
+    own = F.concat(start, F.col("closer"), F.col("step_line"), end)
+    usual = F.concat(F.col("user_turn"), F.col("closer"), F.col("step_line"))
+    done = fit.withColumn("user_turn", F.when(star, own).otherwise(usual)).drop("_counted")
     return done.withColumn("prompt", F.concat(pick("whole", 0), F.col("system_turn"), F.col("user_turn"), pick("whole", 1)))
 
 

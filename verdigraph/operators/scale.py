@@ -1,4 +1,4 @@
-"""Order-dependent work on keys of any size, and joins against tables of checked size.
+"""Order-dependent work on keys of any size.
 
 A window over a hot key runs in one task. The helpers here cut a key's rows into blocks, work
 inside a block, and carry one summary row per block across; only those summaries are ever
@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 from verdigraph.session import cut_lineage
 
 BLOCK_ROWS = 1 << 16
-SMALL_ROWS = 200_000
-SMALL_BYTES = 64 << 20
-SALTS = 64
 
 
 def _keyed(df: DataFrame, keys: Sequence[str], part: str) -> DataFrame:
@@ -29,13 +26,14 @@ def _keyed(df: DataFrame, keys: Sequence[str], part: str) -> DataFrame:
 def rank_rows(df: DataFrame, order: Sequence[str], keys: Sequence[str] = (), name: str = "pos") -> DataFrame:
     """Exact 0-based position of each row within ``keys``, ordered by ``order`` (a total order).
 
-    Rows are range-partitioned on (keys, order), so a hot key spreads over many partitions. The
-    checkpoint pins every row to its partition; per (key, partition) counts then give the offset. There
-    are at most as many of those as keys and partitions together; they are broadcast if that is little.
+    Only the ordering columns are range-partitioned on (keys, order), so a hot key spreads over many
+    partitions; the checkpoint pins them to their partitions, and counts per (key, partition) give the
+    offsets. Other columns stay out of it: the position comes back to the rows by a join on (keys, order).
     """
     by = [*keys, *order]
+    rest = [c for c in df.columns if c not in by]
     placed = cut_lineage(
-        df.repartitionByRange(*by)
+        df.select(*by).repartitionByRange(*by)
         .sortWithinPartitions(*by)
         .withColumn("_row", F.monotonically_increasing_id())
         .withColumn("_part", F.spark_partition_id())
@@ -46,9 +44,11 @@ def rank_rows(df: DataFrame, order: Sequence[str], keys: Sequence[str] = (), nam
         Window.partitionBy(*[F.col(f"_key.{k}") for k in keys]).orderBy("_key._part").rowsBetween(Window.unboundedPreceding, -1)
     )
     shifts = counts.select("_key", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
-    if is_small(shifts):
-        shifts = F.broadcast(shifts)
-    return placed.join(shifts, "_key").select(*df.columns, (F.col("_row") + F.col("_shift")).alias(name))
+    at = placed.join(shifts, "_key").select(*by, (F.col("_row") + F.col("_shift")).alias(name))
+    if not rest:
+        return at.select(*df.columns, name)
+    # Equal structs meet even where a field is null.
+    return df.withColumn("_by", F.struct(*by)).join(at.select(F.struct(*by).alias("_by"), name), "_by").select(*df.columns, name)
 
 
 def running(
@@ -113,32 +113,3 @@ def full_runs(df: DataFrame, keys: Sequence[str], pos: str, flag: Column, n: int
         .where((F.col("_block") == F.col("_home")) & (F.col("_hits") == n))
         .select(*keys, F.col("_at").alias(pos))
     )
-
-
-def is_small(df: DataFrame, max_rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYTES) -> bool:
-    """Whether a table fits both bounds; reads at most ``max_rows + 1`` rows."""
-    size = F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("bigint"))
-    rows, held = df.limit(max_rows + 1).agg(F.count(F.lit(1)), size).first()
-    return rows <= max_rows and (held or 0) <= max_bytes
-
-
-def join_small(
-    big: DataFrame,
-    small: DataFrame,
-    on: Sequence[str],
-    how: str = "left",
-    spread_by: Sequence[str] = (),
-    max_rows: int = SMALL_ROWS,
-    known_small: bool | None = None,
-) -> DataFrame:
-    """Join with a table that is broadcast only after its size was checked.
-
-    Beyond the bound the join shuffles, the big side salted over ``spread_by`` so that a frequent
-    join key does not land in one task. ``known_small`` passes on the answer of an earlier check.
-    """
-    on = list(on)
-    if is_small(small, max_rows) if known_small is None else known_small:
-        return big.join(F.broadcast(small), on, how)
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in (spread_by or big.columns)]), F.lit(SALTS)).cast("int")
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return big.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")

@@ -21,6 +21,17 @@ def corpus(t: Tables) -> DataFrame:
     )
 
 
+# Every document, its label where it has one.
+ALL_SQL = "SELECT d.doc_id AS idx, d.text AS func, l.toxic AS target FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"
+
+
+def all_texts(t: Tables) -> DataFrame:
+    labels = t.labels.select("doc_id", F.col("toxic").alias("target"))
+    return t.documents.select("doc_id", "text").join(labels, "doc_id", "left").select(
+        F.col("doc_id").alias("idx"), F.col("text").alias("func"), "target"
+    )
+
+
 # C source built from parts: straight-line code, members and a loop, a lone call.
 CODE_EXPR = """CASE p_partkey % 3
  WHEN 0 THEN concat('int f', p_partkey, '(int a, char *s) { /* ', p_name, ' */ int b = a; b = g', p_size % 5,
@@ -132,7 +143,7 @@ def history(t: Tables) -> DataFrame:
     ).agg(F.round(F.avg("o_totalprice") / 1000, 1).alias("bacc"))
 
 
-SHOTS_SQL = """SELECT item_id AS "row", text AS func, CAST(item_id % 2 AS INTEGER) AS target, item_id // 2 AS pair_id,
+SHOTS_SQL = """SELECT item_id AS "row", text AS func, CAST(item_id % 2 AS INTEGER) AS target, item_id // 2 * 7 + 3 AS pair_id,
  CAST(item_id % 2 AS INTEGER) AS pos_in_pair FROM benchmark"""
 
 
@@ -140,7 +151,7 @@ def shots(t: Tables) -> DataFrame:
     item = F.col("item_id")
     return t.benchmark.select(
         item.alias("row"), F.col("text").alias("func"), (item % 2).cast("int").alias("target"),
-        F.floor(item / 2).alias("pair_id"), (item % 2).cast("int").alias("pos_in_pair"),
+        (F.floor(item / 2) * 7 + 3).alias("pair_id"), (item % 2).cast("int").alias("pos_in_pair"),
     )
 
 

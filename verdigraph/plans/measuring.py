@@ -90,12 +90,12 @@ BY = ["model", "graph_type"]
  FROM ({JUDGED_SQL}) j GROUP BY 1, 2""",
             "model, graph_type, n_invalid, n_total",
         ),
-        "model, graph_type, tn, fp, fn, tp, n_invalid, n_total",
+        "model, graph_type, tn, fp, fn, tp, n_invalid, n_total, CAST(n_invalid AS DOUBLE) / n_total AS invalid_ratio",
     ),
 )
 def m4(t):
     named = judged(t).withColumns({"model": F.expr(MODEL_EXPR), "graph_type": F.expr(SETUP_EXPR)})
-    return rounded(M.metrics_by(named, BY)).drop("invalid_ratio")
+    return rounded(M.metrics_by(named, BY))
 
 
 def _cumulative(name: str, cond: str) -> str:

@@ -6,7 +6,7 @@ from verdigraph.functions import prompt_text as fixed
 from verdigraph.functions.text import collapse_ws
 from verdigraph.operators import prompts as P
 from verdigraph.plans import sqltext as S
-from verdigraph.plans.fixtures import CORPUS_SQL, SHOTS_SQL, corpus, shots
+from verdigraph.plans.fixtures import ALL_SQL, SHOTS_SQL, all_texts, shots
 from verdigraph.plans.registry import query
 
 N, SEED = 2, 7
@@ -28,10 +28,10 @@ def ask_sql(code: str) -> str:
 @query(
     "q1_zero_shot",
     f"""SELECT idx, '{fixed.SYSTEM}' AS system, {zero_sql(S.collapse('func'), 'context', 'kind')} AS "user"
- FROM (SELECT *, {CONTEXT_EXPR} AS context, {KIND_EXPR} AS kind FROM ({CORPUS_SQL}) c) d""",
+ FROM (SELECT *, {CONTEXT_EXPR} AS context, {KIND_EXPR} AS kind FROM ({ALL_SQL}) c) d""",
 )
 def q1(t):
-    rows = corpus(t).withColumns({"context": F.expr(CONTEXT_EXPR), "kind": F.expr(KIND_EXPR)})
+    rows = all_texts(t).withColumns({"context": F.expr(CONTEXT_EXPR), "kind": F.expr(KIND_EXPR)})
     return P.zero_shot(rows, F.col("kind")).select("idx", "system", "user")
 
 
@@ -49,33 +49,56 @@ def _below(tag: str, top: str) -> str:
     return f"CAST(('0x' || substr({_hash(tag)}, 1, 12)) AS BIGINT) % ({top})"
 
 
-# Two draws out of p pairs: the second falls back to the last number when it repeats the first.
-PICKS_SQL = f"""{POOL_SQL}, size AS (SELECT count(*) AS p FROM pool),
- d0 AS (SELECT idx, func, {_below("'0'", 'p - 1')} AS a, {_below("'1'", 'p')} AS b, p FROM ({CORPUS_SQL}) c, size),
- d1 AS (SELECT idx, func, a, CASE WHEN a = b THEN p - 1 ELSE b END AS b FROM d0),
- d2 AS (SELECT idx, func, CASE WHEN {_hash("'o' || a")} < {_hash("'o' || b")} THEN [a, b] ELSE [b, a] END AS picks FROM d1)"""
+def picks_sql(n: int) -> str:
+    """picked(idx, func, picks): ``n`` numbers of p pairs, each draw falling back to its range's last number."""
+    steps = f"r0 AS (SELECT idx, func, p, CAST([] AS BIGINT[]) AS l FROM ({ALL_SQL}) c, size)"
+    for k in range(n):
+        top = f"p - {n - k - 1}"
+        number = _below(f"'{k}'", top)
+        steps += f""", r{k + 1} AS (SELECT idx, func, p, list_append(l, CASE WHEN list_contains(l, {number}) THEN {top} - 1 ELSE {number} END) AS l FROM r{k})"""
+    tag = "'o' || x"
+    order = f"list_transform(list_sort(list_transform(l, lambda x: {{'h': {_hash(tag)}, 'p': x}})), lambda y: y.p)"
+    return f"""{POOL_SQL}, numbered AS (SELECT pair_id, b, row_number() OVER (ORDER BY pair_id) - 1 AS num FROM pool),
+ size AS (SELECT count(*) AS p FROM pool), {steps}, picked AS (SELECT idx, func, {order} AS picks FROM r{n})"""
 
 
-@query("q2_few_shot_random", f"""WITH {PICKS_SQL} SELECT d2.idx, concat(x.b, y.b, {ask_sql(S.collapse('d2.func'))}) AS "user"
- FROM d2 JOIN pool x ON x.pair_id = d2.picks[1] JOIN pool y ON y.pair_id = d2.picks[2]""")
+def few_sql(n: int) -> str:
+    blocks = " JOIN ".join(f"numbered b{k} ON b{k}.num = q.picks[{k + 1}]" for k in range(n))
+    return f"""WITH {picks_sql(n)} SELECT q.idx, concat({', '.join(f'b{k}.b' for k in range(n))}, {ask_sql(S.collapse('q.func'))}) AS "user"
+ FROM picked q JOIN {blocks}"""
+
+
+@query("q2_few_shot_random", few_sql(N))
 def q2(t):
-    return P.few_shot(corpus(t), shots(t), N, seed=SEED).select("idx", "user")
+    return P.few_shot(all_texts(t), shots(t), N, seed=SEED).select("idx", "user")
+
+
+@query("q2_few_shot_three", few_sql(3))
+def q2_three(t):
+    return P.few_shot(all_texts(t), shots(t), 3, seed=SEED).select("idx", "user")
 
 
 @query(
     "q2_few_shot_fixed",
     f"""WITH f AS (SELECT string_agg(b, '' ORDER BY pair_id, pos_in_pair) AS b FROM (SELECT pair_id, pos_in_pair, {BLOCK_SQL} AS b FROM ({SHOTS_SQL}) s ORDER BY pair_id, pos_in_pair LIMIT {N}) x)
- SELECT idx, concat(f.b, {ask_sql(S.collapse('c.func'))}) AS "user" FROM ({CORPUS_SQL}) c, f""",
+ SELECT idx, concat(f.b, {ask_sql(S.collapse('c.func'))}) AS "user" FROM ({ALL_SQL}) c, f""",
 )
 def q2_fixed(t):
-    return P.few_shot(corpus(t), shots(t), N).select("idx", "user")
+    return P.few_shot(all_texts(t), shots(t), N).select("idx", "user")
 
 
-@query("q3_sample_pairs", f"WITH {PICKS_SQL} SELECT idx, picks[1] AS first, picks[2] AS second FROM d2")
+@query(
+    "q3_sample_pairs",
+    f"""WITH {picks_sql(N)} SELECT q.idx, x.pair_id AS first, y.pair_id AS second FROM picked q
+ JOIN numbered x ON x.num = q.picks[1] JOIN numbered y ON y.num = q.picks[2]""",
+)
 def q3(t):
-    pool = shots(t).select("pair_id").distinct().count()
-    drawn = P.sample_pairs(corpus(t), pool, N, SEED)
-    return drawn.select("idx", F.col("picks")[0].alias("first"), F.col("picks")[1].alias("second"))
+    drawn = P.draw_pairs(all_texts(t), shots(t), N, SEED)
+
+    def at(slot):
+        return F.max(F.when(F.col("slot") == slot, F.col("pair_id")))
+
+    return drawn.groupBy("idx").agg(at(0).alias("first"), at(1).alias("second"))
 
 
 @query("q4_first_shots", f"""SELECT "row", pair_id, pos_in_pair, target, func FROM ({SHOTS_SQL}) s ORDER BY pair_id, pos_in_pair LIMIT 3""")
@@ -83,24 +106,17 @@ def q4(t):
     return P.first_shots(shots(t), 3).select("row", "pair_id", "pos_in_pair", "target", "func")
 
 
-@query("q5_answer_text", f"SELECT idx, target, {ANSWER_SQL} AS answer FROM ({CORPUS_SQL}) c")
+@query("q5_answer_text", f"SELECT idx, target, {ANSWER_SQL} AS answer FROM ({ALL_SQL}) c")
 def q5(t):
-    return corpus(t).select("idx", "target", P.answer_text(F.col("target")).alias("answer"))
+    return all_texts(t).select("idx", "target", P.answer_text(F.col("target")).alias("answer"))
 
 
-# An exchange is a user turn with the turn after it, so a long conversation spreads over many rows.
 @query(
     "q6_merge_turns",
-    """SELECT conv_id, turn // 2 AS exchange, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS merged FROM conversations GROUP BY 1, 2""",
+    "SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn, text) AS merged FROM conversations GROUP BY 1",
 )
 def q6(t):
-    def at(i):
-        return F.max(F.when(F.col("turn") % 2 == i, F.struct("role", F.col("text").alias("content"))))
-
-    pairs = t.conversations.groupBy("conv_id", F.floor(F.col("turn") / 2).alias("exchange")).agg(
-        F.array_compact(F.array(at(0), at(1))).alias("turns")
-    )
-    return pairs.select("conv_id", "exchange", P.merge_turns(F.col("turns")).alias("merged"))
+    return P.merge_dialogs(t.conversations)
 
 
 MODEL_EXPR = """CASE idx % 6 WHEN 0 THEN 'gpt-3.5-turbo-0125' WHEN 1 THEN 'CodeLlama-7b' WHEN 2 THEN 'deepseek-coder-6.7b'
@@ -122,39 +138,40 @@ def _pick(part: str, at: int | None = None) -> str:
 
 
 RENDER_SQL = f"""WITH base AS (SELECT idx, kind, cot, family, '{fixed.SYSTEM}' AS system, {zero_sql(S.collapse('func'), 'context', 'kind')} AS usr
-  FROM (SELECT *, {CONTEXT_EXPR} AS context, {KIND_EXPR} AS kind, {COT_EXPR} AS cot, {FAMILY_EXPR} AS family FROM ({CORPUS_SQL}) c) d),
+  FROM (SELECT *, {CONTEXT_EXPR} AS context, {KIND_EXPR} AS kind, {COT_EXPR} AS cot, {FAMILY_EXPR} AS family FROM ({ALL_SQL}) c) d),
  turned AS (SELECT *, {_pick('system', 0)} || system || {_pick('system', 1)} AS st, {S.spaced(f"{_pick('user', 0)} || usr || {_pick('user', 1)}")} AS p FROM base),
  roomed AS (SELECT *, {CAP} - len({S.spaced("CASE WHEN family = 'mistral' THEN system ELSE st END")}) - CASE WHEN cot THEN 205 WHEN family = 'gpt' THEN 30 ELSE 20 END AS room FROM turned),
  fit AS (SELECT *, array_to_string(p[1:room], '') AS ut, len(p) >= room AS truncated,
   CASE WHEN kind IN ('data_flow', 'api_call') THEN '*/' ELSE '' END AS ce FROM roomed),
- done AS (SELECT idx, family, truncated, st, CASE WHEN family = 'starchat' THEN CASE WHEN truncated
-   THEN ut || CASE WHEN cot THEN ce || {_lit(chr(10) + "'''" + chr(10) + fixed.COT)} ELSE {_pick('cut')} END || {_lit('<|end|>' + chr(10))}
-   ELSE {_pick('user', 0)} || usr || CASE WHEN cot THEN {_pick('cot')} ELSE '' END || {_lit('<|end|>' + chr(10))} END
-  ELSE ut || CASE WHEN truncated THEN ce || {_pick('cut')} ELSE '' END || CASE WHEN cot THEN {_pick('cot')} ELSE '' END END AS user_turn FROM fit)
- SELECT idx, family, truncated, user_turn, {_pick('whole', 0)} || st || user_turn || {_pick('whole', 1)} AS prompt FROM done"""
+ closed AS (SELECT *, CASE WHEN NOT truncated THEN '' WHEN family = 'starchat' THEN CASE WHEN cot THEN ce ELSE {_pick('cut')} END ELSE ce || {_pick('cut')} END AS closer,
+  CASE WHEN NOT cot THEN '' WHEN family = 'starchat' AND truncated THEN {_lit(chr(10) + "'''" + chr(10) + fixed.COT)} ELSE {_pick('cot')} END AS step_line FROM fit),
+ done AS (SELECT idx, family, truncated, closer, step_line, st, CASE WHEN family = 'starchat'
+   THEN CASE WHEN truncated THEN ut ELSE {_pick('user', 0)} || usr END || closer || step_line || {_lit('<|end|>' + chr(10))}
+  ELSE ut || closer || step_line END AS user_turn FROM closed)
+ SELECT idx, family, truncated, closer, step_line, user_turn, {_pick('whole', 0)} || st || user_turn || {_pick('whole', 1)} AS prompt FROM done"""
 
 
 def rendered(t):
-    rows = corpus(t).withColumns(
+    rows = all_texts(t).withColumns(
         {"context": F.expr(CONTEXT_EXPR), "kind": F.expr(KIND_EXPR), "cot": F.expr(COT_EXPR), "model": F.expr(MODEL_EXPR)}
     )
     asked = P.zero_shot(rows, F.col("kind"))
     return P.render_chat(asked, P.route(F.col("model")), F.lit(CAP), F.col("cot"), F.col("kind"))
 
 
-@query("q7_render_chat", RENDER_SQL)
+@query("q7_render_chat", f"SELECT idx, family, truncated, user_turn, prompt FROM ({RENDER_SQL}) r")
 def q7(t):
     return rendered(t).select("idx", "family", "truncated", "user_turn", "prompt")
 
 
-@query("q8_closers", f"SELECT idx, family, truncated, right(user_turn, 40) AS tail FROM ({RENDER_SQL}) r")
+@query("q8_closers", f"SELECT idx, family, truncated, closer, step_line FROM ({RENDER_SQL}) r")
 def q8(t):
-    return rendered(t).select("idx", "family", "truncated", F.right("user_turn", F.lit(40)).alias("tail"))
+    return rendered(t).select("idx", "family", "truncated", "closer", "step_line")
 
 
-@query("q9_route", f"SELECT idx, {MODEL_EXPR} AS model, {FAMILY_EXPR} AS family FROM ({CORPUS_SQL}) c")
+@query("q9_route", f"SELECT idx, {MODEL_EXPR} AS model, {FAMILY_EXPR} AS family FROM ({ALL_SQL}) c")
 def q9(t):
-    rows = corpus(t).select("idx", F.expr(MODEL_EXPR).alias("model"))
+    rows = all_texts(t).select("idx", F.expr(MODEL_EXPR).alias("model"))
     return rows.withColumn("family", P.route(F.col("model")))
 
 
@@ -169,20 +186,20 @@ CONFIG_SQL = "SELECT * FROM (VALUES " + ", ".join(
 ) + ") v(model, prompt_type, graph_type)"
 
 
-@query("q10_sweep", f"SELECT c.idx, c.target, v.* FROM ({CORPUS_SQL}) c, ({CONFIG_SQL}) v")
+@query("q10_sweep", f"SELECT c.idx, c.target, v.* FROM ({ALL_SQL}) c, ({CONFIG_SQL}) v")
 def q10(t):
-    return P.expand_sweep(corpus(t).select("idx", "target"), CONFIGS)
+    return P.expand_sweep(all_texts(t).select("idx", "target"), CONFIGS)
 
 
 @query(
     "q11_with_context",
     f"""SELECT idx, model, graph_type, {zero_sql('code', 'context', 'graph_type')} AS "user" FROM (
  SELECT c.idx, v.model, v.graph_type, {S.collapse('c.func')} AS code, CASE WHEN (v.graph_type = 'api_call' AND idx % 4 = 0) OR (v.graph_type = 'data_flow' AND idx % 4 = 1)
-  THEN {CONTEXT_EXPR} ELSE '' END AS context FROM ({CORPUS_SQL}) c, ({CONFIG_SQL}) v WHERE v.prompt_type = 'zero_shot') x""",
+  THEN {CONTEXT_EXPR} ELSE '' END AS context FROM ({ALL_SQL}) c, ({CONFIG_SQL}) v WHERE v.prompt_type = 'zero_shot') x""",
 )
 def q11(t):
     """Prompts of the zero-shot part of the sweep, each with the context its configuration asks for."""
-    rows = corpus(t).withColumn("func", collapse_ws("func"))
+    rows = all_texts(t).withColumn("func", collapse_ws("func"))
     kind = F.when(F.col("idx") % 4 == 0, "api_call").when(F.col("idx") % 4 == 1, "data_flow")
     contexts = rows.select("idx", kind.alias("kind"), F.expr(CONTEXT_EXPR).alias("text")).where("kind IS NOT NULL")
     zero = [c for c in CONFIGS if c["prompt_type"] == "zero_shot"]

@@ -1,5 +1,8 @@
 """Readers and sinks: each query writes to the shared folder and reads its own files back."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigraph import sources as IO
@@ -28,13 +31,14 @@ def s2(t):
     return IO.read_shots(t.spark, path)
 
 
-@query("s3_read_responses", f"SELECT CAST(idx AS VARCHAR) AS idx, target, response FROM ({RESPONSES_SQL}) r WHERE config = 0")
+@query("s3_read_responses", f"SELECT config, CAST(idx AS VARCHAR) AS idx, target, response FROM ({RESPONSES_SQL}) r")
 def s3(t):
-    """A log that exists, and one that does not."""
+    """The log of every configuration, and one that does not exist."""
     path = scratch_path(t.spark, "log")
-    rows = responses(t).where("config = 0").select(F.col("idx").cast("string").alias("idx"), "target", "response")
-    rows.write.json(path)
-    return IO.read_responses(t.spark, path).union(IO.read_responses(t.spark, path + "-absent"))
+    rows = responses(t).select("config", F.col("idx").cast("string").alias("idx"), "target", "response")
+    rows.write.partitionBy("config").json(path)
+    logs = [IO.read_responses(t.spark, f"{path}/config={c}").select(F.lit(c).alias("config"), "*") for c in range(4)]
+    return reduce(DataFrame.union, logs)
 
 
 @query("s4_predictions", f"SELECT concat('idx: ', idx, ', pred: ', pred, ', target: ', target) AS value FROM ({PRED_SQL}) p")
@@ -61,20 +65,21 @@ def s6(t):
 
 @query(
     "s7_append_responses",
-    f"""SELECT 'log' AS kept_in, CAST(idx AS VARCHAR) AS idx, target, response FROM ({RESPONSES_SQL}) r WHERE config < 2 AND idx % 7 <> 0
- UNION ALL SELECT 'run', CAST(idx AS VARCHAR), target, response FROM ({RESPONSES_SQL}) r WHERE config = 1 AND idx % 7 <> 0""",
+    f"""SELECT 'log' AS kept_in, CAST(idx AS VARCHAR) AS idx, target, response FROM ({RESPONSES_SQL}) r WHERE idx % 7 <> 0
+ UNION ALL SELECT concat('run ', config), CAST(idx AS VARCHAR), target, response FROM ({RESPONSES_SQL}) r WHERE idx % 7 <> 0""",
 )
 def s7(t):
-    """Two runs append to one log; the second run's own copy is read too. Failed requests are not kept."""
+    """Three runs append to one log; each run's own copy is read too. Failed requests are not kept."""
     log = scratch_path(t.spark, "log")
-    for config in (0, 1):
+    copies = []
+    for config in range(3):
         own = scratch_path(t.spark, "run")
         asked = responses(t).where(F.col("config") == config).select(
             F.col("idx").cast("string").alias("idx"), "target", F.when(F.col("idx") % 7 != 0, F.col("response")).alias("response")
         )
         IO.append_responses(asked, log, own)
-    kept = IO.read_responses(t.spark, log).select(F.lit("log").alias("kept_in"), "*")
-    return kept.union(IO.read_responses(t.spark, own).select(F.lit("run"), "*"))
+        copies.append(IO.read_responses(t.spark, own).select(F.lit(f"run {config}").alias("kept_in"), "*"))
+    return reduce(DataFrame.union, copies, IO.read_responses(t.spark, log).select(F.lit("log").alias("kept_in"), "*"))
 
 
 @query("s8_history", LONG_SQL)
