@@ -3,8 +3,8 @@
 A window is ``WINDOW`` consecutive words of one document. Every window has an anchor, its least hash of
 ``GRAM`` words, and windows are equal only if their anchors are; anchors that occur once are dropped
 (``blocks``). Each document's stretches around recurring anchors are dealt by anchor into shards. A shard
-counts the windows in its stretches, keeps those that recur, compiles them into automata over word numbers
-and streams all its stretches through them, which locates every occurrence. The earliest occurrence of a
+confirms the passages that recur (a stretch whose anchor has no other stretch recurs as a whole; else its
+windows are counted), compiles them into automata over word numbers and streams all its stretches through them, which locates every occurrence. The earliest occurrence of a
 window is its smallest (doc_id, start); the answer to a batch says where windows occur earlier, and the batch
 removes the words they cover.
 
@@ -19,6 +19,7 @@ windows at the same (doc_id, start), of which neither is earlier; an empty table
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -74,40 +75,54 @@ def opened(batch: Batch, answers, blocks: int, window: int):
     return found, flagged, *found.stretches(flagged, window)
 
 
-def locate(stretches: list[list[int]], where: list[tuple[int, int]], several: list[bool], window: int) -> list[list[tuple[int, int, int]]]:
+def locate(stretches: list[list[int]], where: list[tuple[int, int]], several: list[bool], alone: list[bool], window: int) -> list[list[tuple[int, int, int]]]:
     """For each stretch (offset, doc, start) of its recurring windows' earliest occurrence.
 
-    ``where`` is each stretch's own earliest place, ``several`` whether it stands at more than one.
+    ``where`` is each stretch's own earliest place, ``several`` whether it stands at more than one, and
+    ``alone`` whether no other stretch has its anchor: then it recurs as a whole or not at all.
     """
     import ahocorasick
 
-    seen: dict[tuple[int, ...], int] = {}
+    seen: set[tuple[int, ...]] = set()
     patterns: dict[tuple[int, ...], int] = {}
-    for ids, many in zip(stretches, several):
+    for ids, many, whole in zip(stretches, several, alone):
+        if whole:
+            if many:
+                patterns.setdefault(tuple(ids), len(patterns))
+            continue
         for i in range(len(ids) - window + 1):
             key = tuple(ids[i : i + window])
             if many or key in seen:
                 patterns.setdefault(key, len(patterns))
             else:
-                seen[key] = 1
+                seen.add(key)
     del seen
     if not patterns:
         return [[] for _ in stretches]
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    sizes = []
     for key, number in patterns.items():
         automaton.add_word(key, number)
+        sizes.append(len(key))
     automaton.make_automaton()
     earliest: list[tuple[int, int] | None] = [None] * len(patterns)
     hits = []
-    for ids, (doc, start) in zip(stretches, where):
-        own = [(end - window + 1, number) for end, number in automaton.iter(tuple(ids))]
+    for ids, (doc, start), many, whole in zip(stretches, where, several, alone):
+        own = [(end - sizes[number] + 1, number) for end, number in automaton.iter(tuple(ids))] if many or not whole else []
         hits.append(own)
         for off, number in own:
             place = (doc, start + off)
             best = earliest[number]
             if best is None or place < best:
                 earliest[number] = place
-    return [[(off, *earliest[number]) for off, number in own] for own in hits]
+    out = []
+    for own in hits:
+        rows = []
+        for off, number in own:
+            doc, at = earliest[number]
+            rows += [(off + i, doc, at + i) for i in range(sizes[number] - window + 1)]
+        out.append(rows)
+    return out
 
 
 def as_runs(found: list[tuple[int, int, int]], high: tuple[int, int]) -> list[tuple[int, int, int, int]]:
@@ -177,13 +192,15 @@ def phrase_runs(batches: DataFrame, window: int = WINDOW) -> tuple[DataFrame, in
         order = sorted(range(len(index)), key=lambda n, keys=[k for k, _ in index]: keys[n])
         contents = list(index)
         found: list[list[tuple[int, int, int]]] = [[] for _ in order]
+        anchored = Counter(k for k, _ in contents)
         group: list[int] = []
         held = 0
 
         def run_group():
             names: dict[bytes, int] = {}
             stretches = [[names.setdefault(w, len(names)) for w in contents[n][1].split(b" ")] for n in group]
-            for n, hits in zip(group, locate(stretches, [low[n] for n in group], [several[n] for n in group], window)):
+            alone = [anchored[contents[n][0]] == 1 for n in group]
+            for n, hits in zip(group, locate(stretches, [low[n] for n in group], [several[n] for n in group], alone, window)):
                 found[n] = hits
 
         for i, n in enumerate(order):
