@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdigraph.functions.answers import simple_verdict
 from verdigraph.functions.numeric import py_round, ratio
 
 COUNTS = ("tn", "fp", "fn", "tp")
@@ -96,3 +97,16 @@ def metrics_frac(
 def metrics_by(df: DataFrame, by: Sequence[str], pred: str = "pred", target: str = "target") -> DataFrame:
     """Fraction metrics for every configuration."""
     return metrics_frac(df, by, pred, target)
+
+
+def evaluate(corpus: DataFrame, log: DataFrame, configs: Sequence, by: str = "config") -> DataFrame:
+    """Metrics of each configuration over all test rows: corpus, answer log, verdicts, counts.
+
+    ``corpus``: idx, target; ``log``: ``by``, idx, response. Every configuration is asked every row, so a row
+    without a line in the log counts as invalid there, as does an answer that gives no verdict. Of several
+    lines for one row the least text stands.
+    """
+    asked = corpus.select("idx", "target", F.explode(F.array(*[F.lit(c) for c in configs])).alias(by))
+    said = log.groupBy(by, "idx").agg(F.min("response").alias("response"))
+    judged = asked.join(said, [by, "idx"], "left").withColumn("pred", simple_verdict(F.col("response")))
+    return metrics_frac(judged, [by])

@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from verdigraph.operators import runs as R
-from verdigraph.operators.baseline import fit_baseline, score_baseline
+from verdigraph.operators.baseline import bayes, fit_baseline, score_baseline
 from verdigraph.operators.metrics import metrics_pct
+from verdigraph.plans import sqltext as S
 from verdigraph.plans.budgets import SPLIT_EXPR
 from verdigraph.plans.fixtures import CORPUS_SQL, RESPONSES_SQL, STEPS_SQL, corpus, responses, steps
 from verdigraph.plans.measuring import COUNTS_SQL, JUDGED_SQL
@@ -80,8 +81,40 @@ def c6(t):
     return drain_to_table(score_stream(stream))
 
 
-@query("c7_baseline")
+ALPHAS = (0.1, 1.0)
+
+
+def _score_sql(alpha: float, split: str) -> str:
+    odds = f"ln((c1 + {alpha}::DOUBLE) / (t1 + {alpha}::DOUBLE * v)) - ln((c0 + {alpha}::DOUBLE) / (t0 + {alpha}::DOUBLE * v))"
+    return f"""SELECT e.idx, e.target, round(coalesce(sum({odds}), 0.0) + any_value(p), 6) AS score FROM (SELECT idx, target, unnest(l) AS token FROM toks WHERE split = '{split}') e
+ LEFT JOIN counts USING (token), totals, prior GROUP BY 1, 2"""
+
+
+def _bacc_sql(source: str) -> str:
+    rate = "CAST(count(CASE WHEN target = {0} AND (score > 0) = {1} THEN 1 END) AS DOUBLE) / nullif(count(CASE WHEN target = {0} THEN 1 END), 0)"
+    return f"SELECT round(coalesce((coalesce({rate.format(1, 'true')}, 0.0) + {rate.format(0, 'false')}) / 2, 0.0), 9) AS bacc FROM ({source}) s"
+
+
+BAYES_SQL = f"""WITH toks AS (SELECT idx, target, {SPLIT_EXPR} AS split, {S.words('func')} AS l FROM ({CORPUS_SQL}) c),
+ counts AS (SELECT token, count(CASE WHEN target = 0 THEN 1 END) AS c0, count(CASE WHEN target = 1 THEN 1 END) AS c1
+  FROM (SELECT target, unnest(l) AS token FROM toks WHERE split = 'train') e GROUP BY token),
+ totals AS (SELECT sum(c0) AS t0, sum(c1) AS t1, count(*) AS v FROM counts),
+ prior AS (SELECT ln(count(CASE WHEN target = 1 THEN 1 END)) - ln(count(CASE WHEN target = 0 THEN 1 END)) AS p FROM toks WHERE split = 'train'),
+ tried AS ({' UNION ALL '.join(f"SELECT {i} AS i, {a}::DOUBLE AS alpha, b.bacc FROM ({_bacc_sql(_score_sql(a, 'valid'))}) b" for i, a in enumerate(ALPHAS))}),
+ best AS (SELECT alpha, bacc FROM tried ORDER BY bacc DESC, i LIMIT 1),
+ tested AS ({' UNION ALL '.join(f"SELECT {a}::DOUBLE AS alpha, x.* FROM ({_score_sql(a, 'test')}) x" for a in ALPHAS)})
+ SELECT idx, target, CASE WHEN score > 0 THEN 1 ELSE 0 END AS pred, alpha, bacc AS valid_bacc FROM tested JOIN best USING (alpha)"""
+
+
+@query("c7_baseline", BAYES_SQL)
 def c7(t):
+    rows = corpus(t).withColumn("split", F.expr(SPLIT_EXPR))
+    parts = [rows.where(F.col("split") == s) for s in ("train", "valid", "test")]
+    return bayes(*parts, ALPHAS).select("idx", "target", "pred", "alpha", "valid_bacc")
+
+
+@query("c7_logistic")
+def c7_logistic(t):
     rows = corpus(t).withColumn("split", F.expr(SPLIT_EXPR))
     fitted = fit_baseline(rows.where("split = 'train'"), rows.where("split = 'valid'"))
     tested = score_baseline(fitted, rows.where("split = 'test'"))

@@ -6,7 +6,7 @@ from verdigraph.functions.answers import simple_verdict
 from verdigraph.functions.scores import verdict
 from verdigraph.operators import history as H
 from verdigraph.operators import metrics as M
-from verdigraph.plans.fixtures import HISTORY_SQL, RESPONSES_SQL, SCORED_SQL, STEPS_SQL, history, responses, scored, steps
+from verdigraph.plans.fixtures import CORPUS_SQL, HISTORY_SQL, RESPONSES_SQL, SCORED_SQL, STEPS_SQL, corpus, history, responses, scored, steps
 from verdigraph.plans.registry import query
 
 SIMPLE_SQL = """CASE WHEN contains(lower(response), 'yes') OR contains(lower(response), 'is vulnerable') OR contains(lower(response), 'true') THEN 1
@@ -98,6 +98,26 @@ def m4(t):
     return rounded(M.metrics_by(named, BY))
 
 
+ASKED_SQL = f"""SELECT a.config, a.idx, a.target, {SIMPLE_SQL} AS pred FROM (SELECT idx, target, unnest([0, 1, 2]) AS config FROM ({CORPUS_SQL}) c) a
+ LEFT JOIN (SELECT config, idx, response FROM ({RESPONSES_SQL}) r WHERE (idx + config) % 7 <> 0) l ON l.config = a.config AND l.idx = a.idx"""
+
+
+@query(
+    "r8_evaluate",
+    rounded_sql(
+        fractions_sql(
+            f"SELECT config, {COUNTS_SQL}, count(CASE WHEN pred IS NULL THEN 1 END) AS n_invalid, count(*) AS n_total FROM ({ASKED_SQL}) j GROUP BY config",
+            "config, n_invalid, n_total",
+        ),
+        "config, tn, fp, fn, tp, n_invalid, n_total, CAST(n_invalid AS DOUBLE) / n_total AS invalid_ratio",
+    ),
+)
+def r8(t):
+    """Some rows have no line in the log at all."""
+    log = responses(t).where((F.col("idx") + F.col("config")) % 7 != 0).select("config", "idx", "response")
+    return rounded(M.evaluate(corpus(t), log, range(3)))
+
+
 def _cumulative(name: str, cond: str) -> str:
     return f"CAST(sum(CASE WHEN {cond} THEN 1 ELSE 0 END) OVER (PARTITION BY run, epoch ORDER BY step) AS BIGINT) AS {name}"
 
