@@ -31,7 +31,19 @@ def test_statements_split_like_tokens(spark):
 def test_calls(spark):
     source = "int f(int a) { g(h(a)); p->q . r (1); sizeof(a); int k(int); return m(2); if (a) x[1].z(3); } int after(void);"
     got = C.call_sites(corpus(spark, source)).orderBy("ord").collect()
-    assert [r["callee"] for r in got] == ["g", "h", "p->q.r", "m", "z"]
+    assert [r["callee"] for r in got] == ["g", "h", "p->q.r", "m", "x[1].z"]
+    source = "void f() { arr[i + 1].run(x); p->ops[j]->go(y); (*fp)(z); if (*p) (q); t[a][b](1); t[u(1)].v(2); }"
+    got = C.call_sites(corpus(spark, source)).orderBy("ord").collect()
+    assert [r["callee"] for r in got] == ["arr[i+1].run", "p->ops[j]->go", "", "t[a][b]", "u", "v"]
+
+
+def test_type_names_are_no_identifiers(spark):
+    source = "static int f(const struct buf *p, my_t k) { union u v; my_t w = p->n + arr[i].len; (*fp)(w); }"
+    df = corpus(spark, source)
+    names = {"f", "p", "k", "v", "w", "arr", "i", "fp"}
+    assert {r["text"] for r in C.identifiers(C.tokens(df)).collect()} == names
+    assert {r["text"] for r in C.function_variables(df).collect()} == names
+    assert not {"static", "const", "struct", "buf", "my_t", "union", "u"} & {e[1] for e in edges_of(spark, source)}
 
 
 def test_call_sentence(spark):

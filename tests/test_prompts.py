@@ -43,6 +43,19 @@ def test_few_shot_random(spark):
     assert len(got) == 40 and set(got) == allowed
 
 
+def test_few_shot_draws_stored_pair_numbers(spark):
+    shots = spark.createDataFrame([(10 * p + 10, i, f, t) for p, i, f, t in SHOTS], "pair_id bigint, pos_in_pair int, func string, target int")
+    rows = spark.range(30).select(F.col("id").alias("idx"), F.lit("q").alias("func"))
+    assert P.few_shot(rows, shots, 2, seed=1).where("user is null").count() == 0
+    drawn = P.draw_pairs(rows, shots, 3, 1)
+    assert {r["pair_id"] for r in drawn.collect()} == {10, 20, 30} and drawn.count() == 90
+
+
+def test_merge_dialogs(spark):
+    turns = spark.createDataFrame([(1, 1, "b"), (1, 0, "a"), (1, 1, "b"), (2, 5, "z")], "conv_id bigint, turn int, text string")
+    assert {r["conv_id"]: r["merged"] for r in P.merge_dialogs(turns).collect()} == {1: "a\n\nb\n\nb", 2: "z"}
+
+
 def test_sample_pairs_is_even(spark):
     rows = spark.range(6000).withColumnRenamed("id", "idx")
     drawn = P.sample_pairs(rows, 4, 2, 9)

@@ -11,6 +11,8 @@ TYPE_WORDS = (
     "register", "restrict", "short", "signed", "size_t", "ssize_t", "static", "struct", "typedef",
     "union", "unsigned", "void", "volatile",
 )
+# Type words that are a whole type on their own.
+PRIMITIVE_TYPES = ("bool", "char", "double", "float", "int", "size_t", "ssize_t", "void")
 # Type words followed by a tag name.
 TAGGED_TYPES = ("struct", "union", "enum")
 

@@ -35,10 +35,11 @@ def token_kind(text: Column) -> Column:
     )
 
 
-# As above with a member chain (a->b.c) as one token.
-CHAIN_TOKEN = TOKEN.replace(
-    f"|{fixed.NAME}|", f"|{fixed.NAME}(?:{SPACE}*(?:->|\\.){SPACE}*{fixed.NAME})*+|", 1
-)
+# As above with a member chain (a->b[i].c) as one token; a subscript that holds a call ends the chain.
+CHAIN = f"{fixed.NAME}(?:{SPACE}*(?:->|\\.){SPACE}*{fixed.NAME}|{SPACE}*\\[[^\\[\\]()]*\\])*"
+CHAIN_TOKEN = TOKEN.replace(f"|{fixed.NAME}|", f"|{CHAIN}+|", 1)
+# A name in a chain that is no member of another.
+OUTER_NAME = r"(?<!\.)(?<!->)(?<![A-Za-z0-9_])[A-Za-z_][A-Za-z0-9_]*"
 
 
 # Text up to the next ; { or } outside literals.
@@ -52,12 +53,14 @@ def by_function(df: DataFrame, text: str = "func") -> DataFrame:
 
 
 def split_tokens(source: Column, chains: bool = False) -> Column:
-    """Token texts of a source as an array; ``chains`` takes names joined by ``.`` or ``->`` as one."""
+    """Token texts of a source as an array; ``chains`` takes names joined by ``.``, ``->`` or a subscript as one."""
     return F.regexp_extract_all(source, F.lit(CHAIN_TOKEN if chains else TOKEN), F.lit(0))
 
 
 def tokens(df: DataFrame, text: str = "func", chains: bool = False) -> DataFrame:
-    """idx, pos, text, kind, before, next: tokens in source order with their neighbours' texts.
+    """idx, pos, text, kind, before, next, through: tokens in source order with their neighbours' texts.
+
+    ``through`` marks the bracket that opens a call through a pointer, ``(*f)(``.
 
     Literals stay whole, comments are gone. Neighbours are read off the array before it is unrolled,
     so looking one token ahead or back needs no window.
@@ -69,18 +72,28 @@ def tokens(df: DataFrame, text: str = "func", chains: bool = False) -> DataFrame
             x.alias("text"),
             F.when(i > 0, F.get("_l", i - 1)).otherwise(F.lit("")).alias("before"),
             F.coalesce(F.get("_l", i + 1), F.lit("")).alias("next"),
+            F.coalesce(
+                (x == "(") & (F.get("_l", i + 1) == "*") & (F.get("_l", i + 3) == ")") & (F.get("_l", i + 4) == "(")
+                & (token_kind(F.get("_l", i + 2)) == "ident"),
+                F.lit(False),
+            ).alias("through"),
         ),
     )
     rows = listed.select("idx", F.posexplode(near).alias("pos", "_t")).select("idx", "pos", "_t.*")
     if chains:
         name = F.col("text").rlike("^[A-Za-z_]")
         rows = rows.withColumn("text", F.when(name, F.regexp_replace("text", SPACE, "")).otherwise(F.col("text")))
-    return rows.select("idx", "pos", "text", token_kind(F.col("text")).alias("kind"), "before", "next")
+    return rows.select("idx", "pos", "text", token_kind(F.col("text")).alias("kind"), "before", "next", "through")
+
+
+def is_type_name() -> Column:
+    """A name after ``struct``, ``union`` or ``enum``, or right before another name."""
+    return F.col("before").isin(*fixed.TAGGED_TYPES) | (token_kind(F.col("next")) == "ident")
 
 
 def identifiers(toks: DataFrame) -> DataFrame:
-    """Distinct names per function, members after ``.`` or ``->`` left out."""
-    names = toks.where((F.col("kind") == "ident") & ~F.col("before").isin(*fixed.MEMBER))
+    """Distinct names per function, members after ``.`` or ``->`` and names of types left out."""
+    names = toks.where((F.col("kind") == "ident") & ~F.col("before").isin(*fixed.MEMBER) & ~is_type_name())
     return names.select("idx", "text").distinct()
 
 
@@ -92,20 +105,28 @@ def _with_depth(chained: DataFrame) -> DataFrame:
 
 def _is_call() -> Column:
     declares = token_kind(F.col("before")).isin("ident", "type")
-    return (F.col("kind") == "ident") & (F.col("next") == "(") & (F.col("_depth") > 0) & ~declares
+    named = (F.col("kind") == "ident") & (F.col("next") == "(") & ~declares
+    through = F.col("through") & ~token_kind(F.col("before")).isin("ident", "type", "keyword")
+    return (named | through) & (F.col("_depth") > 0)
+
+
+def _callee() -> Column:
+    """The text before a call's first bracket: nothing, if it goes through a pointer."""
+    return F.when(F.col("kind") == "ident", F.col("text")).otherwise(F.lit(""))
 
 
 def call_sites(df: DataFrame, text: str = "func") -> DataFrame:
-    """idx, ord, callee in source order; member chains ``a->b`` and ``a.b`` kept, repeats kept.
+    """idx, ord, callee in source order; member chains ``a->b`` and ``a[i].b`` kept, repeats kept.
 
     A call is a name before ``(`` inside a body; a name right after another name or a type declares.
+    ``(*f)(x)`` is a call whose callee is empty.
     A chain that does not start at a name (``f(x)->g``) keeps what follows that start. Only braces and
     names before ``(`` enter the window that counts depth.
     """
     named = (F.col("kind") == "ident") & (F.col("next") == "(")
-    seen = _with_depth(tokens(df, text, chains=True).where(named | F.col("text").isin("{", "}")))
+    seen = _with_depth(tokens(df, text, chains=True).where(named | F.col("through") | F.col("text").isin("{", "}")))
     ordered = Window.partitionBy("idx").orderBy("pos")
-    return seen.where(_is_call()).select("idx", F.row_number().over(ordered).alias("ord"), F.col("text").alias("callee"))
+    return seen.where(_is_call()).select("idx", F.row_number().over(ordered).alias("ord"), _callee().alias("callee"))
 
 
 def distinct_calls(calls: DataFrame) -> DataFrame:
@@ -176,11 +197,15 @@ def _untaken(named: DataFrame) -> DataFrame:
 def function_variables(df: DataFrame, text: str = "func") -> DataFrame:
     """As :func:`variables`, straight from source: names and calls of one pass over glued chains.
 
-    A chain's first name is an identifier unless it follows a member operator; the rest are members.
+    A chain's first name is an identifier unless it follows a member operator or names a type; the names in
+    its subscripts are identifiers too, the rest are members.
     """
-    seen = _with_depth(tokens(df, text, chains=True).where((F.col("kind") == "ident") | F.col("text").isin("{", "}")))
-    name = F.when((F.col("kind") == "ident") & ~F.col("before").isin(*fixed.MEMBER), F.regexp_extract("text", fixed.NAME, 0))
+    seen = _with_depth(tokens(df, text, chains=True).where((F.col("kind") == "ident") | F.col("through") | F.col("text").isin("{", "}")))
+    names = F.regexp_extract_all("text", F.lit(OUTER_NAME), F.lit(0))
+    inner = F.filter(F.slice(names, 2, F.greatest(F.size(names) - 1, F.lit(0))), lambda x: token_kind(x) == "ident")
+    first = F.when(F.col("before").isin(*fixed.MEMBER) | is_type_name(), F.array().cast("array<string>")).otherwise(F.slice(names, 1, 1))
+    found = F.when(F.col("kind") == "ident", F.concat(first, inner))
     named = seen.groupBy("idx").agg(
-        F.collect_set(name).alias("_ids"), F.collect_set(F.when(_is_call(), F.col("text"))).alias("_callees")
+        F.array_distinct(F.flatten(F.collect_set(found))).alias("_ids"), F.collect_set(F.when(_is_call(), _callee())).alias("_callees")
     )
     return _untaken(named)

@@ -40,8 +40,9 @@ CODE_EXPR = """CASE p_partkey % 3
    ', k; char *q = p->data; // ', p_name, chr(10), '  ', chr(10), ' memcpy(p->data, q, len); p->size = len; k = len;',
    ' while (len > 0) { --len; logger->write_', p_size % 4, '("/* no */", len); } total += len * k;',
    ' return p->ops.run(p, len); }')
- ELSE concat('void f', p_partkey, '(void) { unsigned long x = ', p_size, '; for (int i = 0; i < 9; i++) { x = x * i; y = x;',
-   ' } /* ', p_brand, ' */ done(x, ', chr(39), '/', chr(39), ', f', p_partkey, ', y); }')
+ ELSE concat('static void f', p_partkey, '(const struct tab *tabs, my_t k) { unsigned long x = ', p_size, '; for (int i = 0; i < 9; i++) { x = x * i; y = x;',
+   ' } /* ', p_brand, ' */ static const my_t w = x; tabs[x].run_', p_size % 3, '(w, k);
+   tabs->ops[x + k]->go[', p_size % 4, '](y); (*handler)(w); if (x) tabs[pick(x)].close(k); done(x, ', chr(39), '/', chr(39), ', f', p_partkey, ', y); }')
  END"""
 CODE_SQL = f"SELECT p_partkey AS idx, {CODE_EXPR} AS func, p_size % 2 AS target FROM part"
 

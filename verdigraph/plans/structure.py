@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from verdigraph.functions import c_words
+from verdigraph.functions.text import SPACE
 from verdigraph.operators import code as C
 from verdigraph.operators import flow as G
 from verdigraph.operators.corpus import subtoken_spans
@@ -27,8 +28,9 @@ def calls(t):
     return C.call_sites(code_corpus(t))
 
 
-IDS = f"""ids AS (SELECT DISTINCT idx, text FROM (SELECT *, coalesce(lag(text) OVER (PARTITION BY idx ORDER BY pos), '') AS before FROM toks) x
- WHERE kind = 'ident' AND before NOT IN {MEMBER})"""
+TAGGED = S.in_list(c_words.TAGGED_TYPES)
+IDS = f"""ids AS (SELECT DISTINCT idx, text FROM (SELECT *, coalesce(lag(text) OVER w, '') AS before, coalesce(lead(kind) OVER w, 'op') AS after_kind
+  FROM toks WINDOW w AS (PARTITION BY idx ORDER BY pos)) x WHERE kind = 'ident' AND before NOT IN {MEMBER} AND before NOT IN {TAGGED} AND after_kind <> 'ident')"""
 
 
 @query("g2_identifiers", f"WITH {TOKS}, {IDS} SELECT idx, text FROM ids")
@@ -36,14 +38,17 @@ def g2(t):
     return C.identifiers(toks(t))
 
 
-# Calls read off the text itself: a member chain followed by an opening bracket, not after a name or type.
-CALLS = f"""near AS (SELECT *, lead(text) OVER w AS nxt, coalesce(lag(text) OVER w, '') AS before, coalesce(lag(kind) OVER w, 'op') AS before_kind,
-  sum(CASE text WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END) OVER w AS depth FROM toks WINDOW w AS (PARTITION BY idx ORDER BY pos)),
- chains AS (SELECT *, sum(CASE WHEN text IN {MEMBER} OR before IN {MEMBER} THEN 0 ELSE 1 END) OVER (PARTITION BY idx ORDER BY pos) AS chain FROM near),
- heads AS (SELECT *, string_agg(text, '') OVER c AS joined, first_value(kind) OVER c AS head, first_value(before_kind) OVER c AS head_before
-  FROM chains WINDOW c AS (PARTITION BY idx, chain ORDER BY pos)),
- calls AS (SELECT idx, row_number() OVER (PARTITION BY idx ORDER BY pos) AS ord, CASE WHEN head = 'ident' THEN joined ELSE text END AS callee
-  FROM heads WHERE kind = 'ident' AND nxt = '(' AND depth > 0 AND head_before NOT IN ('ident', 'type'))"""
+# Calls read off the text itself: a chain of members and subscripts before an opening bracket, not after a
+# name or type; or a bracketed pointer before one.
+CHAIN = f"{c_words.NAME}(?:{SPACE}*(?:->|\\.){SPACE}*{c_words.NAME}|{SPACE}*\\[[^\\[\\]()]*\\])*"
+CALLS = f"""clisted AS (SELECT idx, regexp_extract_all({S.uncommented('func')}, {S.quoted(S.TOKEN.replace(f"|{c_words.NAME}|", f"|{CHAIN}|", 1))}) AS l FROM code),
+ ccut AS (SELECT idx, u.i AS pos, CASE WHEN regexp_matches(u.w, '^[A-Za-z_]') THEN regexp_replace(u.w, '{SPACE}', '', 'g') ELSE u.w END AS text FROM clisted, unnest(clisted.l) WITH ORDINALITY AS u(w, i)),
+ ckind AS (SELECT *, {S.KIND} AS kind FROM ccut),
+ near AS (SELECT *, lead(text) OVER w AS nxt, coalesce(lag(kind) OVER w, 'op') AS before_kind, lead(kind, 2) OVER w AS kind2, lead(text, 3) OVER w AS text3, lead(text, 4) OVER w AS text4,
+  sum(CASE text WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END) OVER w AS depth FROM ckind WINDOW w AS (PARTITION BY idx ORDER BY pos)),
+ calls AS (SELECT idx, row_number() OVER (PARTITION BY idx ORDER BY pos) AS ord, CASE WHEN kind = 'ident' THEN text ELSE '' END AS callee
+  FROM near WHERE depth > 0 AND ((kind = 'ident' AND nxt = '(' AND before_kind NOT IN ('ident', 'type'))
+   OR (text = '(' AND nxt = '*' AND kind2 = 'ident' AND text3 = ')' AND text4 = '(' AND before_kind NOT IN ('ident', 'type', 'keyword'))))"""
 
 
 @query("g3_call_sites", f"WITH {TOKS}, {CALLS} SELECT idx, CAST(ord AS INTEGER) AS ord, callee FROM calls")
@@ -100,9 +105,9 @@ EDGES = f"""a1 AS (SELECT *, coalesce(lag(text) OVER w, '') AS bf, coalesce(lead
   coalesce(max(CASE WHEN pos < eq AND (text IN ('(', ')', ',', '&&', '||', '?', ':') OR kind = 'keyword') THEN pos END) OVER s, -1) AS tfrom,
   min(CASE WHEN pos > eq AND (lvl < eqlvl OR (text = ',' AND lvl = eqlvl)) THEN pos END) OVER s AS vto,
   min(CASE WHEN text = ',' AND pos > hpos AND lvl = hlvl THEN pos END) OVER s AS comma FROM a4 WINDOW s AS (PARTITION BY idx, stmt)),
- a6 AS (SELECT *, CASE WHEN kind NOT IN {VALUE_KINDS} OR (decl AND pos >= hpos AND comma IS NOT NULL AND pos > comma) THEN NULL
+ a6 AS (SELECT *, CASE WHEN kind NOT IN {VALUE_KINDS} OR bf IN {TAGGED} OR (kind = 'ident' AND nk = 'ident') OR (kind = 'type' AND text NOT IN {S.in_list(c_words.PRIMITIVE_TYPES)}) OR (decl AND pos >= hpos AND comma IS NOT NULL AND pos > comma) THEN NULL
   WHEN decl AND pos >= hpos AND NOT coalesce(pos > eq, false) THEN
-   CASE WHEN kind = 'type' OR bf IN {S.in_list(c_words.TAGGED_TYPES)} OR (pos = hpos AND kind = 'ident') THEN NULL ELSE 'name' END
+   CASE WHEN kind = 'type' OR (pos = hpos AND kind = 'ident') THEN NULL ELSE 'name' END
   WHEN decl AND pos >= hpos THEN 'value' WHEN header THEN 'use'
   WHEN kind = 'ident' AND (bf IN {STEPPING} OR nx IN {STEPPING}) THEN 'step'
   WHEN eq IS NOT NULL AND pos > eq AND (vto IS NULL OR pos < vto) THEN 'value'
@@ -110,7 +115,7 @@ EDGES = f"""a1 AS (SELECT *, coalesce(lag(text) OVER w, '') AS bf, coalesce(lead
  a7 AS (SELECT *, CASE WHEN part IN ('target', 'name') THEN 1 ELSE 0 END AS late FROM a6 WHERE part IS NOT NULL),
  a8 AS (SELECT *, CASE WHEN part IN ('target', 'name', 'step') OR (kind = 'ident' AND row_number() OVER (PARTITION BY idx, text ORDER BY stmt, late, pos) = 1) THEN pos END AS def FROM a7),
  a9 AS (SELECT *, last_value(def IGNORE NULLS) OVER (PARTITION BY idx, text ORDER BY stmt, late, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS src FROM a8),
- edges AS (SELECT idx, pos, text AS var, 'comesFrom' AS rel, CASE WHEN src IS NULL THEN NULL ELSE text END AS dep, src AS dep_pos FROM a9 WHERE part IN ('use', 'value') OR (part = 'name' AND NOT assigned AND false)
+ edges AS (SELECT idx, pos, text AS var, 'comesFrom' AS rel, CASE WHEN src IS NULL THEN NULL ELSE text END AS dep, src AS dep_pos FROM a9 WHERE part IN ('use', 'value')
   UNION ALL SELECT idx, pos, text, 'comesFrom', NULL, NULL FROM a9 WHERE part = 'name' AND NOT assigned
   UNION ALL SELECT idx, pos, text, 'computedFrom', text, pos FROM a9 WHERE part = 'step'
   UNION ALL SELECT l.idx, l.pos, l.text, CASE l.part WHEN 'name' THEN 'comesFrom' ELSE 'computedFrom' END, r.text, r.pos
