@@ -29,6 +29,7 @@ from verdigraph.llm.common import map_texts
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 STEPS = 64
 QUERY_BYTES = 400_000
+# Entries a worker keeps; what comes later, when the frequent words are in, is kept for its slice alone.
 KEPT_WORDS, KEPT_PIECES = 800_000, 500_000
 DECODE_TOKENS = 500_000
 SPACE = re.compile(r"\s")
@@ -123,12 +124,9 @@ class Codec:
         data = tokens[order].astype(np.int32).tobytes()
         return [data[a:b] for a, b in zip(cuts, cuts[1:])]
 
-    def _learn(self, words: set[str]) -> None:
-        """Encode the words not yet held."""
+    def _learn(self, words: set[str]) -> set[str]:
+        """Encode the words not yet held, and name them."""
         missing = words - self.words.keys()
-        if len(self.words) + len(missing) > KEPT_WORDS:
-            self.words.clear()
-            missing = words
         batch, held = [], 0
         for word in sorted(missing):
             batch.append(word)
@@ -138,6 +136,7 @@ class Codec:
                 batch, held = [], 0
         if batch:
             self.words.update(zip(batch, self.encode_words(batch)))
+        return missing
 
     def _matches(self, piece: str) -> list[str] | None:
         """Matches in a blank and the piece; None if the piece may not stand alone."""
@@ -158,18 +157,18 @@ class Codec:
         cut = [t.split(" ") for t in rows]
         used = set().union(*[c[1:] for c in cut])
         fresh = used - self.pieces.keys()
-        if len(self.pieces) + len(fresh) > KEPT_PIECES:
-            self.pieces.clear()
-            fresh = used
         found = {p: self._matches(p) for p in fresh}
         kept = self.pieces
         kept.update((p, None) for p, m in found.items() if m is None)
         get = kept.get
-        whole = [i for i, c in enumerate(cut) if c[0] and SPACE.match(c[0][-1]) or any(kept.get(p, "") is None for p in c[1:])] if None in found.values() or self.odd else [i for i, c in enumerate(cut) if c[0] and SPACE.match(c[0][-1])]
         self.odd = self.odd or None in found.values()
+        whole = [
+            i for i, c in enumerate(cut)
+            if c[0] and SPACE.match(c[0][-1]) or self.odd and any(kept.get(p, b"") is None for p in c[1:])
+        ]
         heads = {i: self.pattern.findall(c[0]) for i, c in enumerate(cut)}
         heads.update((i, self.pattern.findall(rows[i])) for i in whole)
-        self._learn(set().union(*heads.values(), *[m for m in found.values() if m]))
+        learned = self._learn(set().union(*heads.values(), *[m for m in found.values() if m]))
         word = self.words.__getitem__
         kept.update((p, b"".join(map(word, m))) for p, m in found.items() if m)
         out = []
@@ -179,6 +178,10 @@ class Codec:
             if i not in skip:
                 data += b"".join(map(get, c[1:]))
             out.append(np.frombuffer(data, dtype=np.int32))
+        for held, new, most in ((kept, fresh, KEPT_PIECES), (self.words, learned, KEPT_WORDS)):
+            if len(held) > most:
+                for p in new:
+                    del held[p]
         return out
 
     def decode(self, encoded: list[np.ndarray]) -> list[bytes]:

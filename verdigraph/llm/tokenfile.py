@@ -33,7 +33,8 @@ SHARD_IDS = 1 << 20
 SELECT_STEP = 64
 DOCS_PER_BUCKET = 4000
 MAX_BUCKETS = 20_000
-KEPT_PIECES, KEPT_WORDS = 320_000, 200_000
+# Entries a worker keeps; what comes later, when the frequent words are in, is kept for its slice alone.
+KEPT_PIECES, KEPT_WORDS = 450_000, 350_000
 ENCODE_BYTES = 1 << 20
 CONTROL_SPACE = re.compile("[\x1c-\x1f]")
 # The tokenizer's own split of a text without white space, for Latin-1 characters, where its
@@ -158,7 +159,9 @@ class WordEncoder:
         got = self.words.get(word)
         if got is None:
             seen = word if word.isascii() and word.isalnum() else word.encode().decode("latin-1").translate(self.shown)
-            got = self.words[word] = self._raw([t.id for t in self.model.tokenize(seen)])
+            got = self._raw([t.id for t in self.model.tokenize(seen)])
+            if len(self.words) < KEPT_WORDS:
+                self.words[word] = got
         return got
 
     def _piece(self, piece: str) -> bytes:
@@ -172,15 +175,14 @@ class WordEncoder:
     def encode(self, rows: list[str]) -> list[bytes]:
         cut = [None if CONTROL_SPACE.search(t) else t.split() for t in rows]
         fresh = set().union(*[c for c in cut if c]) - self.pieces.keys()
-        if len(self.pieces) + len(fresh) > KEPT_PIECES:
-            self.pieces.clear()
-            fresh = set().union(*[c for c in cut if c])
-        if len(self.words) + len(fresh) > KEPT_WORDS:
-            self.words.clear()
         self.pieces.update((p, self._piece(p)) for p in fresh)
         get = self.pieces.__getitem__
         whole = lambda t: self._raw(self.tokenizer.encode(t, add_special_tokens=False).ids)
-        return [whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(rows, cut)]
+        out = [whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(rows, cut)]
+        if len(self.pieces) > KEPT_PIECES:
+            for p in fresh:
+                del self.pieces[p]
+        return out
 
 
 @functools.lru_cache(maxsize=1)
