@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -13,7 +14,7 @@ from verdigraph import build_session  # noqa: E402
 def spark():
     session = build_session(
         "tests", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="8g",
-        spark__ui__showConsoleProgress="false",
+        spark__ui__showConsoleProgress="false", spark__checkpoint__dir=tempfile.mkdtemp(prefix="tests-"),
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -4,10 +4,13 @@ from pyspark.sql import functions as F
 
 from verdigraph.functions import prompt_text as fixed
 from verdigraph.functions.text import collapse_ws
+from verdigraph.operators import code as C
+from verdigraph.operators import flow as G
 from verdigraph.operators import prompts as P
 from verdigraph.plans import sqltext as S
-from verdigraph.plans.fixtures import ALL_SQL, SHOTS_SQL, all_texts, shots
+from verdigraph.plans.fixtures import ALL_SQL, CODE_SQL, SHOTS_SQL, all_texts, code_corpus, shots
 from verdigraph.plans.registry import query
+from verdigraph.plans.structure import G4_SQL, G12_SQL
 
 N, SEED = 2, 7
 
@@ -49,9 +52,9 @@ def _below(tag: str, top: str) -> str:
     return f"CAST(('0x' || substr({_hash(tag)}, 1, 12)) AS BIGINT) % ({top})"
 
 
-def picks_sql(n: int) -> str:
+def picks_sql(n: int, source: str = ALL_SQL) -> str:
     """picked(idx, func, picks): ``n`` numbers of p pairs, each draw falling back to its range's last number."""
-    steps = f"r0 AS (SELECT idx, func, p, CAST([] AS BIGINT[]) AS l FROM ({ALL_SQL}) c, size)"
+    steps = f"r0 AS (SELECT idx, func, p, CAST([] AS BIGINT[]) AS l FROM ({source}) c, size)"
     for k in range(n):
         top = f"p - {n - k - 1}"
         number = _below(f"'{k}'", top)
@@ -62,9 +65,9 @@ def picks_sql(n: int) -> str:
  size AS (SELECT count(*) AS p FROM pool), {steps}, picked AS (SELECT idx, func, {order} AS picks FROM r{n})"""
 
 
-def few_sql(n: int) -> str:
+def few_sql(n: int, source: str = ALL_SQL) -> str:
     blocks = " JOIN ".join(f"numbered b{k} ON b{k}.num = q.picks[{k + 1}]" for k in range(n))
-    return f"""WITH {picks_sql(n)} SELECT q.idx, concat({', '.join(f'b{k}.b' for k in range(n))}, {ask_sql(S.collapse('q.func'))}) AS "user"
+    return f"""WITH {picks_sql(n, source)} SELECT q.idx, concat({', '.join(f'b{k}.b' for k in range(n))}, {ask_sql(S.collapse('q.func'))}) AS "user"
  FROM picked q JOIN {blocks}"""
 
 
@@ -137,18 +140,26 @@ def _pick(part: str, at: int | None = None) -> str:
     return f"CASE family {whens} END"
 
 
-RENDER_SQL = f"""WITH base AS (SELECT idx, kind, cot, family, '{fixed.SYSTEM}' AS system, {zero_sql(S.collapse('func'), 'context', 'kind')} AS usr
-  FROM (SELECT *, {CONTEXT_EXPR} AS context, {KIND_EXPR} AS kind, {COT_EXPR} AS cot, {FAMILY_EXPR} AS family FROM ({ALL_SQL}) c) d),
+BASE_SQL = f"""SELECT idx, kind, cot, family, '{fixed.SYSTEM}' AS system, {zero_sql(S.collapse('func'), 'context', 'kind')} AS usr
+  FROM (SELECT *, {CONTEXT_EXPR} AS context, {KIND_EXPR} AS kind, {COT_EXPR} AS cot, {FAMILY_EXPR} AS family FROM ({ALL_SQL}) c) d"""
+
+
+def render_sql(base: str, keep: str = "idx") -> str:
+    """Rendered prompts of a relation with kind, cot, family, system and usr; ``keep`` names its key columns."""
+    return f"""WITH base AS ({base}),
  turned AS (SELECT *, {_pick('system', 0)} || system || {_pick('system', 1)} AS st, {S.spaced(f"{_pick('user', 0)} || usr || {_pick('user', 1)}")} AS p FROM base),
  roomed AS (SELECT *, {CAP} - len({S.spaced("CASE WHEN family = 'mistral' THEN system ELSE st END")}) - CASE WHEN cot THEN 205 WHEN family = 'gpt' THEN 30 ELSE 20 END AS room FROM turned),
  fit AS (SELECT *, array_to_string(p[1:room], '') AS ut, len(p) >= room AS truncated,
   CASE WHEN kind IN ('data_flow', 'api_call') THEN '*/' ELSE '' END AS ce FROM roomed),
  closed AS (SELECT *, CASE WHEN NOT truncated THEN '' WHEN family = 'starchat' THEN CASE WHEN cot THEN ce ELSE {_pick('cut')} END ELSE ce || {_pick('cut')} END AS closer,
   CASE WHEN NOT cot THEN '' WHEN family = 'starchat' AND truncated THEN {_lit(chr(10) + "'''" + chr(10) + fixed.COT)} ELSE {_pick('cot')} END AS step_line FROM fit),
- done AS (SELECT idx, family, truncated, closer, step_line, st, CASE WHEN family = 'starchat'
+ done AS (SELECT {keep}, family, truncated, closer, step_line, st, CASE WHEN family = 'starchat'
    THEN CASE WHEN truncated THEN ut ELSE {_pick('user', 0)} || usr END || closer || step_line || {_lit('<|end|>' + chr(10))}
   ELSE ut || closer || step_line END AS user_turn FROM closed)
- SELECT idx, family, truncated, closer, step_line, user_turn, {_pick('whole', 0)} || st || user_turn || {_pick('whole', 1)} AS prompt FROM done"""
+ SELECT {keep}, family, truncated, closer, step_line, user_turn, {_pick('whole', 0)} || st || user_turn || {_pick('whole', 1)} AS prompt FROM done"""
+
+
+RENDER_SQL = render_sql(BASE_SQL)
 
 
 def rendered(t):
@@ -206,3 +217,28 @@ def q11(t):
     swept = P.expand_sweep(P.attach_contexts(rows, contexts), zero)
     asked = P.zero_shot(swept.withColumn("context", P.context_of(F.col("graph_type"))), F.col("graph_type"))
     return asked.select("idx", "model", "graph_type", "user")
+
+
+CODE_FAMILY = "CASE v.model WHEN 'gpt-3.5-turbo-0125' THEN 'gpt' ELSE 'llama' END"
+KEYS = "idx, model, prompt_type, graph_type"
+TOLD_SQL = "coalesce(CASE v.graph_type WHEN 'api_call' THEN a.text WHEN 'data_flow' THEN d.text END, '')"
+TABLE_BASE = f"""SELECT c.idx, v.model, v.prompt_type, v.graph_type, v.graph_type AS kind, c.idx % 2 = 0 AS cot, {CODE_FAMILY} AS family, '{fixed.SYSTEM}' AS system,
+ CASE v.prompt_type WHEN 'few_shots' THEN f."user" ELSE {zero_sql(S.collapse('c.func'), TOLD_SQL, 'v.graph_type')} END AS usr
+ FROM ({CODE_SQL}) c CROSS JOIN ({CONFIG_SQL}) v LEFT JOIN ({G4_SQL}) a ON a.idx = c.idx LEFT JOIN ({G12_SQL}) d ON d.idx = c.idx
+ JOIN ({few_sql(N, CODE_SQL)}) f ON f.idx = c.idx"""
+
+
+@query("q12_prompt_table", f"SELECT {KEYS}, truncated, prompt FROM ({render_sql(TABLE_BASE, KEYS)}) r")
+def q12(t):
+    """Source to prompt: call and flow sentences, both prompt types, chat layout and budget, for the whole sweep."""
+    rows = code_corpus(t)
+    calls = C.call_sentence(C.call_sites(rows)).withColumn("kind", F.lit("api_call"))
+    edges = G.align_deps(G.reindex_edges(G.prune_edges(G.def_use(rows))))
+    flow = G.flow_sentences(edges, C.function_variables(rows)).withColumn("kind", F.lit("data_flow"))
+    asked = P.few_shot(rows, shots(t), N, seed=SEED).withColumnRenamed("user", "_few")
+    told = P.attach_contexts(asked, calls.unionByName(flow))
+    swept = P.expand_sweep(told, CONFIGS).withColumn("context", P.context_of(F.col("graph_type")))
+    turned = P.zero_shot(swept, F.col("graph_type"))
+    turned = turned.withColumn("user", F.when(F.col("prompt_type") == "few_shots", F.col("_few")).otherwise(F.col("user")))
+    ready = P.render_chat(turned, P.route(F.col("model")), F.lit(CAP), F.col("idx") % 2 == 0, F.col("graph_type"))
+    return ready.select("idx", "model", "prompt_type", "graph_type", "truncated", "prompt")

@@ -61,12 +61,12 @@ def g3_distinct(t):
     return C.distinct_calls(calls(t))
 
 
-@query(
-    "g4_call_sentence",
-    f"""WITH {TOKS}, {CALLS} SELECT idx, string_agg(CASE WHEN ord = 1 THEN concat('The program first calls ', callee, ', ')
+G4_SQL = f"""WITH {TOKS}, {CALLS} SELECT idx, string_agg(CASE WHEN ord = 1 THEN concat('The program first calls ', callee, ', ')
  WHEN ord = n THEN concat('and finally calls ', callee, '.') ELSE concat('then calls ', callee, ', ') END, '' ORDER BY ord) AS text
- FROM (SELECT *, count(*) OVER (PARTITION BY idx) AS n FROM calls) c GROUP BY idx""",
-)
+ FROM (SELECT *, count(*) OVER (PARTITION BY idx) AS n FROM calls) c GROUP BY idx"""
+
+
+@query("g4_call_sentence", G4_SQL)
 def g4(t):
     return C.call_sentence(calls(t))
 
@@ -250,14 +250,14 @@ def _nth(c: str) -> str:
     return f"concat({c}, CASE {c} WHEN 1 THEN 'st' WHEN 2 THEN 'nd' WHEN 3 THEN 'rd' ELSE 'th' END)"
 
 
-@query(
-    "g12_flow_sentences",
-    f"""WITH {TOKS}, {IDS}, {CALLS}, {VARS}, {EDGES}, {PRUNED}, {NODES},
+G12_SQL = f"""WITH {TOKS}, {IDS}, {CALLS}, {VARS}, {EDGES}, {PRUNED}, {NODES},
  occ AS (SELECT *, row_number() OVER (PARTITION BY idx, var ORDER BY node) AS n FROM nodes)
  SELECT o.idx, string_agg(concat('The ', {_nth('o.n')}, ' ', o.var, CASE o.rel WHEN 'computedFrom' THEN ' is computed from ' ELSE ' comes from ' END,
   'the ', {_nth('d.n')}, ' ', o.dep, '. '), '' ORDER BY o.node) AS text
- FROM occ o JOIN vars v ON v.idx = o.idx AND v.text = o.var JOIN occ d ON d.idx = o.idx AND d.node = o.dep_node GROUP BY o.idx""",
-)
+ FROM occ o JOIN vars v ON v.idx = o.idx AND v.text = o.var JOIN occ d ON d.idx = o.idx AND d.node = o.dep_node GROUP BY o.idx"""
+
+
+@query("g12_flow_sentences", G12_SQL)
 def g12(t):
     names = C.function_variables(code_corpus(t))
     return G.flow_sentences(G.align_deps(G.reindex_edges(G.prune_edges(G.def_use(code_corpus(t))))), names)
