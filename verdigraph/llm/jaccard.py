@@ -13,7 +13,8 @@ of which can lose a link:
    suffices, the two are linked already, which settles most of a large group of near copies by a star.
 4. The other pairs: shingles ordered by frequency, rarest first; two sets that link must meet in their
    prefixes of size - need + 1. Classes are laid into tiles of about ``TILE`` similar ones. A pair of
-   tiles is multiplied only if two classes of different components meet in a prefix column there; the
+   tiles is multiplied only if classes of different components and near enough sizes meet in a prefix
+   column there; the
    product counts overlaps exactly, and pairs below 3/7 (for 75 percent) of the summed sizes are dropped.
 
 Links become components by contraction. No step holds all pairs of a group, and no list of links is
@@ -199,46 +200,53 @@ def hub_overlaps(rows: DataFrame, blocks: int) -> DataFrame:
     return stored(parts.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b")), "hubs")
 
 
-def tiles_of(rows: DataFrame, hubs: DataFrame, linked: DataFrame) -> DataFrame:
-    """rep, comp, tile: tiles hold about ``TILE`` classes of one family; a large component has tiles of its own."""
+def tiles_of(rows: DataFrame, hubs: DataFrame, linked: DataFrame, percent: int) -> DataFrame:
+    """rep, comp, tile: tiles hold about ``TILE`` classes of one family and like size; a large component has its own."""
     best = hubs.groupBy("a").agg(F.max_by("b", F.struct("overlap", "b")).alias("hub"))
     comp = linked.select(F.col("node").alias("rep"), F.col("root").alias("comp"))
+    size_class = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent))).alias("class")
     placed = (
-        rows.select("rep").join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        rows.select("rep", size_class).join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
         .join(best.select(F.col("a").alias("rep"), "hub"), "rep", "left").withColumn("hub", F.coalesce("hub", "rep"))
         .join(comp.select(F.col("rep").alias("hub"), F.col("comp").alias("family")), "hub", "left").withColumn("family", F.coalesce("family", "hub"))
     )
     size = placed.groupBy("comp").agg(F.count(F.lit(1)).alias("held"))
     placed = placed.join(size, "comp").withColumn("own", F.when(F.col("held") >= TILE // 4, F.col("comp")).otherwise(F.lit(-1)))
-    group = placed.groupBy("family", "own").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("parts"))
-    placed = placed.join(group, ["family", "own"])
+    group = placed.groupBy("family", "own", "class").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("parts"))
+    placed = placed.join(group, ["family", "own", "class"])
     part = F.pmod(F.xxhash64("rep"), F.col("parts"))
-    return stored(placed.select("rep", "comp", F.xxhash64("family", "own", part).alias("tile")), "tiles")
+    return stored(placed.select("rep", "comp", F.xxhash64("family", "own", "class", part).alias("tile")), "tiles")
 
 
-def tile_pairs(rows: DataFrame, blocks: int) -> DataFrame:
-    """i, j: tiles in which classes of different components meet in a prefix column."""
+def tile_pairs(rows: DataFrame, blocks: int, percent: int) -> DataFrame:
+    """i, j: tiles in which classes of different components and near enough sizes meet in a prefix column."""
 
     def meet(table: pa.Table) -> dict:
-        key, (tile, comp) = open_block(table, 2)
+        key, (tile, comp, n) = open_block(table, 3)
         found: set[tuple[int, int]] = set()
         cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             if b - a < 2 or (comp[a:b] == comp[a]).all():
                 continue
             held: dict[int, set[int]] = {}
-            for t, c in zip(tile[a:b].tolist(), comp[a:b].tolist()):
+            sizes: dict[int, list[int]] = {}
+            for t, c, m in zip(tile[a:b].tolist(), comp[a:b].tolist(), n[a:b].tolist()):
                 held.setdefault(t, set()).add(c)
-            names = sorted(held)
+                span = sizes.setdefault(t, [m, m])
+                span[:] = min(span[0], m), max(span[1], m)
+            names = sorted(held, key=lambda t: sizes[t])
             for x, t in enumerate(names):
                 if len(held[t]) > 1:
                     found.add((t, t))
                 for u in names[x + 1 :]:
+                    if 100 * sizes[t][1] < percent * sizes[u][0]:
+                        # Every class of u is too large for all of t; later ones start no smaller.
+                        break
                     if len(held[t]) > 1 or len(held[u]) > 1 or held[t] != held[u]:
-                        found.add((t, u))
+                        found.add((min(t, u), max(t, u)))
         return {"i": [p[0] for p in found], "j": [p[1] for p in found]}
 
-    return grouped(column_blocks(rows, blocks, ["tile", "comp"], True), "block", meet, "i long, j long").distinct()
+    return grouped(column_blocks(rows, blocks, ["tile", "comp", "n"], True), "block", meet, "i long, j long").distinct()
 
 
 class Tile:
@@ -337,9 +345,9 @@ def link(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
     hubs = hub_overlaps(rows, blocks)
     sure = hubs.where((100 + percent) * F.col("overlap") >= percent * (F.col("n_a") + F.col("n_b")))
     linked = components(sure)
-    tiles = tiles_of(rows, hubs, linked)
+    tiles = tiles_of(rows, hubs, linked, percent)
     laid = stored(rows.join(tiles, "rep"), "laid")
-    more = components(tile_links(laid, stored(tile_pairs(laid, blocks), "pairs"), percent))
+    more = components(tile_links(laid, stored(tile_pairs(laid, blocks, percent), "pairs"), percent))
     final = (
         classes.select("digest", "rep")
         .join(linked.select(F.col("node").alias("rep"), F.col("root").alias("first")), "rep", "left")
