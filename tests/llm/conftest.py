@@ -38,7 +38,3 @@ def documents(spark, messy):
 @pytest.fixture(scope="session")
 def nothing(spark):
     return spark.createDataFrame([], "doc_id long, text string")
-
-
-def rows_of(df, *columns):
-    return sorted((tuple(r) for r in df.select(*columns).collect()), key=lambda r: tuple((x is not None, x) for x in r))

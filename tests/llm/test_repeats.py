@@ -3,7 +3,7 @@ import random
 import brute
 import numpy as np
 import pytest
-from conftest import rows_of
+from brute import rows_of
 
 from verdigraph.llm import jaccard, phrases, repeats
 from verdigraph.llm.components import components

@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
-from conftest import rows_of
+from brute import rows_of
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 

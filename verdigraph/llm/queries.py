@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from verdigraph.llm import bpe, decontam, imi, jaccard, licenses, phrases, pii, quality, repeats, tokenfile
+from verdigraph.llm.checks import SQL  # noqa: F401  with the queries, for the entry
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
 WORD_BPE = "word_bpe_49k.json"
@@ -63,4 +64,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_inverted_multi_index, op2_latent_leaks, op3_semi_markov_pii, op4_ngram_jaccard, op5_interval_repeats, op6_phrase_automata, op7_subword_quality, op8_license_join, op9_recursive_bpe, op10_elias_fano_tokens,
     )
 }
-SQL: dict[str, str] = {}
