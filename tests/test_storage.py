@@ -49,6 +49,13 @@ def test_corpus_takes_numbers_as_idx(spark):
     assert tuple(IO.read_corpus(spark, path).first()) == ("7", "x", 1)
 
 
+def test_corpus_rows_must_be_whole(spark):
+    path = scratch_path(spark, "lacking")
+    spark.createDataFrame([('{"idx": 7, "func": "x"}',)], "value string").write.text(path)
+    with pytest.raises(Exception, match="no target"):
+        IO.read_corpus(spark, path).collect()
+
+
 def test_missing_log_is_empty(spark):
     assert IO.read_responses(spark, scratch_path(spark, "none")).count() == 0
 

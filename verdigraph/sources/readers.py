@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigraph.operators.scale import rank_rows
@@ -16,10 +16,15 @@ def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def _present(name: str) -> Column:
+    """The column; a row that lacks it is an error."""
+    return F.when(F.col(name).isNotNull(), F.col(name)).otherwise(F.raise_error(F.lit(f"a corpus row has no {name}"))).alias(name)
+
+
 def read_corpus(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """idx, func, target from JSON lines or parquet."""
+    """idx, func, target from JSON lines or parquet; a JSON line must have all three."""
     if fmt == "json":
-        return _json(spark, path, CORPUS)
+        return _json(spark, path, CORPUS).select(*[_present(c) for c in ("idx", "func", "target")])
     return spark.read.format(fmt).load(path).select(
         F.col("idx").cast("string").alias("idx"), "func", F.col("target").cast("int").alias("target")
     )
