@@ -97,6 +97,26 @@ def test_straight_line_edges(spark):
     assert len(got) == 11
 
 
+def test_updates_pair_all_names_of_a_chain(spark):
+    got = edges_of(spark, "{ p->n++; --a[i]; y = p; z = a; }")
+    # {0 p1 ->2 n3 ++4 ;5 --6 a7 [8 i9 ]10 ;11 y12 =13 p14 ;15 z16 =17 a18 ;19 }20
+    for x in ((1, "p"), (3, "n")):
+        for y in ((1, "p"), (3, "n")):
+            assert (*x, "computedFrom", (y[1], y[0])) in got
+    assert (7, "a", "computedFrom", ("i", 9)) in got and (9, "i", "computedFrom", ("a", 7)) in got and (9, "i", "computedFrom", ("i", 9)) in got
+    assert (14, "p", "comesFrom", ("p", 1)) in got and (18, "a", "comesFrom", ("a", 7)) in got
+
+
+def test_chained_assignments(spark):
+    got = edges_of(spark, "{ a = b = c + 1; d = b; int e = f = g; }")
+    # {0 a1 =2 b3 =4 c5 +6 1 7 ;8 d9 =10 b11 ;12 int13 e14 =15 f16 =17 g18 ;19
+    assert (3, "b", "computedFrom", ("c", 5)) in got and (3, "b", "computedFrom", ("1", 7)) in got
+    assert {(1, "a", "computedFrom", ("b", 3)), (1, "a", "computedFrom", ("c", 5)), (1, "a", "computedFrom", ("1", 7))} <= set(got)
+    assert not any(e[:3] == (3, "b", "comesFrom") for e in got)
+    assert (11, "b", "comesFrom", ("b", 3)) in got
+    assert (16, "f", "computedFrom", ("g", 18)) in got and (14, "e", "comesFrom", ("f", 16)) in got and (14, "e", "comesFrom", ("g", 18)) in got
+
+
 def test_declarations(spark):
     got = edges_of(spark, "{ int x, y; struct s *p = q; my_t z = x; x = y; }")
     # {0 int1 x2 ,3 y4 ;5 struct6 s7 *8 p9 =10 q11 ;12 my_t13 z14 =15 x16 ;17 x18 =19 y20 ;21

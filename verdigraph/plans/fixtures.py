@@ -37,7 +37,7 @@ CODE_EXPR = """CASE p_partkey % 3
  WHEN 0 THEN concat('int f', p_partkey, '(int a, char *s) { /* ', p_name, ' */ int b = a; b = g', p_size % 5,
    '(b, "x // y"); if (b > ', p_size, ') { h(s); b++; } // ', p_brand, chr(10), ' return b; }')
  WHEN 1 THEN concat('static int f', p_partkey, '(struct buf *p, int n) {', chr(10), ' int len = n + ', p_size,
-   ', k; char *q = p->data; // ', p_name, chr(10), '  ', chr(10), ' memcpy(p->data, q, len); p->size = len; k = len;',
+   ', k; char *q = p->data; // ', p_name, chr(10), '  ', chr(10), ' memcpy(p->data, q, len); p->size = len; k = len; p->n++; q[k]--; ++p->t[n].m; k = n = len + 1;',
    ' while (len > 0) { --len; logger->write_', p_size % 4, '("/* no */", len); } total += len * k;',
    ' return p->ops.run(p, len); }')
  ELSE concat('static void f', p_partkey, '(const struct tab *tabs, my_t k) { unsigned long x = ', p_size, '; for (int i = 0; i < 9; i++) { x = x * i; y = x;',

@@ -89,11 +89,16 @@ def g5_tables(t):
 VALUE_KINDS = S.in_list(G.VALUE_KINDS)
 ASSIGNING = S.in_list(c_words.ASSIGNING)
 STEPPING = S.in_list(c_words.STEPPING)
-EDGES = f"""a1 AS (SELECT *, coalesce(lag(text) OVER w, '') AS bf, coalesce(lead(text) OVER w, '') AS nx, coalesce(lead(kind) OVER w, 'op') AS nk,
+CHAIN_TOKEN = S.TOKEN.replace(f"|{c_words.NAME}|", f"|{CHAIN}|", 1)
+EDGES = f"""sk AS (SELECT idx, u.i AS k, u.w AS w FROM (SELECT idx, regexp_extract_all({S.uncommented('func')}, {S.quoted(CHAIN_TOKEN)}) AS l FROM code) c, unnest(c.l) WITH ORDINALITY AS u(w, i)),
+ sl AS (SELECT *, regexp_extract_all(w, {S.quoted(S.TOKEN)}) AS parts, coalesce(lag(w) OVER o, '') IN {STEPPING} OR coalesce(lead(w) OVER o, '') IN {STEPPING} AS near FROM sk WINDOW o AS (PARTITION BY idx ORDER BY k)),
+ so AS (SELECT idx, k, parts, near AND regexp_matches(w, '^[A-Za-z_]') AS stepped, coalesce(sum(len(parts)) OVER (PARTITION BY idx ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM sl),
+ steps AS (SELECT idx, k AS chain, stepped, CAST(first + v.j - 1 AS INTEGER) AS pos FROM so, unnest(range(1, len(parts) + 1)) AS v(j)),
+ a1 AS (SELECT *, coalesce(lag(text) OVER w, '') AS bf, coalesce(lead(text) OVER w, '') AS nx, coalesce(lead(kind) OVER w, 'op') AS nk,
   coalesce(sum(CASE WHEN text IN (';', '{{', '}}') THEN 1 ELSE 0 END) OVER pw, 0) AS stmt,
   coalesce(sum(CASE text WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END) OVER pw, 0) AS braces,
   sum(CASE WHEN text IN ('(', '[') THEN 1 WHEN text IN (')', ']') THEN -1 ELSE 0 END) OVER w AS lvl
-  FROM toks WINDOW w AS (PARTITION BY idx ORDER BY pos), pw AS (PARTITION BY idx ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  FROM toks JOIN steps USING (idx, pos) WINDOW w AS (PARTITION BY idx ORDER BY pos), pw AS (PARTITION BY idx ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
  a2 AS (SELECT * REPLACE (CASE WHEN kind = 'ident' AND bf IN {MEMBER} THEN 'field' ELSE kind END AS kind),
   row_number() OVER o AS rn, first_value(text) OVER o AS firstt, arg_max(text, pos) OVER s AS lastt, min(CASE WHEN text IN {ASSIGNING} THEN pos END) OVER s AS eq
   FROM a1 WINDOW s AS (PARTITION BY idx, stmt), o AS (PARTITION BY idx, stmt ORDER BY pos)),
@@ -105,21 +110,24 @@ EDGES = f"""a1 AS (SELECT *, coalesce(lag(text) OVER w, '') AS bf, coalesce(lead
   coalesce(max(CASE WHEN pos < eq AND (text IN ('(', ')', ',', '&&', '||', '?', ':') OR kind = 'keyword') THEN pos END) OVER s, -1) AS tfrom,
   min(CASE WHEN pos > eq AND (lvl < eqlvl OR (text = ',' AND lvl = eqlvl)) THEN pos END) OVER s AS vto,
   min(CASE WHEN text = ',' AND pos > hpos AND lvl = hlvl THEN pos END) OVER s AS comma FROM a4 WINDOW s AS (PARTITION BY idx, stmt)),
+ a5m AS (SELECT *, coalesce(text IN {ASSIGNING} AND pos > eq AND lvl = eqlvl AND (vto IS NULL OR pos < vto), false) AS more FROM a5),
+ a5n AS (SELECT *, coalesce(max(CASE WHEN more THEN pos END) OVER (PARTITION BY idx, stmt), -1) AS lastop,
+  count(CASE WHEN more THEN 1 END) OVER (PARTITION BY idx, stmt ORDER BY pos) + CASE WHEN pos > eq THEN 1 ELSE 0 END AS seg FROM a5m),
  a6 AS (SELECT *, CASE WHEN kind NOT IN {VALUE_KINDS} OR bf IN {TAGGED} OR (kind = 'ident' AND nk = 'ident') OR (kind = 'type' AND text NOT IN {S.in_list(c_words.PRIMITIVE_TYPES)}) OR (decl AND pos >= hpos AND comma IS NOT NULL AND pos > comma) THEN NULL
   WHEN decl AND pos >= hpos AND NOT coalesce(pos > eq, false) THEN
    CASE WHEN kind = 'type' OR (pos = hpos AND kind = 'ident') THEN NULL ELSE 'name' END
-  WHEN decl AND pos >= hpos THEN 'value' WHEN header THEN 'use'
-  WHEN kind = 'ident' AND (bf IN {STEPPING} OR nx IN {STEPPING}) THEN 'step'
-  WHEN eq IS NOT NULL AND pos > eq AND (vto IS NULL OR pos < vto) THEN 'value'
-  WHEN eq IS NOT NULL AND pos < eq AND pos > tfrom THEN 'target' ELSE 'use' END AS part, eq IS NOT NULL AND (comma IS NULL OR eq < comma) AS assigned FROM a5),
+  WHEN decl AND pos >= hpos THEN CASE WHEN pos < lastop THEN 'target' ELSE 'value' END WHEN header THEN 'use'
+  WHEN stepped THEN 'step'
+  WHEN eq IS NOT NULL AND pos > eq AND (vto IS NULL OR pos < vto) THEN CASE WHEN pos < lastop THEN 'target' ELSE 'value' END
+  WHEN eq IS NOT NULL AND pos < eq AND pos > tfrom THEN 'target' ELSE 'use' END AS part, eq IS NOT NULL AND (comma IS NULL OR eq < comma) AS assigned FROM a5n),
  a7 AS (SELECT *, CASE WHEN part IN ('target', 'name') THEN 1 ELSE 0 END AS late FROM a6 WHERE part IS NOT NULL),
  a8 AS (SELECT *, CASE WHEN part IN ('target', 'name', 'step') OR (kind = 'ident' AND row_number() OVER (PARTITION BY idx, text ORDER BY stmt, late, pos) = 1) THEN pos END AS def FROM a7),
  a9 AS (SELECT *, last_value(def IGNORE NULLS) OVER (PARTITION BY idx, text ORDER BY stmt, late, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS src FROM a8),
  edges AS (SELECT idx, pos, text AS var, 'comesFrom' AS rel, CASE WHEN src IS NULL THEN NULL ELSE text END AS dep, src AS dep_pos FROM a9 WHERE part IN ('use', 'value')
   UNION ALL SELECT idx, pos, text, 'comesFrom', NULL, NULL FROM a9 WHERE part = 'name' AND NOT assigned
-  UNION ALL SELECT idx, pos, text, 'computedFrom', text, pos FROM a9 WHERE part = 'step'
+  UNION ALL SELECT l.idx, l.pos, l.text, 'computedFrom', r.text, r.pos FROM a9 l JOIN a9 r ON l.idx = r.idx AND l.chain = r.chain AND l.part = 'step' AND r.part = 'step'
   UNION ALL SELECT l.idx, l.pos, l.text, CASE l.part WHEN 'name' THEN 'comesFrom' ELSE 'computedFrom' END, r.text, r.pos
-   FROM a9 l JOIN a9 r ON l.idx = r.idx AND l.stmt = r.stmt AND l.part IN ('target', 'name') AND r.part = 'value')"""
+   FROM a9 l JOIN a9 r ON l.idx = r.idx AND l.stmt = r.stmt AND l.part IN ('target', 'name') AND (r.part = 'value' OR (r.part = 'target' AND r.seg > l.seg)))"""
 
 
 def edges(t):
