@@ -17,7 +17,8 @@ fewer than ``SHORT`` words must stand there word for word.
 
 The benchmark travels with the tasks; above ``MAX_ITEM_BYTES`` it is worked off in parts of that size.
 
-Cases: null and empty texts and items without words match nothing; rows without doc_id or item_id are left
+Cases: null and empty texts, items without words and items of nothing but words that stand in more than a
+quarter of all passages match nothing; rows without doc_id or item_id are left
 out; a repeated document gives one row a (doc_id, item_id); empty tables give no rows.
 """
 
@@ -26,7 +27,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigraph.llm.blocks import grouped
-from verdigraph.llm.common import arrow_map, runs, slices, texts
+from verdigraph.llm.common import arrow_map, slices, texts
 
 BLOCK = 48
 BUCKETS = 8192
@@ -101,13 +102,12 @@ class Blocks:
         each = [words_of(t) for t in rows]
         self.words = each
         self.sizes = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
-        tokens = np.fromiter((b for w in each for b in map(vocabulary.get, w, repeat(-1))), dtype=np.int32, count=int(self.sizes.sum()))
+        tokens = np.fromiter(map(vocabulary.get, chain.from_iterable(each), repeat(-1)), dtype=np.int32, count=int(self.sizes.sum()))
         number = -(-self.sizes // BLOCK)
         first = np.cumsum(number) - number
-        place = runs(np.zeros(len(each)), self.sizes)
-        block = np.repeat(first, self.sizes) + place // BLOCK
-        hit = tokens >= 0
-        self.tokens, self.block = tokens[hit], block[hit]
+        hit = np.flatnonzero(tokens >= 0)
+        doc = np.repeat(np.arange(len(each), dtype=np.int32), self.sizes)[hit]
+        self.tokens, self.block = tokens[hit], first[doc] + (hit - (np.cumsum(self.sizes) - self.sizes)[doc]) // BLOCK
         self.n = int(number.sum())
         self.doc = np.repeat(np.arange(len(each)), number)
         self.index = np.arange(self.n) - np.repeat(first, number)
@@ -234,11 +234,13 @@ def _leaks(docs: DataFrame, items: list[Item], rank: int) -> DataFrame:
     vocabulary = {w: bucket(w) for i in items for w in i.words}
     n, counts = passage_counts(docs, vocabulary)
     idf = np.where(counts > COMMON * n, 0.0, np.log((n + 1) / (counts + 1)) + 1e-6).astype(np.float32)
+    # Words that stand in a large share of all passages weigh nothing; they are not looked up again.
+    vocabulary = {w: b for w, b in vocabulary.items() if idf[b] > 0}
     basis = latent_basis(docs, items, vocabulary, idf, n, rank)
     table = np.concatenate([basis * idf[:, None], (idf**2)[:, None]], axis=1)
     images = np.zeros((len(items), basis.shape[1]), dtype=np.float32)
     for k, item in enumerate(items):
-        ids = [vocabulary[w] for w in item.words]
+        ids = [vocabulary[w] for w in item.words if w in vocabulary]
         v = table[ids, :-1].sum(0)
         images[k] = v / max(np.linalg.norm(v), 1e-12)
     model = docs.sparkSession.sparkContext.broadcast((vocabulary, table, images, items))
