@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdigraph.functions.numeric import py_round
-from verdigraph.operators.metrics import METRICS, confusion_flags, with_fractions
+from verdigraph.operators.metrics import confusion_flags, with_fractions
 from verdigraph.operators.scale import BLOCK_ROWS, running
 
 # The scalars logged at each step, by the name they are shown under.
@@ -107,7 +107,3 @@ def train_vs_valid(history: DataFrame, ids: Sequence[str] = ("run", "epoch", "st
         return F.max(F.when(F.col("split") == split, F.col("value"))).alias(split)
 
     return history.groupBy(*ids).agg(*[of(s) for s in SPLITS])
-
-
-def metric_names() -> tuple[str, ...]:
-    return METRICS

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -30,12 +30,17 @@ def cross_entropy(
     weights: Sequence[float] | None = None, by: Sequence[str] = (),
 ) -> DataFrame:
     """Softmax cross-entropy; with class weights the mean divides by the weights' sum."""
-    if weights is None:
-        weight = F.lit(1.0)
-    else:
-        weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col(label).cast("int") + 1)
-    weighed = df.select(*by, weight.alias("_w"), class_nll(F.col(logits), F.col(label)).alias("_nll"))
-    return weighed.groupBy(*by).agg((F.sum(F.col("_w") * F.col("_nll")) / F.sum("_w")).alias("loss"))
+    return cross_entropies(df, {"loss": weights}, logits, label, by)
+
+
+def cross_entropies(
+    df: DataFrame, weights: Mapping[str, Sequence[float] | None], logits: str = "logits", label: str = "target", by: Sequence[str] = ()
+) -> DataFrame:
+    """Several weightings of the cross-entropy in one pass, each under its name."""
+    at = F.col(label).cast("int") + 1
+    own = {n: F.lit(1.0) if w is None else F.element_at(F.array(*[F.lit(float(x)) for x in w]), at) for n, w in weights.items()}
+    weighed = df.select(*by, class_nll(F.col(logits), F.col(label)).alias("_nll"), *[c.alias(f"_w_{n}") for n, c in own.items()])
+    return weighed.groupBy(*by).agg(*[(F.sum(F.col(f"_w_{n}") * F.col("_nll")) / F.sum(f"_w_{n}")).alias(n) for n in own])
 
 
 def batch_mean_loss(df: DataFrame, loss: str = "loss", batch: str = "batch", by: Sequence[str] = ()) -> DataFrame:

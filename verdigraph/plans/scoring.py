@@ -80,10 +80,8 @@ NLL_SQL = f"ln(exp(-{LOGIT}) + exp({LOGIT} * 0.5)) - CASE WHEN {Y} = 0 THEN -{LO
  FROM (SELECT *, CASE WHEN {Y} = 0 THEN 0.25 ELSE 2.0 END AS w FROM orders) o GROUP BY 1""",
 )
 def l4(t):
-    rows = logits(t)
-    plain = L.cross_entropy(rows, by=["g"]).withColumnRenamed("loss", "plain")
-    weighted = L.cross_entropy(rows, weights=(0.25, 2.0), by=["g"]).withColumnRenamed("loss", "weighted")
-    return plain.join(weighted, "g").select("g", F.round("plain", 9).alias("plain"), F.round("weighted", 9).alias("weighted"))
+    both = L.cross_entropies(logits(t), {"plain": None, "weighted": (0.25, 2.0)}, by=["g"])
+    return both.withColumns({n: F.round(n, 9) for n in ("plain", "weighted")})
 
 
 @query(
