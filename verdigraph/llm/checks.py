@@ -18,22 +18,6 @@ OP4 = f"""WITH RECURSIVE d AS (SELECT doc_id, {WORDS.format(f"translate(coalesce
  r AS (SELECT doc_id AS node, doc_id AS label FROM n UNION SELECT two.b, r.label FROM r JOIN two ON two.a = r.node WHERE r.label < two.b)
  SELECT n.doc_id, n.n AS n_shingles, min(r.label) AS component_id FROM n JOIN r ON r.node = n.doc_id GROUP BY 1, 2"""
 
-# Bytes as pairs of hexadecimal digits.
-OP5 = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents WHERE doc_id IS NOT NULL),
- w AS (SELECT doc_id, i, hash(substr(h, 2 * i + 1, 100)) AS k FROM d, unnest(range(0, length(h) // 2 - 49)) AS u(i)),
- again AS (SELECT k FROM w GROUP BY k HAVING min(doc_id) < max(doc_id)),
- c AS (SELECT w.doc_id, w.i, substr(d.h, 2 * w.i + 1, 100) AS s FROM w JOIN again USING (k) JOIN d ON d.doc_id = w.doc_id),
- f AS (SELECT s, min(doc_id) AS least FROM c GROUP BY 1),
- later AS (SELECT c.doc_id, c.i FROM c JOIN f ON f.s = c.s WHERE f.least < c.doc_id),
- gone AS (SELECT DISTINCT doc_id, i + j AS p FROM later, unnest(range(0, 50)) AS v(j)),
- runs AS (SELECT doc_id, count(*) AS n, count(CASE WHEN before IS NULL OR before < p - 1 THEN 1 END) AS spans
-  FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM gone) g GROUP BY 1),
- kept AS (SELECT d.doc_id, string_agg(substr(d.h, 2 * b.p + 1, 2), '' ORDER BY b.p) AS h FROM d JOIN runs ON runs.doc_id = d.doc_id, unnest(range(0, length(d.h) // 2)) AS b(p)
-  WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = d.doc_id AND g.p = b.p) GROUP BY 1)
- SELECT d.doc_id, length(d.h) // 2 AS n_bytes, coalesce(runs.n, 0) AS n_removed, coalesce(runs.spans, 0) AS n_spans,
- sha256(unhex(CASE WHEN runs.n IS NULL THEN d.h ELSE coalesce(kept.h, '') END)) AS kept_sha256
- FROM d LEFT JOIN runs ON runs.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id"""
-
 OP6 = f"""WITH d AS (SELECT doc_id, {WORDS.format("coalesce(text, '')")} AS l FROM documents WHERE doc_id IS NOT NULL),
  w AS (SELECT doc_id, i, array_to_string(l[i : i + 19], ' ') AS k FROM d, unnest(range(1, len(l) - 18)) AS u(i)),
  f AS (SELECT k, min({{'doc': doc_id, 'at': i}}) AS first FROM w GROUP BY 1),
@@ -67,4 +51,4 @@ def license_sql(threshold: float = 0.8) -> str:
  coalesce(shown.labels, '') AS labels, coalesce(shown.score, 0.0) AS score FROM l LEFT JOIN base ON base.r = l.r LEFT JOIN shown ON shown.r = l.r"""
 
 
-SQL = {"op4_ngram_jaccard": OP4, "op5_interval_repeats": OP5, "op6_phrase_automata": OP6, "op8_license_join": license_sql()}
+SQL = {"op4_ngram_jaccard": OP4, "op6_phrase_automata": OP6, "op8_license_join": license_sql()}
