@@ -184,6 +184,27 @@ def test_leaks(spark, documents, nothing):
     assert decontam.leaks(nothing, bench).count() == 0 and decontam.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_of_many_items(spark):
+    """1,000 items of ordinary words: each is found verbatim, and nearly each with every fourth word replaced."""
+    r = random.Random(8)
+    texts = [x["text"].split(" ") for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect() if len((x["text"] or "").split()) > 80]
+    items, rows = [], []
+    for i in range(1000):
+        source, n = r.choice(texts), r.randint(15, 59)
+        start = r.randrange(len(source) - n)
+        item = source[start : start + n]
+        items.append((i, " ".join(item)))
+        for k, shown in enumerate([item, ["changed" if j % 4 == 0 else w for j, w in enumerate(item)]]):
+            around = r.choice(texts)[:300]
+            at = r.randrange(len(around))
+            rows.append((2 * i + k, " ".join(around[:at] + shown + around[at:])))
+    items = [(i, t) for i, t in items if len(decontam.words_of(t)) >= decontam.SHORT]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string").repartition(8), spark.createDataFrame(items, "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in decontam.leaks(docs, bench).collect()}
+    assert [i for i, _ in items if (2 * i, i) not in got] == []
+    assert sum((2 * i + 1, i) in got for i, _ in items) >= 0.97 * len(items)
+
+
 def test_lcs():
     def plain(a, b):
         row = [0] * (len(b) + 1)

@@ -8,14 +8,17 @@ A randomised singular value decomposition of the passage matrix A (documents, an
 total weight) gives the latent space: Spark tasks sum their share of S = A'(A R) for a random R, summed by
 feature ranges, and the driver takes the leading ``RANK`` right singular vectors from S and R'S, matrices
 whose size depends on ``BUCKETS`` and ``RANK`` alone. A passage and an item are candidates when the cosine
-of their latent images, over the passage's full norm, reaches ``MIN_COSINE``.
+of their latent images, over the passage's full norm, reaches ``MIN_COSINE``. A document that holds an item word
+for word is a candidate whatever the cosine: ``GRAM`` words of each item are looked up in every text.
 
 Candidates are compared word by word: the longest common subsequence of the item with the passage and an
 item's length around it, and whether the item's last sentence, its answer, stands there. A document holds an
 item when the subsequence covers ``LCS_SHARE`` of it, or ``ANSWERED_SHARE`` with the answer found. Items of
 fewer than ``SHORT`` words must stand there word for word.
 
-The benchmark travels with the tasks; above ``MAX_ITEM_BYTES`` it is worked off in parts of that size.
+The benchmark is worked off in parts of at most ``SPACE_ITEMS`` items and ``MAX_ITEM_BYTES``, each with a latent
+space of its own: the items of a larger part would not all lie in ``RANK`` directions. A part travels with the
+tasks and takes three passes over the corpus.
 
 Cases: null and empty texts, items without words and items of nothing but words that stand in more than a
 quarter of all passages match nothing; rows without doc_id or item_id are left
@@ -47,6 +50,8 @@ LCS_SHARE = 0.5
 ANSWERED_SHARE = 0.4
 SHORT = 8
 MAX_ITEM_BYTES = 16 << 20
+SPACE_ITEMS = 200
+GRAM = 4
 RANGES = 64
 SCHEMA = "doc_id long, item_id long, cosine double, lcs_share double, answer boolean"
 TABLE = bytes((b + 32 if 65 <= b <= 90 else b) if b >= 0x80 or chr(b).isalnum() else 32 for b in range(256))
@@ -105,9 +110,10 @@ class Blocks:
         tokens = np.fromiter(map(vocabulary.get, chain.from_iterable(each), repeat(-1)), dtype=np.int32, count=int(self.sizes.sum()))
         number = -(-self.sizes // BLOCK)
         first = np.cumsum(number) - number
+        self.all, self.starts, self.first = tokens, np.cumsum(self.sizes) - self.sizes, first
         hit = np.flatnonzero(tokens >= 0)
         doc = np.repeat(np.arange(len(each), dtype=np.int32), self.sizes)[hit]
-        self.tokens, self.block = tokens[hit], first[doc] + (hit - (np.cumsum(self.sizes) - self.sizes)[doc]) // BLOCK
+        self.tokens, self.block = tokens[hit], first[doc] + (hit - self.starts[doc]) // BLOCK
         self.n = int(number.sum())
         self.doc = np.repeat(np.arange(len(each)), number)
         self.index = np.arange(self.n) - np.repeat(first, number)
@@ -123,6 +129,44 @@ class Blocks:
         return out
 
 
+class Sequences:
+    """Finds items word for word: by the buckets of up to ``GRAM`` words in a row, from the item's rarest word on."""
+
+    def __init__(self, items: list[Item], counts: np.ndarray):
+        self.items = items
+        self.owners: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        for number, item in enumerate(items):
+            size = min(len(item.words), GRAM)
+            spots = [bucket(w) for w in item.words]
+            at = min(range(len(spots) - size + 1), key=lambda i: counts[spots[i]])
+            key = 0
+            for x in spots[at : at + size]:
+                key = key * BUCKETS + x
+            self.owners.setdefault(size, {}).setdefault(key, []).append((number, at))
+        self.keys = {size: np.array(sorted(o), dtype=np.int64) for size, o in self.owners.items()}
+
+    def find(self, b: Blocks) -> dict[tuple[int, int], int]:
+        """The first word of each (document, item) in which the item's words stand in a row."""
+        out: dict[tuple[int, int], int] = {}
+        ends = np.cumsum(b.sizes)
+        for size, keys in self.keys.items():
+            opens = np.zeros(BUCKETS + 1, dtype=bool)  # the last for words of no item
+            opens[keys // BUCKETS ** (size - 1)] = True
+            at = np.flatnonzero(opens[b.all])
+            at = at[at + size <= len(b.all)]
+            gram = np.zeros(len(at), dtype=np.int64)
+            for i in range(size):
+                gram = gram * BUCKETS + b.all[at + i]
+            hit = keys[np.minimum(np.searchsorted(keys, gram), len(keys) - 1)] == gram
+            docs = np.searchsorted(ends, at[hit], side="right")
+            for place, key, doc in zip(at[hit].tolist(), gram[hit].tolist(), docs.tolist()):
+                for number, offset in self.owners[size].get(key, ()):
+                    words, start = self.items[number].words, place - int(b.starts[doc]) - offset
+                    if start >= 0 and (doc, number) not in out and b.words[doc][start : start + len(words)] == words:
+                        out[doc, number] = start
+        return out
+
+
 def block_sums(blocks: Blocks, table: np.ndarray) -> np.ndarray:
     """Sum of table rows over the tokens of each block."""
     out = np.zeros((blocks.n, table.shape[1]), dtype=np.float32)
@@ -234,37 +278,45 @@ def _leaks(docs: DataFrame, items: list[Item], rank: int) -> DataFrame:
     vocabulary = {w: bucket(w) for i in items for w in i.words}
     n, counts = passage_counts(docs, vocabulary)
     idf = np.where(counts > COMMON * n, 0.0, np.log((n + 1) / (counts + 1)) + 1e-6).astype(np.float32)
-    # Words that stand in a large share of all passages weigh nothing; they are not looked up again.
-    vocabulary = {w: b for w, b in vocabulary.items() if idf[b] > 0}
-    basis = latent_basis(docs, items, vocabulary, idf, n, rank)
+    # Words that stand in a large share of all passages weigh nothing; only the search word for word looks them up.
+    weighted = {w: b for w, b in vocabulary.items() if idf[b] > 0}
+    basis = latent_basis(docs, items, weighted, idf, n, rank)
     table = np.concatenate([basis * idf[:, None], (idf**2)[:, None]], axis=1)
     images = np.zeros((len(items), basis.shape[1]), dtype=np.float32)
     for k, item in enumerate(items):
         ids = [vocabulary[w] for w in item.words if w in vocabulary]
         v = table[ids, :-1].sum(0)
         images[k] = v / max(np.linalg.norm(v), 1e-12)
-    model = docs.sparkSession.sparkContext.broadcast((vocabulary, table, images, items))
+    model = docs.sparkSession.sparkContext.broadcast((vocabulary, table, images, items, Sequences(items, counts)))
 
     def run(batches):
-        vocabulary, table, images, items = model.value
+        vocabulary, table, images, items, sequences = model.value
         for ids, rows in slices(batches):
             b = Blocks(rows, vocabulary)
             sums = b.passages(block_sums(b, table))
             norm = np.sqrt(np.maximum(sums[:, -1], 1e-12))
             out: dict[tuple, list] = {}
+
+            def judge(doc: int, k: int, first: int, last: int, cosine: float) -> None:
+                """Compare an item with a document's words from ``first`` to ``last`` and an item's length around."""
+                item = items[k]
+                reach = len(item.words)
+                share, answer = item.compare(b.words[doc][max(0, first - reach) : last + reach])
+                if share >= LCS_SHARE or answer and share >= ANSWERED_SHARE:
+                    kept = out.setdefault((ids[doc], item.item_id), [0.0, 0.0, False])
+                    kept[:] = max(kept[0], cosine), max(kept[1], share), kept[2] or answer
+
             for start in range(0, len(sums), 8192):
                 cosine = sums[start : start + 8192, :-1] @ images.T / norm[start : start + 8192, None]
                 for p, k in zip(*np.nonzero(cosine >= MIN_COSINE)):
                     block = b.pairs[start + p]
                     doc, at = int(b.doc[block]), int(b.index[block]) * BLOCK
-                    if ids[doc] is None:
-                        continue
-                    item = items[k]
-                    reach = len(item.words)
-                    share, answer = item.compare(b.words[doc][max(0, at - reach) : at + 2 * BLOCK + reach])
-                    if share >= LCS_SHARE or answer and share >= ANSWERED_SHARE:
-                        kept = out.setdefault((ids[doc], item.item_id), [0.0, 0.0, False])
-                        kept[:] = max(kept[0], float(cosine[p, k])), max(kept[1], share), kept[2] or answer
+                    if ids[doc] is not None:
+                        judge(doc, k, at, at + 2 * BLOCK, float(cosine[p, k]))
+            for (doc, k), at in sequences.find(b).items():
+                if ids[doc] is not None:
+                    p = np.searchsorted(b.pairs, b.first[doc] + at // BLOCK, side="right") - 1
+                    judge(doc, k, at, at + len(items[k].words), float(sums[p, :-1] @ images[k] / norm[p]))
             if out:
                 c, s, a = zip(*out.values())
                 yield {"doc_id": [k[0] for k in out], "item_id": [k[1] for k in out], "cosine": c, "lcs_share": s, "answer": a}
@@ -274,7 +326,7 @@ def _leaks(docs: DataFrame, items: list[Item], rank: int) -> DataFrame:
 
 
 def item_parts(benchmark: DataFrame) -> list[list[Item]]:
-    """The items in parts of bounded size, each of which may travel with the tasks."""
+    """The items in parts of bounded size, each of which may travel with the tasks and fits one latent space."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).where("item_id is not null")
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n_parts = max(1, math.ceil(total / MAX_ITEM_BYTES))
@@ -282,8 +334,8 @@ def item_parts(benchmark: DataFrame) -> list[list[Item]]:
     for p in range(n_parts):
         part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_parts)) == p).distinct().orderBy("item_id", "text").collect()
         items = [i for i in (Item(r["item_id"], r["text"]) for r in part) if i.words]
-        if items:
-            out.append(items)
+        pieces = math.ceil(len(items) / SPACE_ITEMS)
+        out += [items[i::pieces] for i in range(pieces)]
     return out
 
 
