@@ -184,6 +184,22 @@ def test_leaks(spark, documents, nothing):
     assert decontam.leaks(nothing, bench).count() == 0 and decontam.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_frequent_leaks(spark):
+    """Leaks are found where there are few passages, and where their copies hold a third or all of them."""
+    r = random.Random(7)
+    item = " ".join(f"b{r.randrange(500)}" for _ in range(30)) + "."
+    words = item.split(" ")
+    reworded = " ".join("other" if i % 4 == 0 else w for i, w in enumerate(words))
+    bench = spark.createDataFrame([(0, item), (1, " ".join(f"n{i}" for i in range(400)))], "item_id long, text string")
+    noise = lambda n: " ".join(f"n{r.randrange(400)}" for _ in range(n))
+    for shown in (item, reworded):
+        for copies, others in ((1, 0), (2, 1), (40, 80), (40, 0)):
+            rows = [(i, f"{noise(12)} {shown} {noise(12)}") for i in range(copies)] + [(1000 + i, noise(55)) for i in range(others)]
+            docs = spark.createDataFrame(rows, "doc_id long, text string")
+            got = {x["doc_id"] for x in decontam.leaks(docs, bench).where("item_id = 0").collect()}
+            assert got == set(range(copies)), (shown == item, copies, others)
+
+
 def test_leaks_of_many_items(spark):
     """1,000 items of ordinary words: each is found verbatim, and nearly each with every fourth word replaced."""
     r = random.Random(8)

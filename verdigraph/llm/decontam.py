@@ -11,6 +11,11 @@ whose size depends on ``BUCKETS`` and ``RANK`` alone. A passage and an item are
 of their latent images, over the passage's full norm, reaches ``MIN_COSINE``. A document that holds an item word
 for word is a candidate whatever the cosine: ``GRAM`` words of each item are looked up in every text.
 
+Words that stand in more than ``COMMON`` of all passages weigh nothing there. Where they, with words that stand
+nowhere, make up ``ANSWERED_SHARE`` of an item or more, the leak itself may be that frequent; such an item meets
+every passage that holds this share of its words and its answer's, or ``LCS_SHARE`` of its words (of an item
+longer than a block, half of these shares of a block).
+
 Candidates are compared word by word: the longest common subsequence of the item with the passage and an
 item's length around it, and whether the item's last sentence, its answer, stands there. A document holds an
 item when the subsequence covers ``LCS_SHARE`` of it, or ``ANSWERED_SHARE`` with the answer found. Items of
@@ -20,8 +25,7 @@ The benchmark is worked off in parts of at most ``SPACE_ITEMS`` items and ``MAX_
 space of its own: the items of a larger part would not all lie in ``RANK`` directions. A part travels with the
 tasks and takes three passes over the corpus.
 
-Cases: null and empty texts, items without words and items of nothing but words that stand in more than a
-quarter of all passages match nothing; rows without doc_id or item_id are left
+Cases: null and empty texts and items without words match nothing; rows without doc_id or item_id are left
 out; a repeated document gives one row a (doc_id, item_id); empty tables give no rows.
 """
 
@@ -167,6 +171,51 @@ class Sequences:
         return out
 
 
+class Shared:
+    """Passages that hold a share of an item's words, for items that consist largely of frequent words."""
+
+    def __init__(self, items: list[Item], counts: np.ndarray, n_passages: int):
+        useful = (counts > 0) & (counts <= COMMON * n_passages)
+        self.chosen = [k for k, item in enumerate(items) if useful[[bucket(w) for w in item.words]].mean() <= 1 - ANSWERED_SHARE]
+        self.spots = np.full(BUCKETS + 1, -1)  # the last for words of no item
+        used = np.unique(np.array([bucket(w) for k in self.chosen for w in items[k].words], dtype=np.int64))
+        self.spots[used] = np.arange(len(used))
+        self.times = np.zeros((len(used), len(self.chosen)), dtype=np.float32)
+        for column, k in enumerate(self.chosen):
+            np.add.at(self.times[:, column], self.spots[[bucket(w) for w in items[k].words]], 1)
+        sizes = np.array([len(items[k].words) for k in self.chosen])
+        self.need = np.where(sizes > BLOCK, BLOCK / 2, sizes) - 1e-6
+        self.answers = np.zeros_like(self.times)
+        for column, k in enumerate(self.chosen):
+            if len(items[k].words) <= BLOCK:
+                self.answers[self.spots[[bucket(w) for w in items[k].answer]], column] = 1
+        self.answer_words = self.answers.sum(0)
+
+    def find(self, b: Blocks):
+        """(passage, item) where enough of the item's words occur in the passage."""
+        if not self.chosen:
+            return
+        spot = self.spots[b.tokens]
+        held = np.unique(b.block[spot >= 0] * BUCKETS + spot[spot >= 0])
+        block, spot = held // BUCKETS, held % BUCKETS
+        # Each block is the first of the passage at its own place and the second of the one before.
+        place = np.full(b.n + 1, -1)
+        place[b.pairs] = np.arange(len(b.pairs))
+        before = np.full(b.n + 1, -1)
+        before[b.pairs[~b.single] + 1] = np.flatnonzero(~b.single)
+        both = np.unique(np.concatenate([(at[block] * BUCKETS + spot)[at[block] >= 0] for at in (place, before)]))
+        passage, spot = both // BUCKETS, both % BUCKETS
+        new = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]])) if len(passage) else passage
+        for start in range(0, len(new), 4096):
+            chosen = new[start : start + 4096]
+            end = new[start + 4096] if start + 4096 < len(new) else len(passage)
+            of, begins = spot[chosen[0] : end], chosen - chosen[0]
+            total = np.add.reduceat(self.times[of], begins, axis=0)
+            answered = np.add.reduceat(self.answers[of], begins, axis=0) >= self.answer_words
+            for p, column in zip(*np.nonzero((total >= LCS_SHARE * self.need) | answered & (total >= ANSWERED_SHARE * self.need))):
+                yield int(passage[chosen[p]]), self.chosen[column]
+
+
 def block_sums(blocks: Blocks, table: np.ndarray) -> np.ndarray:
     """Sum of table rows over the tokens of each block."""
     out = np.zeros((blocks.n, table.shape[1]), dtype=np.float32)
@@ -278,7 +327,7 @@ def _leaks(docs: DataFrame, items: list[Item], rank: int) -> DataFrame:
     vocabulary = {w: bucket(w) for i in items for w in i.words}
     n, counts = passage_counts(docs, vocabulary)
     idf = np.where(counts > COMMON * n, 0.0, np.log((n + 1) / (counts + 1)) + 1e-6).astype(np.float32)
-    # Words that stand in a large share of all passages weigh nothing; only the search word for word looks them up.
+    # Words that stand in a large share of all passages weigh nothing; ``Sequences`` and ``Shared`` look them up.
     weighted = {w: b for w, b in vocabulary.items() if idf[b] > 0}
     basis = latent_basis(docs, items, weighted, idf, n, rank)
     table = np.concatenate([basis * idf[:, None], (idf**2)[:, None]], axis=1)
@@ -287,10 +336,10 @@ def _leaks(docs: DataFrame, items: list[Item], rank: int) -> DataFrame:
         ids = [vocabulary[w] for w in item.words if w in vocabulary]
         v = table[ids, :-1].sum(0)
         images[k] = v / max(np.linalg.norm(v), 1e-12)
-    model = docs.sparkSession.sparkContext.broadcast((vocabulary, table, images, items, Sequences(items, counts)))
+    model = docs.sparkSession.sparkContext.broadcast((vocabulary, table, images, items, Sequences(items, counts), Shared(items, counts, n)))
 
     def run(batches):
-        vocabulary, table, images, items, sequences = model.value
+        vocabulary, table, images, items, sequences, shared = model.value
         for ids, rows in slices(batches):
             b = Blocks(rows, vocabulary)
             sums = b.passages(block_sums(b, table))
@@ -313,6 +362,10 @@ def _leaks(docs: DataFrame, items: list[Item], rank: int) -> DataFrame:
                     doc, at = int(b.doc[block]), int(b.index[block]) * BLOCK
                     if ids[doc] is not None:
                         judge(doc, k, at, at + 2 * BLOCK, float(cosine[p, k]))
+            for p, k in shared.find(b):
+                doc, at = int(b.doc[b.pairs[p]]), int(b.index[b.pairs[p]]) * BLOCK
+                if ids[doc] is not None:
+                    judge(doc, k, at, at + 2 * BLOCK, float(sums[p, :-1] @ images[k] / norm[p]))
             for (doc, k), at in sequences.find(b).items():
                 if ids[doc] is not None:
                     p = np.searchsorted(b.pairs, b.first[doc] + at // BLOCK, side="right") - 1
