@@ -141,6 +141,38 @@ def test_license_index_is_exact():
         assert index.match(block) == want
 
 
+def test_wrapped_licenses(spark):
+    """Templates wrapped at any word, with comment marks before the lines, are found."""
+    rows, want = [], []
+    for label, each in licenses.TEMPLATES.items():
+        for template in each:
+            words = template.split(" ")
+            for at in range(1, len(words)):
+                rows.append((len(rows), "so it\n# " + " ".join(words[:at]) + "\n#   " + " ".join(words[at:]) + "\nand on"))
+                want.append(label)
+    rows.append((len(rows), "\n".join("Redistribution and use in source and binary forms, with or without modification, are".split(" ")[::2])))
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [i for i, label in enumerate(want) if label not in got[i]["labels"].split(",") or got[i]["score"] != 1.0] == []
+    assert got[len(want)]["labels"] == ""
+
+
+def test_license_windows_are_exact():
+    """The sweep around rare words finds what a plain comparison of all windows finds."""
+    r = random.Random(6)
+    words = [f"w{i}" for i in range(12)]
+    templates = {f"t{i}": (" ".join(r.choice(words) for _ in range(r.randint(1, 9))),) for i in range(15)}
+    index = licenses.Index(templates, {w.encode(): r.randrange(1000) for w in words}, 0.8)
+    for _ in range(300):
+        text = [r.choice([*words, *["x"] * r.randint(1, 40)]).encode() for _ in range(r.randint(0, 60))]
+        want = {}
+        for label, (t,) in templates.items():
+            n, held = len(t.split()), {w.encode() for w in t.split()}
+            best = max((len(held & set(text[i : i + n])) for i in range(max(1, len(text) - n + 1))), default=0)
+            if best >= 0.8 * len(held) - 1e-9:
+                want[label] = best / len(held)
+        assert index.match_windows(text, {}) == want
+
+
 def test_quality(spark, documents, nothing):
     r = random.Random(3)
     good = [" ".join(r.choice(["the", "cat", "sat", "on", "mats"]) for _ in range(30)) for _ in range(200)]

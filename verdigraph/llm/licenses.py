@@ -1,6 +1,7 @@
 """License scan: an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text, a template a set of words. They join when the block holds at least
+A block is a line of a text, or a window of as many words in a row as the template has, over line ends too: a
+template may be wrapped anywhere. A template is a set of words. They join when the block holds at least
 ``threshold`` of the template's words. Words of templates are ordered by their frequency in the whole
 corpus, rarest first, and three filters keep the comparison exact but short:
 
@@ -58,11 +59,15 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().translate(TABLE).split()
 
 
-def template_sets(templates: Mapping[str, Sequence[str]]) -> list[tuple[str, frozenset[bytes]]]:
-    out = [(label, frozenset(words_of(t))) for label, each in templates.items() for t in each]
-    if sum(len(s) for _, s in out) > MAX_TEMPLATE_WORDS:
+def template_words(templates: Mapping[str, Sequence[str]]) -> list[tuple[str, list[bytes]]]:
+    out = [(label, words_of(t)) for label, each in templates.items() for t in each]
+    if sum(len(set(w)) for _, w in out) > MAX_TEMPLATE_WORDS:
         raise ValueError("the templates hold more words than travel with a task")
-    return [(label, s) for label, s in out if s]
+    return [(label, w) for label, w in out if w]
+
+
+def template_sets(templates: Mapping[str, Sequence[str]]) -> list[tuple[str, frozenset[bytes]]]:
+    return [(label, frozenset(w)) for label, w in template_words(templates)]
 
 
 def word_frequencies(docs: DataFrame, words: Sequence[bytes]) -> dict[bytes, int]:
@@ -88,10 +93,13 @@ class Index:
     def __init__(self, templates: Mapping[str, Sequence[str]], frequency: Mapping[bytes, int], threshold: float):
         self.items = []
         self.postings: dict[bytes, list[tuple[int, int]]] = {}
-        for label, held in template_sets(templates):
+        self.widths = []
+        for label, each in template_words(templates):
+            held = frozenset(each)
             order = sorted(held, key=lambda w: (frequency.get(w, 0), w))
             need = math.ceil(threshold * len(order) - 1e-9)
             number = len(self.items)
+            self.widths.append(len(each))
             self.items.append((label, order, held, need))
             for place, word in enumerate(order[: len(order) - need + 1]):
                 self.postings.setdefault(word, []).append((number, place))
@@ -112,6 +120,51 @@ class Index:
         return out
 
 
+    def match_windows(self, words: list[bytes], known: Mapping[str, float]) -> dict[str, float]:
+        """As ``match``, for every window of a template's number of words; ``known`` are shares found already."""
+        out: dict[str, float] = {}
+        whole = set(words)
+        rare = whole & self.postings.keys()
+        places: dict[int, list[int]] = {}
+        numbers = {number for word in rare for number, _ in self.postings[word]}
+        for number in numbers:
+            label, order, held, need = self.items[number]
+            if known.get(label, 0.0) < 1 and len(held & whole) >= need:
+                places[number] = []
+        if not places:
+            return out
+        for at, word in enumerate(words):
+            if word in rare:
+                for number, _ in self.postings[word]:
+                    if number in places:
+                        places[number].append(at)
+        for number, each in places.items():
+            label, order, held, need = self.items[number]
+            width, best, done = self.widths[number], 0, 0
+            counts: dict[bytes, int] = {}
+            # Windows that hold a rare word: one sweep over the stretches around the rare words' places.
+            for at in each:
+                first = max(done, at - width + 1)
+                if first > done or not done:
+                    counts, done = {}, first
+                    start = first
+                for end in range(done, min(at + width, len(words))):
+                    if end - start >= width:
+                        gone = words[start]
+                        start += 1
+                        if gone in held:
+                            counts[gone] -= 1
+                            if not counts[gone]:
+                                del counts[gone]
+                    if words[end] in held:
+                        counts[words[end]] = counts.get(words[end], 0) + 1
+                        best = max(best, len(counts))
+                done = max(done, min(at + width, len(words)))
+            if best >= need:
+                out[label] = max(out.get(label, 0.0), best / len(order))
+        return out
+
+
 def base_places(words: list[bytes], phrases: Mapping[tuple[bytes, ...], str]) -> list[tuple[int, str]]:
     """(start, label) of every place where a phrase's words stand consecutively."""
     out = []
@@ -142,6 +195,9 @@ def scan(docs: DataFrame, templates: Mapping[str, Sequence[str]] = TEMPLATES, ph
                 if not index.postings.keys().isdisjoint(block):
                     for label, share in index.match(block).items():
                         labels[label] = max(labels.get(label, 0.0), share)
+            if b"\n" in data:
+                for label, share in index.match_windows(words, labels).items():
+                    labels[label] = max(labels.get(label, 0.0), share)
         base = {label for _, label in places}
         starts = [s for s, _ in places]
         return (
