@@ -51,4 +51,50 @@ def license_sql(threshold: float = 0.8) -> str:
  coalesce(shown.labels, '') AS labels, coalesce(shown.score, 0.0) AS score FROM l LEFT JOIN base ON base.r = l.r LEFT JOIN shown ON shown.r = l.r"""
 
 
-SQL = {"op4_ngram_jaccard": OP4, "op6_phrase_automata": OP6, "op8_license_join": license_sql()}
+# As OP4 at 85 percent, with the document that stays.
+OP11 = f"SELECT *, doc_id = component_id AS kept FROM ({OP4.replace('>= 75 *', '>= 85 *')}) linked"
+
+FINITE = "embedding IS NOT NULL AND len(embedding) = len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x)))"
+# floor(s / n) of integers.
+FLOORED = "CAST((s - ((s % n) + n) % n) // n AS BIGINT)"
+
+
+def codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """Every part against every entry of its codebook."""
+    steps = [f"""v AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS p FROM embeddings WHERE {FINITE}),
+ f AS (SELECT r, (u.i - 1) // (len(p) // {parts}) AS q, (u.i - 1) % (len(p) // {parts}) AS d, u.x FROM v, unnest(p) WITH ORDINALITY AS u(x, i)),
+ s0 AS (SELECT r, row_number() OVER (ORDER BY vec_id, p) - 1 AS e FROM v QUALIFY e < {entries}),
+ b0 AS (SELECT q, e, d, x FROM f JOIN s0 USING (r))"""]
+    for i in range(rounds + 1):
+        steps.append(f"""d{i} AS (SELECT f.r, f.q, b.e, sum((f.x - b.x) * (f.x - b.x)) AS dist FROM f JOIN b{i} b ON b.q = f.q AND b.d = f.d GROUP BY 1, 2, 3),
+ a{i} AS (SELECT r, q, min({{'dist': dist, 'e': e}}) AS m FROM d{i} GROUP BY 1, 2)""")
+        if i < rounds:
+            steps.append(f"""b{i + 1} AS (SELECT q, e, d, {FLOORED} AS x FROM (SELECT f.q, a.m.e AS e, f.d, sum(f.x) AS s, count(*) AS n FROM f JOIN a{i} a ON a.r = f.r AND a.q = f.q GROUP BY 1, 2, 3) t
+ UNION ALL SELECT q, e, d, x FROM b{i} WHERE (q, e) NOT IN (SELECT (q, m.e) FROM a{i}))""")
+    steps.append(f"""rowed AS (SELECT r, string_agg(printf('%02x', m.e), '' ORDER BY q) AS code, CAST(sum(m.dist) AS BIGINT) AS error FROM a{rounds} GROUP BY r),
+ named AS (SELECT v.vec_id, v.label, rowed.code, rowed.error FROM v JOIN rowed USING (r)),
+ same AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM named GROUP BY 1)""")
+    return "WITH " + ",\n ".join(steps) + f""" SELECT n.vec_id, n.code, n.error, s.label_error, (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY q, e, d)) FROM b{rounds}) AS codebooks_sha256
+ FROM named n JOIN same s ON s.label IS NOT DISTINCT FROM n.label"""
+
+
+def clusters_sql(k: int = 16, rounds: int = 3, scale: int = 64, width: int = 64) -> str:
+    """Every vector against every centroid."""
+    steps = [f"""v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS p FROM embeddings WHERE {FINITE} AND len(embedding) = {width}),
+ f AS (SELECT r, u.i AS d, u.x FROM v, unnest(p) WITH ORDINALITY AS u(x, i)),
+ s0 AS (SELECT r, row_number() OVER (ORDER BY sha256('1:' || vec_id), p) - 1 AS c FROM v QUALIFY c < {k}),
+ c0 AS (SELECT c, d, x FROM f JOIN s0 USING (r))"""]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS (SELECT r, min({{'dist': dist, 'c': c}}) AS m FROM (SELECT f.r, c.c, sum((f.x - c.x) * (f.x - c.x)) AS dist FROM f JOIN c{i} c ON c.d = f.d GROUP BY 1, 2) t GROUP BY 1)""")
+        if i < rounds:
+            steps.append(f"""c{i + 1} AS (SELECT c, d, {FLOORED} AS x FROM (SELECT a.m.c AS c, f.d, sum(f.x) AS s, count(*) AS n FROM f JOIN a{i} a USING (r) GROUP BY 1, 2) t
+ UNION ALL SELECT c, d, x FROM c{i} WHERE c NOT IN (SELECT m.c FROM a{i}))""")
+    steps.append(f"shas AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY d)) AS sha FROM c{rounds} GROUP BY 1)")
+    return "WITH " + ",\n ".join(steps) + f""" SELECT v.vec_id, CAST(a.m.c AS INTEGER) AS cluster, CAST(a.m.dist AS BIGINT) AS distance, CAST(sum(a.m.dist) OVER (PARTITION BY a.m.c) AS BIGINT) AS cluster_inertia,
+ CAST(sum(a.m.dist) OVER () AS BIGINT) AS inertia, shas.sha AS centroid_sha256 FROM v JOIN a{rounds} a USING (r) JOIN shas ON shas.c = a.m.c"""
+
+
+SQL = {
+    "op4_ngram_jaccard": OP4, "op6_phrase_automata": OP6, "op8_license_join": license_sql(), "op11_minhash_bayes": OP11,
+    "op12_dual_tree_codes": codes_sql(), "op13_threshold_clusters": clusters_sql(),
+}

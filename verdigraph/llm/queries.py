@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from verdigraph.llm import bpe, decontam, imi, jaccard, licenses, phrases, pii, quality, repeats, tokenfile
+from verdigraph.llm import bpe, centroids, codes, decontam, imi, jaccard, licenses, minhash, phrases, pii, quality, repeats, tokenfile
 from verdigraph.llm.checks import SQL  # noqa: F401  with the queries, for the entry
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
@@ -58,9 +58,22 @@ def op10_elias_fano_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_table(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op11_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.link(table(spark, sf_dir, "documents"))
+
+
+def op12_dual_tree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.encode(table(spark, sf_dir, "embeddings"))
+
+
+def op13_threshold_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_inverted_multi_index, op2_latent_leaks, op3_semi_markov_pii, op4_ngram_jaccard, op5_interval_repeats, op6_phrase_automata, op7_subword_quality, op8_license_join, op9_recursive_bpe, op10_elias_fano_tokens,
+        op11_minhash_bayes, op12_dual_tree_codes, op13_threshold_clusters,
     )
 }
