@@ -320,7 +320,7 @@ def tile_survivors(tiles: DataFrame, classes: DataFrame, percent: int) -> DataFr
 
     met = met.withColumn("same", F.col("tile") == F.col("tile2"))
     found = arrow_map(met, run, "a binary, b binary, x binary, y binary, agree long", ["of_tile", "of_tile2", "same"])
-    return stored(found.distinct(), "survivors")
+    return found.distinct()
 
 
 def link(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -332,11 +332,13 @@ def link(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
         ), "classes",
     )
     buckets = bucketed(classes)
-    links = verified(star_pairs(buckets, classes, percent), classes, docs, size, percent)
+    tried = star_pairs(buckets, classes, percent)
+    links = verified(tried, classes, docs, size, percent)
     roots = rooted(classes, links)
     tiles = open_tiles(buckets, roots)
     if not tiles.isEmpty():
-        left = tile_survivors(tiles, classes, percent)
+        both = tried.select("a", "b").unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        left = stored(tile_survivors(tiles, classes, percent).join(both, ["a", "b"], "left_anti"), "survivors")
         if not left.isEmpty():
             best = left.groupBy("x", "y").agg(F.max_by(F.struct("a", "b"), F.struct("agree", "a", "b")).alias("p")).select("p.*")
             links = links.unionByName(verified(best, classes, docs, size, percent))
@@ -344,9 +346,10 @@ def link(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
             ends = [now.select(F.col("digest").alias(c), F.col("root").alias(f"r{c}")) for c in "ab"]
             apart = left.join(best, ["a", "b"], "left_anti").join(ends[0], "a").join(ends[1], "b").where("ra <> rb").select("a", "b")
             apart = stored(apart, "apart")
-            if not apart.isEmpty():
-                links = links.unionByName(verified(apart, classes, docs, size, percent))
-            roots = rooted(classes, links)
+            if apart.isEmpty():
+                roots = now
+            else:
+                roots = rooted(classes, links.unionByName(verified(apart, classes, docs, size, percent)))
     reps = roots.join(classes.select("digest", "rep"), "digest")
     least = reps.groupBy("root").agg(F.min("rep").alias("component"))
     final = stored(reps.join(least, "root").select("digest", "component"), "final")
