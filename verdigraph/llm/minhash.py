@@ -13,9 +13,9 @@ No bucket is expanded into its pairs:
 1. Star: every bucket has a centre, the class whose buckets are largest in sum. A class is compared with the
    centres of its buckets, and the best-agreeing one is verified. That joins most of a large group of near copies.
 2. Rest: buckets that still hold several components, once for each distinct set of members, are cut into tiles
-   of at most about ``TILE`` classes. A tile pair is compared as two blocks of signatures if it joins different
-   components of compatible sizes. Of its survivors the best one between two components is verified; those
-   between components that stay apart are then verified one and all.
+   of about ``TILE`` classes. A tile pair is compared as two blocks of signatures if it may join different
+   components of compatible sizes. Where pairs survive, the tiles are met again with their full sets, every
+   survivor is verified, and a spanning forest of the links leaves the task.
 
 Links become components by contraction.
 
@@ -45,6 +45,7 @@ ROWS = 5
 STEP = 20
 MISS = 1e-6
 TILE = 256
+TILE_SHINGLES = 400_000
 SLICE = 1 << 20
 SIGNATURE = BANDS * ROWS
 
@@ -201,39 +202,42 @@ def star_pairs(buckets: DataFrame, classes: DataFrame, percent: int) -> DataFram
     return stored(best.select("a", "b", "agree"), "star")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets reach the threshold.
+def routed_sets(wanted: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """to, digest, set: the full set of every class in ``wanted`` (rep, digest, to), once for each member of its array ``to``.
 
-    The sets are read off the texts of the classes' least documents, and go where they are compared: to a.
+    The sets are read off the texts of the classes' least documents.
     """
-    both = pairs.select("a", "b").unionByName(pairs.select("a", F.col("a").alias("b")).distinct())
-    wanted = both.join(classes.select(F.col("digest").alias("b"), "rep"), "b").groupBy("rep", "b").agg(F.collect_set("a").alias("to"))
-    rows = texts(docs, drop_null_ids=True).join(wanted, F.col("doc_id") == F.col("rep")).select("doc_id", "text", "b", "to")
+    rows = texts(docs, drop_null_ids=True).join(wanted, F.col("doc_id") == F.col("rep")).select("doc_id", "text", "digest", "to")
 
     def run(batches):
-        sent: set[tuple[bytes, bytes]] = set()
+        sent: set[bytes] = set()
         for x in batches:
             own, to, at = x.column(2).to_pylist(), x.column(3).to_pylist(), 0
             for ids, part in slices([x.select([0, 1])], SLICE):
                 n, key = text_sets(part, size)
                 ends = np.cumsum(n)
-                out: dict[str, list] = {"a": [], "b": [], "set": []}
+                out: dict[str, list] = {"to": [], "digest": [], "set": []}
                 for i in range(len(ids)):
                     held = key[ends[i] - n[i] : ends[i]]
                     # A doc_id may stand for several texts: only the class's own is sent, and once.
-                    if digest(held) == own[at + i]:
-                        for a in to[at + i]:
-                            if (own[at + i], a) not in sent:
-                                sent.add((own[at + i], a))
-                                out["a"].append(a)
-                                out["b"].append(own[at + i])
-                                out["set"].append(held.tobytes())
+                    if own[at + i] not in sent and digest(held) == own[at + i]:
+                        sent.add(own[at + i])
+                        out["to"] += to[at + i]
+                        out["digest"] += [own[at + i]] * len(to[at + i])
+                        out["set"] += [held.tobytes()] * len(to[at + i])
                 at += len(ids)
                 yield out
 
-    routed = stored(arrow_map(rows, run, "a binary, b binary, set binary"), "sets")
-    centres = routed.where("a = b").groupBy("a").agg(F.first("set").alias("other"))
-    met = routed.where("a <> b").join(centres, "a")
+    return stored(arrow_map(rows, run, "to binary, digest binary, set binary"), "sets")
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose full sets reach the threshold; the sets meet at a."""
+    both = pairs.select("a", "b").unionByName(pairs.select("a", F.col("a").alias("b")).distinct())
+    wanted = both.join(classes.select(F.col("digest").alias("b"), "rep"), "b").groupBy("rep", F.col("b").alias("digest")).agg(F.collect_set("a").alias("to"))
+    routed = routed_sets(wanted, docs, size)
+    centres = routed.where("to = digest").groupBy("to").agg(F.first("set").alias("other"))
+    met = routed.where("to <> digest").join(centres, "to")
 
     def compare(batches):
         for x in batches:
@@ -246,7 +250,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, p
             kept = np.array(keep, dtype=np.int64)
             yield {"a": x.column(0).take(kept), "b": x.column(1).take(kept)}
 
-    return stored(arrow_map(met, compare, "a binary, b binary", ["a", "b", "set", "other"]), "links")
+    return stored(arrow_map(met, compare, "a binary, b binary", ["to", "digest", "set", "other"]), "links")
 
 
 def rooted(classes: DataFrame, links: DataFrame) -> DataFrame:
@@ -257,70 +261,148 @@ def rooted(classes: DataFrame, links: DataFrame) -> DataFrame:
     return classes.select("digest", "n").join(found, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
 
 
-def open_tiles(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """key, tile, digest, n, root: tiles of the buckets that hold several components, one bucket for each member set."""
-    named = buckets.select("key", "digest").join(roots, "digest")
-    mark = F.xxhash64("digest")
+def open_tiles(buckets: DataFrame, roots: DataFrame, tried: DataFrame) -> DataFrame:
+    """tile, key, digest, n, root, tried: tiles of the buckets that hold several components, one bucket for each member set.
+
+    ``tried`` is the class this one was verified against before.
+    """
+    named = stored(buckets.select("key", "digest").join(roots, "digest"), "named")
     mixed = named.groupBy("key").agg(
-        F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("held"), F.bit_xor(mark).alias("m1"),
+        F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("held"), F.bit_xor(F.xxhash64("digest")).alias("m1"),
         F.sum(F.xxhash64(F.lit(7), "digest").cast("decimal(38,0)")).alias("m2"),
     ).where("x <> y")
     single = stored(mixed.groupBy("held", "m1", "m2").agg(F.min("key").alias("key")).select("key", "held"), "mixed")
-    rows = named.join(single, "key")
-    own = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("alike"))
-    rows = rows.join(own, ["key", "root"])
+    rows = stored(named.join(single, "key"), "open")
+    own = stored(rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("alike")), "alike")
     large = F.col("held") > TILE
-    rows = rows.withColumn("part", F.when(large & (F.col("alike") >= TILE // 4), F.xxhash64("root")).otherwise(0))
-    rows = rows.withColumn("class", F.when(large, F.floor(F.log("n") / F.log(F.lit(100 / 85)))).otherwise(0))
+    part = F.when(large & (F.col("alike") >= TILE // 4), F.xxhash64("root")).otherwise(0)
+    size_class = F.when(large, F.floor(F.log("n") / F.log(F.lit(100 / PERCENT)))).otherwise(0)
+    rows = stored(rows.join(own, ["key", "root"]).select("key", "digest", "n", "root", part.alias("part"), size_class.alias("class")), "placed")
     group = ["key", "part", "class"]
-    number = rows.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / TILE).alias("tiles"))
-    rows = rows.join(number, group).withColumn("tile", F.xxhash64(*group, F.pmod(F.xxhash64("digest"), "tiles")))
-    return stored(rows.select("key", "tile", "digest", "n", "root"), "tiles")
+    number = rows.groupBy(*group).agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).alias("tiles"))
+    rows = rows.join(stored(number, "numbers"), group).join(tried.select(F.col("b").alias("digest"), F.col("a").alias("tried")), "digest", "left")
+    tile = F.xxhash64(*group, F.pmod(F.xxhash64("digest"), "tiles"))
+    return stored(rows.select(tile.alias("tile"), "key", "digest", "n", "root", F.coalesce("tried", "digest").alias("tried")), "tiles")
 
 
-def tile_survivors(tiles: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """a, b, x, y, agree: surviving pairs of classes of different components x < y."""
-    about = tiles.groupBy("key", "tile").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("root").alias("x"), F.max("root").alias("y"))
+def tile_pairs(tiles: DataFrame, percent: int) -> DataFrame:
+    """tile, tile2: tiles of one bucket that may join components, by their sizes and components."""
+    about = stored(tiles.groupBy("key", "tile").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("root").alias("x"), F.max("root").alias("y")), "about")
     other = about.select("key", *[F.col(c).alias(f"{c}2") for c in ("tile", "lo", "hi", "x", "y")])
     near = (100 * F.col("hi") >= percent * F.col("lo2")) & (100 * F.col("hi2") >= percent * F.col("lo"))
     apart = (F.col("x") != F.col("y")) | (F.col("x2") != F.col("y2")) | (F.col("x") != F.col("x2"))
-    asked = about.join(other, "key").where((F.col("tile") <= F.col("tile2")) & near & apart).select("tile", "tile2")
+    return about.join(other, "key").where((F.col("tile") <= F.col("tile2")) & near & apart).select("tile", "tile2")
+
+
+class Tile:
+    """Classes of one tile as arrays."""
+
+    def __init__(self, held: dict):
+        self.n = np.frombuffer(held["ns"], dtype=np.int64)
+        self.digests, self.roots, self.tried = ([held[c][i : i + 16] for i in range(0, 16 * len(self.n), 16)] for c in ("digests", "roots", "tried"))
+        self.table = np.frombuffer(held["signatures"], dtype=np.uint32).reshape(-1, SIGNATURE)
+        self.keys = np.frombuffer(held["sets"], dtype=np.uint64)
+        self.starts = np.cumsum(self.n) - self.n
+
+
+def candidates(one: Tile, two: Tile, same: bool, percent: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, agreements) of surviving pairs of different components that were not verified before."""
+    names: dict[bytes, int] = {}
+
+    def numbers(values):
+        return np.array([names.setdefault(v, len(names)) for v in values], dtype=np.int64)
+
+    low, high = np.minimum(one.n[:, None], two.n[None, :]), np.maximum(one.n[:, None], two.n[None, :])
+    ok = (100 * low >= percent * high) & (numbers(one.roots)[:, None] != numbers(two.roots)[None, :])
+    ok &= (numbers(one.tried)[:, None] != numbers(two.digests)[None, :]) & (numbers(one.digests)[:, None] != numbers(two.tried)[None, :])
+    i, j = np.nonzero(np.triu(ok, 1) if same else ok)
+    return surviving(one.table, two.table, i, j, least)
+
+
+def exact_links(one: Tile, two: Tile, i: np.ndarray, j: np.ndarray, percent: int) -> list[tuple[bytes, bytes]]:
+    """A spanning forest of the components that the pairs join by their full sets."""
+    _, code = np.unique(np.concatenate([one.keys, two.keys]), return_inverse=True)
+    left, right = code[: len(one.keys)], code[len(one.keys) :]
+    mark = np.zeros(len(code), dtype=bool)
+    parent: dict[bytes, bytes] = {}
+
+    def root(v):
+        while parent.setdefault(v, v) != v:
+            parent[v] = parent[parent[v]]
+            v = parent[v]
+        return v
+
+    out = []
+    order = np.argsort(i, kind="stable")
+    i, j = i[order], j[order]
+    for a in np.unique(i).tolist():
+        own, others = slice(one.starts[a], one.starts[a] + one.n[a]), j[np.searchsorted(i, a) : np.searchsorted(i, a, side="right")]
+        mark[left[own]] = True
+        shared = np.add.reduceat(mark[right[runs(two.starts[others], two.n[others])]].astype(np.int64), np.cumsum(two.n[others]) - two.n[others])
+        mark[left[own]] = False
+        for b in others[100 * shared >= percent * (one.n[a] + two.n[others] - shared)].tolist():
+            x, y = root(one.roots[a]), root(two.roots[b])
+            if x != y:
+                parent[x] = y
+                out.append((one.roots[a], two.roots[b]))
+    return out
+
+
+def packed_tiles(rows: DataFrame) -> DataFrame:
+    """tile and its classes (digest, n, root, tried, signature, set) as one struct of bytes."""
 
     def packed(table):
-        return {
-            "tile": table["tile"][:1], "digests": [b"".join(table["digest"].to_pylist())], "roots": [b"".join(table["root"].to_pylist())],
-            "ns": [table["n"].to_numpy().tobytes()], "signatures": [b"".join(table["signature"].to_pylist())],
-        }
+        joined = {c: [b"".join(table[f].to_pylist())] for c, f in (("digests", "digest"), ("roots", "root"), ("tried", "tried"), ("signatures", "signature"), ("sets", "set"))}
+        return {"tile": table["tile"][:1], "ns": [table["n"].to_numpy().tobytes()], **joined}
 
-    rows = tiles.join(classes.select("digest", "signature"), "digest")
-    held = stored(grouped(rows, "tile", packed, "tile long, digests binary, roots binary, ns binary, signatures binary"), "packed")
-    inner = ["digests", "roots", "ns", "signatures"]
-    left, right = (held.select(F.col("tile").alias(t), F.struct(*inner).alias(f"of_{t}")) for t in ("tile", "tile2"))
-    met = asked.join(left, "tile").join(right, "tile2")
+    schema = "tile long, ns binary, digests binary, roots binary, tried binary, signatures binary, sets binary"
+    held = grouped(rows, "tile", packed, schema)
+    return stored(held.select("tile", F.struct(*[f.split(" ")[0] for f in schema.split(", ")[1:]]).alias("held")), "packed")
 
-    def names(blob):
-        return np.frombuffer(blob, dtype="V16")
 
-    def run(batches):
+def joined_tiles(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    left, right = held.withColumnRenamed("held", "one"), held.select(F.col("tile").alias("tile2"), F.col("held").alias("two"))
+    return pairs.join(left, "tile").join(right, "tile2").select("tile", "tile2", "one", "two")
+
+
+def rest_links(tiles: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame | None:
+    """a, b: links between the components of open buckets, as a spanning forest of each tile pair.
+
+    Signatures alone find the tile pairs with survivors; full sets go to their tiles only.
+    """
+    marks = tiles.join(classes.select("digest", "signature", "rep"), "digest")
+    held = packed_tiles(marks.withColumn("set", F.lit(b"").cast("binary")))
+
+    def sift(batches):
+        least = least_agreements(percent)
+        for b in batches:
+            keep = []
+            for x, (one, two) in enumerate(zip(b.column(2), b.column(3))):
+                same = b.column(0)[x] == b.column(1)[x]
+                if len(candidates(Tile(one.as_py()), Tile(two.as_py()), same, percent, least)[0]):
+                    keep.append(x)
+            kept = np.array(keep, dtype=np.int64)
+            yield {"tile": b.column(0).take(kept), "tile2": b.column(1).take(kept)}
+
+    pairs = stored(arrow_map(joined_tiles(tile_pairs(tiles, percent), held), sift, "tile long, tile2 long"), "pairs")
+    if pairs.isEmpty():
+        return None
+    hot = pairs.select("tile").unionByName(pairs.select(F.col("tile2").alias("tile"))).distinct()
+    rows = stored(marks.join(hot, "tile"), "hot")
+    wanted = rows.groupBy("rep", "digest").agg(F.array(F.first("digest")).alias("to"))
+    sets = routed_sets(wanted, docs, size).groupBy("digest").agg(F.first("set").alias("set"))
+    held = packed_tiles(rows.join(sets, "digest"))
+
+    def settle(batches):
         least = least_agreements(percent)
         for b in batches:
-            for one, two, same in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                n, m = np.frombuffer(one["ns"], dtype=np.int64), np.frombuffer(two["ns"], dtype=np.int64)
-                roots = [np.array([r.tobytes() for r in names(t["roots"])], dtype=object) for t in (one, two)]
-                low, high = np.minimum(n[:, None], m[None, :]), np.maximum(n[:, None], m[None, :])
-                open_ = (100 * low >= percent * high) & (roots[0][:, None] != roots[1][None, :])
-                i, j = np.nonzero(np.triu(open_, 1) if same else open_)
-                tables = [np.frombuffer(t["signatures"], dtype=np.uint32).reshape(-1, SIGNATURE) for t in (one, two)]
-                i, j, agree = surviving(*tables, i, j, least)
-                a, b_ = (np.array([d.tobytes() for d in names(t["digests"])], dtype=object) for t in (one, two))
-                x, y = roots[0][i].tolist(), roots[1][j].tolist()
-                yield {
-                    "a": a[i].tolist(), "b": b_[j].tolist(), "x": [min(p) for p in zip(x, y)], "y": [max(p) for p in zip(x, y)], "agree": agree,
-                }
-
-    met = met.withColumn("same", F.col("tile") == F.col("tile2"))
-    found = arrow_map(met, run, "a binary, b binary, x binary, y binary, agree long", ["of_tile", "of_tile2", "same"])
-    return found.distinct()
+            for x in range(b.num_rows):
+                one, two = Tile(b.column(2)[x].as_py()), Tile(b.column(3)[x].as_py())
+                i, j, _ = candidates(one, two, b.column(0)[x] == b.column(1)[x], percent, least)
+                found = exact_links(one, two, i, j, percent) if len(i) else []
+                yield {"a": [f[0] for f in found], "b": [f[1] for f in found]}
+
+    return stored(arrow_map(joined_tiles(pairs, held), settle, "a binary, b binary").distinct(), "links")
 
 
 def link(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -335,21 +417,10 @@ def link(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
     tried = star_pairs(buckets, classes, percent)
     links = verified(tried, classes, docs, size, percent)
     roots = rooted(classes, links)
-    tiles = open_tiles(buckets, roots)
-    if not tiles.isEmpty():
-        both = tried.select("a", "b").unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        left = stored(tile_survivors(tiles, classes, percent).join(both, ["a", "b"], "left_anti"), "survivors")
-        if not left.isEmpty():
-            best = left.groupBy("x", "y").agg(F.max_by(F.struct("a", "b"), F.struct("agree", "a", "b")).alias("p")).select("p.*")
-            links = links.unionByName(verified(best, classes, docs, size, percent))
-            now = rooted(classes, links)
-            ends = [now.select(F.col("digest").alias(c), F.col("root").alias(f"r{c}")) for c in "ab"]
-            apart = left.join(best, ["a", "b"], "left_anti").join(ends[0], "a").join(ends[1], "b").where("ra <> rb").select("a", "b")
-            apart = stored(apart, "apart")
-            if apart.isEmpty():
-                roots = now
-            else:
-                roots = rooted(classes, links.unionByName(verified(apart, classes, docs, size, percent)))
+    tiles = open_tiles(buckets, roots, tried)
+    more = None if tiles.isEmpty() else rest_links(tiles, classes, docs, size, percent)
+    if more is not None and not more.isEmpty():
+        roots = rooted(classes, links.unionByName(more))
     reps = roots.join(classes.select("digest", "rep"), "digest")
     least = reps.groupBy("root").agg(F.min("rep").alias("component"))
     final = stored(reps.join(least, "root").select("digest", "component"), "final")
