@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from verdigraph.operators import code as C
 from verdigraph.operators import flow as G
+from verdigraph.operators import record
 
 
 def corpus(spark, *sources):
@@ -10,7 +11,7 @@ def corpus(spark, *sources):
 
 def edges_of(spark, source):
     got = G.def_use(corpus(spark, source)).collect()
-    return sorted((r["pos"], r["var"], r["rel"], *(zip(r["deps"], r["dep_pos"]))) for r in got)
+    return sorted((r["pos"], r["var"], r["rel"], *[(d, p) for d, p in zip(r["deps"] * (len(r["dep_pos"]) if len(r["deps"]) == 1 else 1), r["dep_pos"])]) for r in got)
 
 
 def test_tokens(spark):
@@ -23,9 +24,9 @@ def test_tokens(spark):
 def test_statements_split_like_tokens(spark):
     source = 'a"b;c\' ; "x;y{" } {;; d \'{\' e "open ; f'
     whole = [r["text"] for r in C.tokens(corpus(spark, source)).orderBy("pos").collect()]
-    rows = G._statements(corpus(spark, source), "func").orderBy("stmt").collect()
-    assert [x for r in rows for x in r["_l"]] == whole
-    assert [r["first"] for r in rows] == [sum(len(q["_l"]) for q in rows[:i]) for i in range(len(rows))]
+    rows = record.statements(corpus(spark, source), "func").orderBy("stmt").collect()
+    assert [t["text"] for r in rows for t in r["tokens"]] == whole
+    assert [r["first"] for r in rows] == [sum(len(q["tokens"]) for q in rows[:i]) for i in range(len(rows))]
 
 
 def test_calls(spark):
@@ -188,3 +189,73 @@ def test_function_tables_share_one_exchange(spark):
     chain = G.reindex_edges(G.prune_edges(G.def_use(corpus(spark, "{ a = b; }"))))
     plan = chain._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def sources(spark, source):
+    """(position, name) -> positions it comes from."""
+    return {(r["pos"], r["var"]): r["dep_pos"] for r in G.def_use(corpus(spark, source)).where("rel = 'comesFrom'").collect()}
+
+
+def test_branches_join(spark):
+    # {0 x1 =2 1 3 ;4 if5 (6 c7 )8 x9 =10 2 11 ;12 else13 x14 =15 3 16 ;17 u18 =19 x20 ;21 }22
+    got = sources(spark, "{ x = 1; if (c) x = 2; else x = 3; u = x; }")
+    assert got[(20, "x")] == [9, 14]
+    # {0 x1 =2 1 3 ;4 if5 (6 c7 )8 {9 x10 =11 2 12 ;13 }14 u15 =16 x17 ;18 }19
+    got = sources(spark, "{ x = 1; if (c) { x = 2; } u = x; }")
+    assert got[(17, "x")] == [1, 10]
+    # {0 x1 =2 1 3 ;4 if5 (6 a7 )8 x9 =10 2 11 ;12 else13 if14 (15 x16 )17 x18 =19 3 20 ;21 u22 =23 x24 ;25 }26
+    got = sources(spark, "{ x = 1; if (a) x = 2; else if (x) x = 3; u = x; }")
+    assert got[(16, "x")] == [1] and got[(24, "x")] == [1, 9, 18]
+    # The else belongs to the nearer if: {0 x1 =2 1 3 ;4 if5 (6 a7 )8 if9 (10 b11 )12 x13 =14 2 15 ;16 else17 x18 =19 3 20 ;21 u22 =23 x24 ;25 }26
+    got = sources(spark, "{ x = 1; if (a) if (b) x = 2; else x = 3; u = x; }")
+    assert got[(24, "x")] == [1, 13, 18]
+    # First sights in both arms: {0 if1 (2 c3 )4 u5 =6 x7 ;8 else9 u10 =11 x12 ;13 v14 =15 x16 ;17 }18
+    got = sources(spark, "{ if (c) u = x; else u = x; v = x; }")
+    assert got[(7, "x")] == [] and got[(12, "x")] == [] and got[(16, "x")] == [7, 12]
+
+
+def test_loops_are_walked_twice(spark):
+    # {0 x1 =2 1 3 ;4 while5 (6 x7 )8 {9 y10 =11 x12 ;13 x14 =15 y16 ;17 }18 u19 =20 x21 ;22 }23
+    got = sources(spark, "{ x = 1; while (x) { y = x; x = y; } u = x; }")
+    assert got[(7, "x")] == [1, 14] and got[(12, "x")] == [1, 14] and got[(16, "y")] == [10] and got[(21, "x")] == [14]
+    # The inner loop feeds itself though the outer one starts it anew.
+    # {0 while1 (2 a3 )4 {5 j6 =7 0 8 ;9 while10 (11 j12 )13 j14 =15 k16 ;17 }18 }19
+    got = sources(spark, "{ while (a) { j = 0; while (j) j = k; } }")
+    assert got[(12, "j")] == [6, 14] and got[(3, "a")] == [3] and got[(16, "k")] == [16]
+    # for and do are walked once: {0 x1 =2 1 3 ;4 for5 (6 ;7 x8 ;9 )10 x11 =12 2 13 ;14 do15 x16 =17 x18 ;19 while20 (21 x22 )23 ;24 }25
+    got = sources(spark, "{ x = 1; for (; x;) x = 2; do x = x; while (x); }")
+    assert got[(8, "x")] == [1] and got[(18, "x")] == [11] and got[(22, "x")] == [16]
+    # An edge a relation inside a loop: {0 while1 (2 c3 )4 {5 s6 =7 a8 +9 b10 ;11 }12 s13 =14 a15 +16 b17 ;18 }19
+    rows = G.def_use(corpus(spark, "{ while (c) { s = a + b; } s = a + b; }")).where("rel = 'computedFrom'").collect()
+    assert sorted((r["pos"], r["deps"], r["dep_pos"]) for r in rows) == [(6, ["a", "b"], [8, 10]), (13, ["a"], [15]), (13, ["b"], [17])]
+
+
+def test_paths_of_pieces(spark):
+    source = "int f(int a) { if (a) { g(); } else do x; while (a); switch (a) { case 1: h(); } for (;;) if (b) ; }"
+    rows = record.statements(corpus(spark, source)).orderBy("stmt").collect()
+    shown = [("".join(t["text"] for t in r["tokens"]), [(p["kind"], p["arm"]) for p in r["path"]], r["header"]) for r in rows]
+    assert ("intf(inta){", [], True) in shown and ("g();", [(record.IF, 0)], False) in shown and ("x;", [(record.IF, 1)], False) in shown
+    assert ("while(a);", [(record.IF, 1)], False) in shown and ("case1:h();", [], False) in shown
+    assert (";", [(record.FOR, 0), (record.IF, 0)], False) in shown and shown[-1] == ("}", [], False)
+    assert [c for r in rows for c in r["callees"]] == ["g", "h"]
+
+
+def test_odd_sources(spark):
+    odd = ["", None, "}}} else ) while", "if (", "do", "{ if (a) { b = c; ", "else x = y; }", "while (a) while (b)", "x = {1, 2}; if (q) a = (struct s){1}; y = a;"]
+    rows = spark.createDataFrame(list(enumerate(odd)), "idx bigint, func string")
+    assert {r["idx"] for r in G.function_flow(rows).collect()} == {5, 6, 7, 8}
+    assert G.def_use(rows.limit(0)).count() == 0
+
+
+def test_branch_states_of_code(spark):
+    got = G.branch_states(corpus(spark, "{ x = 1; if (c) x = 2; else { x = 3; y = x; } }")).collect()
+    assert sorted((r["branch"], r["arm"], r["var"], r["def_pos"]) for r in got if r["var"] in "xy") == [(5, 0, "x", 9), (5, 1, "x", 15), (5, 1, "y", 19)]
+
+
+def test_sentences_and_links_take_one_exchange(spark):
+    edges = G.reindex_edges(G.prune_edges(G.function_flow(corpus(spark, "{ a = b; }"))))
+    for df in (G.flow_sentences(G.align_deps(edges)), G.attention_links(edges.withColumn("node_index", F.col("length")))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        # The distinct links are dealt by all their columns only if their function's place does not do.
+        assert plan.count("Exchange hashpartitioning") == 1
+        assert "Join" not in plan and plan.count("Scan") == 1

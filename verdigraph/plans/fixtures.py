@@ -32,14 +32,17 @@ def all_texts(t: Tables) -> DataFrame:
     )
 
 
-# C source built from parts: straight-line code, members and a loop, a lone call.
-CODE_EXPR = """CASE p_partkey % 3
+# C source built from parts: straight-line code, members and a loop, a lone call, branches and loops in each other.
+CODE_EXPR = """CASE p_partkey % 4
  WHEN 0 THEN concat('int f', p_partkey, '(int a, char *s) { /* ', p_name, ' */ int b = a; b = g', p_size % 5,
    '(b, "x // y"); if (b > ', p_size, ') { h(s); b++; } // ', p_brand, chr(10), ' return b; }')
  WHEN 1 THEN concat('static int f', p_partkey, '(struct buf *p, int n) {', chr(10), ' int len = n + ', p_size,
    ', k; char *q = p->data; // ', p_name, chr(10), '  ', chr(10), ' memcpy(p->data, q, len); p->size = len; k = len; p->n++; q[k]--; ++p->t[n].m; k = n = len + 1;',
    ' while (len > 0) { --len; logger->write_', p_size % 4, '("/* no */", len); } total += len * k;',
    ' return p->ops.run(p, len); }')
+ WHEN 2 THEN concat('int f', p_partkey, '(int a, int n, char *s) { int r = ', p_size, ', t = 0; if (a > n) r = a; else if (a < 0) { r = n; t = r; } else t = a; use', p_size % 5,
+   '(r, t); while (n > 0) { if (r > t) { n = r - 1; continue; } else for (int i = 0; i < n; i++) t = t + r * i; while (t > a) if (s[t]) --t; else { a = t; r = a + n; } n = next(n, r); }',
+   ' if (r) if (t) a = 1; else a = 2; do { r = r - a; } while (r > t); switch (a) { case 1: t = 3; break; default: a++; } /* ', p_name, ' */ if (t) { } else if (a) t = r; return r + t + n; }')
  ELSE concat('static void f', p_partkey, '(const struct tab *tabs, my_t k) { unsigned long x = ', p_size, '; for (int i = 0; i < 9; i++) { x = x * i; y = x;',
    ' } /* ', p_brand, ' */ static const my_t w = x; tabs[x].run_', p_size % 3, '(w, k);
    tabs->ops[x + k]->go[', p_size % 4, '](y); (*handler)(w); if (x) tabs[pick(x)].close(k); done(x, ', chr(39), '/', chr(39), ', f', p_partkey, ', y); }')
