@@ -11,6 +11,7 @@ from verdigraph.plans.fixtures import CORPUS_SQL, RESPONSES_SQL, STEPS_SQL, corp
 from verdigraph.plans.measuring import COUNTS_SQL, JUDGED_SQL
 from verdigraph.plans.registry import query
 from verdigraph.session import scratch_path
+from verdigraph.streaming.failures import cut_stream
 from verdigraph.streaming.scoring import drain_to_table, score_stream
 
 
@@ -22,16 +23,31 @@ def c1(t):
     return R.pending(corpus(t), responses(t).where(F.col("idx") % 3 == 0))
 
 
-@query(
-    "c2_cut_after_failures",
-    f"""WITH s AS ({STEPS_SQL}), f AS (SELECT run, step, sum(CASE WHEN failed THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS n FROM s),
+C2_SQL = f"""WITH s AS ({STEPS_SQL}), f AS (SELECT run, step, sum(CASE WHEN failed THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS n FROM s),
  cut AS (SELECT run, min(step) AS at FROM f WHERE n = 3 GROUP BY run)
- SELECT s.run, s.step, s.loss FROM s LEFT JOIN cut ON s.run = cut.run WHERE NOT s.failed AND (cut.at IS NULL OR s.step < cut.at)""",
-)
+ SELECT s.run, s.step, s.loss FROM s LEFT JOIN cut ON s.run = cut.run WHERE NOT s.failed AND (cut.at IS NULL OR s.step < cut.at)"""
+
+
+@query("c2_cut_after_failures", C2_SQL)
 def c2(t):
     return R.cut_after_failures(steps(t), pos="step", n=3).select("run", "step", "loss")
 
 
+STEPS_SLICES = 4
+
+
+@query("c2_stream", C2_SQL)
+def c2_stream(t):
+    """The attempts arrive in parts, later steps later; each part is a trigger."""
+    folder = scratch_path(t.spark, "attempts")
+    rows = steps(t).select("run", "step", "loss", "failed")
+    width = rows.agg(F.ceil((F.max("step") + 1) / STEPS_SLICES).alias("w")).first()["w"] or 1
+    for part in range(STEPS_SLICES):
+        rows.where(F.floor(F.col("step") / width) == part).repartition(2).write.mode("append").parquet(folder)
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", "2").parquet(folder)
+    return cut_stream(stream, pos="step", n=3).select("run", "step", "loss")
+
+
 @query(
     "c3_shuffle",
     "SELECT doc_id AS idx, row_number() OVER (ORDER BY md5(concat('42:', doc_id)), doc_id) - 1 AS pos FROM documents",

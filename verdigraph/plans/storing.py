@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigraph import sources as IO
+from verdigraph.operators.history import to_history
 from verdigraph.operators.metrics import confusion
 from verdigraph.plans.fixtures import CORPUS_SQL, RESPONSES_SQL, SHOTS_SQL, corpus, responses, shots
 from verdigraph.plans.measuring import COUNTS_SQL, JUDGED_SQL, LONG_SQL, PRED_SQL, judged, predicted, wide
@@ -28,6 +29,18 @@ def s1(t):
 def s2(t):
     path = scratch_path(t.spark, "shots")
     shots(t).select("row", "func", "target").write.json(path)
+    return IO.read_shots(t.spark, path, "row")
+
+
+@query(
+    "s2_shots_by_line",
+    f"""SELECT row_number() OVER (ORDER BY "row") - 1 AS "row", func, target, (row_number() OVER (ORDER BY "row") - 1) // 2 AS pair_id,
+ CAST((row_number() OVER (ORDER BY "row") - 1) % 2 AS INTEGER) AS pos_in_pair FROM ({SHOTS_SQL}) s""",
+)
+def s2_lines(t):
+    """The examples as they are kept, without a column of their order: several files, read line by line."""
+    path = scratch_path(t.spark, "shots")
+    shots(t).repartitionByRange(3, "row").sortWithinPartitions("row").select("func", "target").write.json(path)
     return IO.read_shots(t.spark, path)
 
 
@@ -50,9 +63,13 @@ def s4(t):
 
 @query("s5_metrics", f"SELECT config AS run, {COUNTS_SQL} FROM ({JUDGED_SQL}) j GROUP BY config")
 def s5(t):
+    """Written twice, and a third time that breaks off before its commit: one row a run stays."""
     path = scratch_path(t.spark, "metrics")
-    IO.write_metrics(confusion(judged(t), ["config"]).withColumnRenamed("config", "run"), path)
-    return t.spark.read.parquet(path)
+    rows = confusion(judged(t), ["config"]).withColumnRenamed("config", "run")
+    IO.write_metrics(rows, path)
+    IO.write_metrics(rows, path)
+    IO.stage_runs(rows.withColumn("tp", F.col("tp") + 1), path, ["run"])
+    return IO.read_runs(t.spark, path, ", ".join(f"{c} {kind}" for c, kind in rows.dtypes))
 
 
 @query("s6_generations", f"SELECT config, idx, target, pred, CASE WHEN pred IS NULL THEN 'true' ELSE 'false' END AS invalid FROM ({JUDGED_SQL}) j")
@@ -77,14 +94,17 @@ def s7(t):
         asked = responses(t).where(F.col("config") == config).select(
             F.col("idx").cast("string").alias("idx"), "target", F.when(F.col("idx") % 7 != 0, F.col("response")).alias("response")
         )
-        IO.append_responses(asked, log, own)
+        # The second run is sent again, as after a lost driver.
+        for _ in range(1 + (config == 1)):
+            IO.append_responses(asked, log, own, run=str(config))
         copies.append(IO.read_responses(t.spark, own).select(F.lit(f"run {config}").alias("kept_in"), "*"))
-    return reduce(DataFrame.union, copies, IO.read_responses(t.spark, log).select(F.lit("log").alias("kept_in"), "*"))
+    return reduce(DataFrame.union, copies, IO.read_log(t.spark, log).select(F.lit("log").alias("kept_in"), "idx", "target", "response"))
 
 
 @query("s8_history", LONG_SQL)
 def s8(t):
     path = scratch_path(t.spark, "history")
-    IO.write_history(wide(t), path)
-    back = t.spark.read.parquet(path)
+    for _ in range(2):
+        IO.write_history(wide(t), path)
+    back = IO.read_runs(t.spark, path, ", ".join(f"{c} {kind}" for c, kind in to_history(wide(t), ("run", "epoch", "step")).dtypes))
     return back.withColumns({"run": F.col("run").cast("bigint"), "value": F.round("value", 9)})
