@@ -53,6 +53,8 @@ MIN_COSINE = 0.3
 LCS_SHARE = 0.5
 ANSWERED_SHARE = 0.4
 SHORT = 8
+MIN_CONTENT = 3
+PLAIN_SHARE, ORDER_SHARE = 0.7, 0.4
 MAX_ITEM_BYTES = 16 << 20
 SPACE_ITEMS = 200
 GRAM = 4
@@ -103,6 +105,36 @@ class Item:
             return 0.0, False
         return share, answer
 
+    def weigh(self, useful: np.ndarray) -> None:
+        """Tell words that are no frequent ones; where few are, the item is ``plain``: frequent words alone must not decide."""
+        self.content = [w for w in self.words if useful[bucket(w)]]
+        self.plain = len(self.content) <= (1 - ANSWERED_SHARE) * len(self.words)
+        self.content_masks: dict[bytes, int] = {}
+        for i, w in enumerate(self.content):
+            self.content_masks[w] = self.content_masks.get(w, 0) | 1 << i
+
+    def compare_plain(self, other: list[bytes]) -> tuple[float, bool]:
+        """As ``compare``, in stretches of about the item's own length, of which the best counts.
+
+        Half of the item's rarer words must stand there in order too. An item with hardly any must stand there word for word,
+        or share ``PLAIN_SHARE`` with the stretch and ``ORDER_SHARE`` more than with the stretch read backwards: frequent words meet in any order.
+        """
+        n = len(self.words)
+        width, best = n + n // 2, (0.0, False)
+        for start in range(0, max(1, len(other) - width + n // 4), max(1, n // 4)):
+            part = other[start : start + width]
+            share, answer = self.compare(part)
+            if len(self.content) >= MIN_CONTENT:
+                if lcs(self.content, self.content_masks, part) < LCS_SHARE * len(self.content):
+                    continue
+            elif share < PLAIN_SHARE:
+                continue
+            elif b" %s " % b" ".join(self.words) not in b" %s " % b" ".join(part):
+                if share - self.compare(part[::-1])[0] < ORDER_SHARE:
+                    continue
+            best = max(best, (share, answer))
+        return best
+
 
 class Blocks:
     """Benchmark words of some texts, by block: buckets of tokens, block of each token, document of each block."""
@@ -172,24 +204,20 @@ class Sequences:
 
 
 class Shared:
-    """Passages that hold a share of an item's words, for items that consist largely of frequent words."""
+    """Passages that hold half of an item's rarer words, for items that consist largely of frequent words."""
 
     def __init__(self, items: list[Item], counts: np.ndarray, n_passages: int):
-        useful = (counts > 0) & (counts <= COMMON * n_passages)
-        self.chosen = [k for k, item in enumerate(items) if useful[[bucket(w) for w in item.words]].mean() <= 1 - ANSWERED_SHARE]
+        self.chosen = [k for k, item in enumerate(items) if item.plain]
+        # The words that decide: the rarer ones, where there are enough of them.
+        held = {k: items[k].content if len(items[k].content) >= MIN_CONTENT else items[k].words for k in self.chosen}
         self.spots = np.full(BUCKETS + 1, -1)  # the last for words of no item
-        used = np.unique(np.array([bucket(w) for k in self.chosen for w in items[k].words], dtype=np.int64))
+        used = np.unique(np.array([bucket(w) for k in self.chosen for w in held[k]], dtype=np.int64))
         self.spots[used] = np.arange(len(used))
         self.times = np.zeros((len(used), len(self.chosen)), dtype=np.float32)
         for column, k in enumerate(self.chosen):
-            np.add.at(self.times[:, column], self.spots[[bucket(w) for w in items[k].words]], 1)
-        sizes = np.array([len(items[k].words) for k in self.chosen])
+            np.add.at(self.times[:, column], self.spots[[bucket(w) for w in held[k]]], 1)
+        sizes = np.array([len(held[k]) for k in self.chosen])
         self.need = np.where(sizes > BLOCK, BLOCK / 2, sizes) - 1e-6
-        self.answers = np.zeros_like(self.times)
-        for column, k in enumerate(self.chosen):
-            if len(items[k].words) <= BLOCK:
-                self.answers[self.spots[[bucket(w) for w in items[k].answer]], column] = 1
-        self.answer_words = self.answers.sum(0)
 
     def find(self, b: Blocks):
         """(passage, item) where enough of the item's words occur in the passage."""
@@ -211,8 +239,7 @@ class Shared:
             end = new[start + 4096] if start + 4096 < len(new) else len(passage)
             of, begins = spot[chosen[0] : end], chosen - chosen[0]
             total = np.add.reduceat(self.times[of], begins, axis=0)
-            answered = np.add.reduceat(self.answers[of], begins, axis=0) >= self.answer_words
-            for p, column in zip(*np.nonzero((total >= LCS_SHARE * self.need) | answered & (total >= ANSWERED_SHARE * self.need))):
+            for p, column in zip(*np.nonzero(total >= LCS_SHARE * self.need)):
                 yield int(passage[chosen[p]]), self.chosen[column]
 
 
@@ -326,6 +353,8 @@ def latent_basis(docs: DataFrame, items: list[Item], vocabulary: dict[bytes, int
 def _leaks(docs: DataFrame, items: list[Item], rank: int) -> DataFrame:
     vocabulary = {w: bucket(w) for i in items for w in i.words}
     n, counts = passage_counts(docs, vocabulary)
+    for item in items:
+        item.weigh((counts > 0) & (counts <= COMMON * n))
     idf = np.where(counts > COMMON * n, 0.0, np.log((n + 1) / (counts + 1)) + 1e-6).astype(np.float32)
     # Words that stand in a large share of all passages weigh nothing; ``Sequences`` and ``Shared`` look them up.
     weighted = {w: b for w, b in vocabulary.items() if idf[b] > 0}
@@ -350,7 +379,8 @@ def _leaks(docs: DataFrame, items: list[Item], rank: int) -> DataFrame:
                 """Compare an item with a document's words from ``first`` to ``last`` and an item's length around."""
                 item = items[k]
                 reach = len(item.words)
-                share, answer = item.compare(b.words[doc][max(0, first - reach) : last + reach])
+                compare = item.compare_plain if item.plain else item.compare
+                share, answer = compare(b.words[doc][max(0, first - reach) : last + reach])
                 if share >= LCS_SHARE or answer and share >= ANSWERED_SHARE:
                     kept = out.setdefault((ids[doc], item.item_id), [0.0, 0.0, False])
                     kept[:] = max(kept[0], cosine), max(kept[1], share), kept[2] or answer
