@@ -34,7 +34,7 @@ SELECT_STEP = 64
 DOCS_PER_BUCKET = 4000
 MAX_BUCKETS = 20_000
 # Entries a worker keeps; what comes later, when the frequent words are in, is kept for its slice alone.
-KEPT_PIECES, KEPT_WORDS = 450_000, 350_000
+KEPT_PIECES, KEPT_WORDS = 120_000, 100_000
 ENCODE_BYTES = 1 << 20
 CONTROL_SPACE = re.compile("[\x1c-\x1f]")
 # The tokenizer's own split of a text without white space, for Latin-1 characters, where its
@@ -149,6 +149,8 @@ class WordEncoder:
         for c in map(chr, range(128, 256)):
             for b, s in zip(c.encode(), shown.pre_tokenize_str(c)[0][0]):
                 self.shown[b] = s
+        # Tokens beside the model's own, which the library cuts out of a text before anything else.
+        self.added = tuple({t.content for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -173,7 +175,7 @@ class WordEncoder:
         return b"".join(map(self._word, self.split.findall(low)))
 
     def encode(self, rows: list[str]) -> list[bytes]:
-        cut = [None if CONTROL_SPACE.search(t) else t.split() for t in rows]
+        cut = [None if CONTROL_SPACE.search(t) or any(a in t for a in self.added) else t.split() for t in rows]
         fresh = set().union(*[c for c in cut if c]) - self.pieces.keys()
         self.pieces.update((p, self._piece(p)) for p in fresh)
         get = self.pieces.__getitem__
@@ -278,14 +280,14 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for first, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 s = Shard(blob)
-                ends = s.ends.all()
+                numbers = range(s.ends.n)
+                ends = np.array([s.ends.select(i) for i in numbers], dtype=np.int64)
                 begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                wide = s.ids.astype("<u4")
                 yield {
-                    "doc_id": s.doc_ids.all(),
+                    "doc_id": [s.doc_ids.select(i) for i in numbers],
                     "start": begins + first,
                     "n_tokens": ends - begins,
-                    "ids_crc32": [zlib.crc32(wide[x:y]) for x, y in zip(begins.tolist(), ends.tolist())],
+                    "ids_crc32": [zlib.crc32(s.ids[x:y].astype("<u4")) for x, y in zip(begins.tolist(), ends.tolist())],
                 }
 
     return arrow_map(placed, opened, "doc_id long, start long, n_tokens long, ids_crc32 long", ["first", "blob"])
