@@ -107,7 +107,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_train: int) -> list:
         part = known.where(F.col("quality") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train // 2)
         chosen = part if chosen is None else chosen.unionByName(part)
     # Never more than max_train rows: bounded, so it may travel to every task.
-    picked = texts(docs).join(F.broadcast(chosen), "doc_id").select("quality", "text", "doc_id")
+    # A repeated doc_id gives the text with the least hash, so that each chosen label is one row.
+    held = texts(docs).join(F.broadcast(chosen), "doc_id")
+    least = held.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text"), F.col("quality"))).alias("r"))
+    picked = least.select("r.quality", "r.text", "doc_id").limit(max_train)
 
     def run(batches):
         for quality, rows in slices(batches):
@@ -117,7 +120,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_train: int) -> list:
     found = arrow_map(picked, run, "quality int, buckets binary, counts binary", ["quality", "text"]).collect()
     rows = [(r["quality"], np.frombuffer(r["buckets"], "<u4"), np.frombuffer(r["counts"], "<u4")) for r in found]
     rows.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes()))
-    return rows[: 2 * max_train]
+    return rows
 
 
 def train(rows: list, epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> tuple[np.ndarray, float]:
