@@ -107,7 +107,13 @@ def word_table(table: bytes) -> Callable[[str], list[bytes]]:
 
 
 def hashed_sample(df: DataFrame, by: str, bound: int) -> DataFrame:
-    """At most ``bound`` rows: those whose hash of ``by`` falls in the share that leaves about that many."""
+    """At most ``bound`` rows: those whose hash of ``by`` falls in the share that leaves about that many.
+
+    Where one value of ``by`` holds so many rows that none are left, the rows with the least hashes: never none of some.
+    """
     n = df.count()
     share = max(1, -(-n // bound))
-    return df.where(F.pmod(F.xxhash64(by), F.lit(share)) == 0).orderBy(F.xxhash64(by), by).limit(bound)
+    part = df.where(F.pmod(F.xxhash64(by), F.lit(share)) == 0)
+    if share > 1 and part.isEmpty():
+        part = df
+    return part.orderBy(F.xxhash64(by), by).limit(bound)
