@@ -256,19 +256,25 @@ def fitted(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Field:
     return fit([r["text"] for r in chosen])
 
 
+PIECE, LAP = 400, 50
+
+
 def all_spans(text: str, field: Field) -> tuple[list, list]:
     """(base spans, base and added spans), each in order."""
     base = base_spans(text)
     added = []
     for tokens in regions(text):
-        for start in range(0, len(tokens), 200):
-            piece = tokens[start : start + 200]
+        for start in range(0, max(1, len(tokens) - 2 * LAP), PIECE - 2 * LAP):
+            piece = tokens[start : start + PIECE]
             lo, hi = piece[0][0], piece[-1][1]
             near = [b for b in base if b[0] < hi and b[1] > lo]
             if near and sum(b[1] - b[0] for b in near) >= hi - lo:
                 continue
+            # Pieces overlap; each answers for the spans that begin in its own part, a lap away from its ends.
+            own_lo = lo if not start else piece[LAP][0]
+            own_hi = hi if start + PIECE >= len(tokens) else piece[PIECE - LAP][0]
             for s, e, kind in field.decode(text, piece):
-                if all(e <= b[0] or s >= b[1] for b in near):
+                if own_lo <= s < own_hi and all(e <= b[0] or s >= b[1] for b in near):
                     added.append((s, e, kind))
     return base, sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
