@@ -121,15 +121,17 @@ class Item:
         """
         n = len(self.words)
         width, best = n + n // 2, (0.0, False)
+        rare = len(self.content) >= MIN_CONTENT
+        if rare and sum(map(self.content_masks.__contains__, other)) < LCS_SHARE * len(self.content):
+            return best
         for start in range(0, max(1, len(other) - width + n // 4), max(1, n // 4)):
             part = other[start : start + width]
+            if rare and lcs(self.content, self.content_masks, part) < LCS_SHARE * len(self.content):
+                continue
             share, answer = self.compare(part)
-            if len(self.content) >= MIN_CONTENT:
-                if lcs(self.content, self.content_masks, part) < LCS_SHARE * len(self.content):
-                    continue
-            elif share < PLAIN_SHARE:
+            if not rare and share < PLAIN_SHARE:
                 continue
-            elif b" %s " % b" ".join(self.words) not in b" %s " % b" ".join(part):
+            if not rare and b" %s " % b" ".join(self.words) not in b" %s " % b" ".join(part):
                 if share - self.compare(part[::-1])[0] < ORDER_SHARE:
                     continue
             best = max(best, (share, answer))
@@ -304,7 +306,7 @@ def latent_basis(docs: DataFrame, items: list[Item], vocabulary: dict[bytes, int
         images = b.passages(block_sums(b, weighted))
         # Each token of a block meets the images of the passages the block is in.
         per_block = np.zeros((b.n, width), dtype=np.float32)
-        np.add.at(per_block, b.pairs, images)
+        per_block[b.pairs] = images  # each block begins one passage at most
         both = b.pairs[~b.single]
         per_block[both + 1] += images[~b.single]
         spot = spots[b.tokens]
