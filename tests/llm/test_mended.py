@@ -5,11 +5,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import tiktoken
 from tokenizers import Tokenizer
 
-from verdigraph.llm import decontam, imi, pii, quality, tokenfile
+from verdigraph.llm import bpe, decontam, imi, pii, quality, tokenfile
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 STOP = "the to of is was that a in it and".split()
 
 
@@ -78,3 +80,14 @@ def test_spans_cross_pieces_of_long_regions():
         text = head + "(269) 555-3296" + " x" * 3
         found[before] = [(s - len(head), e - len(head)) for s, e, kind in pii.all_spans(text, field)[1] if kind == "phone"]
     assert found[100] and all(f == found[100] for f in found.values()), found
+
+
+def test_very_long_words():
+    """Words around and far over the bound are encoded as the library does, whatever they repeat."""
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(BYTE_BPE), special_tokens={})
+    r = random.Random(5)
+    alphabets = ["a", "ab", "etaoinshr", "=-", "\n", " ", "éèçü", "ーンのアイウ", [chr(c) for c in range(0x4E00, 0x9FA5)], ["in", "ing", "tion", "st"]]
+    rows = ["".join(r.choice(a) for _ in range(n)) for a in alphabets for n in (bpe.PIECE, bpe.LONG, bpe.LONG + 1, 700, 6000)]
+    got = bpe.codec(BYTE_BPE, public_tokenizers.PATTERN).encode(rows)
+    for row, ids in zip(rows, got):
+        assert ids.tolist() == library.encode_ordinary(row), (row[:20], len(row))

@@ -8,7 +8,12 @@ aggregation.
 
 Words repeat, so each Python worker keeps what it has encoded, up to a fixed number of entries. A query
 runs at most ``STEPS`` rounds before its rows are handed to the next one, so its memory follows the words
-at hand and not the square of a long word (its time does: one contraction a round, as in the definition).
+at hand.
+
+A word takes a round a contraction, so a word of more than ``LONG`` bytes is encoded in pieces side by side. A list
+of tokens is the encoding of its text exactly if every two neighbours encode to themselves: a contraction over
+a border would be the first one there for those two alone as well. So the borders of the pieces are
+encoded too; where one does not hold, the tokens around it are encoded together, twice as many each time.
 
 Cases: null and empty texts have no tokens; a repeated row gives a repeated result; a null doc_id stays null.
 """
@@ -29,6 +34,7 @@ from verdigraph.llm.common import map_texts
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 STEPS = 64
 QUERY_BYTES = 400_000
+LONG, PIECE, REACH = 128, 64, 4
 # Entries a worker keeps; what comes later, when the frequent words are in, is kept for its slice alone.
 KEPT_WORDS, KEPT_PIECES = 800_000, 500_000
 DECODE_TOKENS = 500_000
@@ -81,6 +87,7 @@ class Codec:
         ).reshape(-1, 2)
         ids = list(ranks.values())
         self.names = {i: str(i) for i in ids}
+        self.tokens = {r: t for t, r in ranks.items()}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         self._load("merges", {"pair": merges[:, 0], "merged": merges[:, 1].astype(np.int32)})
         # A byte stands as the character of its number; 0 as 256, since a text may end at a zero.
@@ -101,9 +108,8 @@ class Codec:
         self.db.unregister("src")
         return out
 
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        """Token ids (int32) of each word, every word one match of the pattern."""
-        raw = [w.encode() for w in words]
+    def _contract(self, raw: list[bytes]) -> list[bytes]:
+        """Token ids (int32) of each byte string, each for itself."""
         sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
         ends = np.cumsum(sizes)
         n = int(ends[-1])
@@ -124,6 +130,54 @@ class Codec:
         data = tokens[order].astype(np.int32).tobytes()
         return [data[a:b] for a, b in zip(cuts, cuts[1:])]
 
+    def _contract_all(self, raw: list[bytes]) -> list[bytes]:
+        """``_contract`` of any number of byte strings, about ``QUERY_BYTES`` a query."""
+        out: list[bytes] = []
+        start = held = 0
+        for i, r in enumerate(raw):
+            held += len(r)
+            if held >= QUERY_BYTES or i == len(raw) - 1:
+                out += self._contract(raw[start : i + 1])
+                start, held = i + 1, 0
+        return out
+
+    def _contract_long(self, raw: bytes) -> bytes:
+        """Token ids of one long byte string: pieces, then the tokens around every border that does not hold."""
+        parts = [np.frombuffer(p, dtype=np.int32) for p in self._contract_all([raw[i : i + PIECE] for i in range(0, len(raw), PIECE)])]
+        reach = REACH
+        borders = np.cumsum([len(p) for p in parts])[:-1]
+        ids = np.concatenate(parts)
+        while len(borders):
+            pairs, where = np.unique(np.stack([ids[borders - 1], ids[borders]], axis=1), axis=0, return_inverse=True)
+            both = self._contract_all([self.tokens[a] + self.tokens[b] for a, b in pairs.tolist()])
+            holds = np.array([data == pair.tobytes() for data, pair in zip(both, pairs)])
+            windows: list[list[int]] = []
+            for b in borders[~holds[where.ravel()]].tolist():
+                low, high = max(0, b - reach), min(len(ids), b + reach)
+                if windows and low <= windows[-1][1]:
+                    windows[-1][1] = high
+                else:
+                    windows.append([low, high])
+            again = self._contract_all([b"".join(map(self.tokens.__getitem__, ids[low:high].tolist())) for low, high in windows])
+            parts, edges, done, size = [], [], 0, 0
+            for (low, high), data in zip(windows, again):
+                new = np.frombuffer(data, dtype=np.int32)
+                parts += [ids[done:low], new]
+                edges += [size + low - done, size + low - done + len(new)]
+                size, done = edges[-1], high
+            parts.append(ids[done:])
+            ids = np.concatenate(parts)
+            borders = np.array([e for e in edges if 0 < e < len(ids)], dtype=np.int64)
+            reach *= 2
+        return ids.tobytes()
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Token ids (int32) of each word, every word one match of the pattern."""
+        raw = [w.encode() for w in words]
+        short = [r for r in raw if len(r) <= LONG]
+        found = iter(self._contract_all(short))
+        return [next(found) if len(r) <= LONG else self._contract_long(r) for r in raw]
+
     def _learn(self, words: set[str]) -> set[str]:
         """Encode the words not yet held, and name them."""
         missing = words - self.words.keys()
