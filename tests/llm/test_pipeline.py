@@ -1,4 +1,5 @@
 import corpus_pipeline
+from verdigraph.llm.common import stored
 
 SF = "/root/testdata/sf0.001"
 
@@ -10,7 +11,7 @@ def test_stages(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, SF)
         assert docs.columns == columns, name
-        docs = corpus_pipeline.stored(docs, "test")
+        docs = stored(docs, "test")
         counts.append(docs.count())
     # So few labels as these tables have need not reject anything.
     assert counts[0] >= counts[1] > counts[2] >= counts[3] == counts[4] > 0

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigraph.llm.common import arrow_map, mix, pack, runs, slices, stored, texts, unpack
+from verdigraph.llm.common import SLICE_BYTES, arrow_map, give_back, mix, pack, runs, slices, stored, texts, unpack
 
 BATCH_BYTES = 2 << 20
 BLOCK_BYTES = 16 << 20
@@ -69,6 +69,8 @@ def grouped(df: DataFrame, key: str, fn: Callable[[pa.Table], dict], schema: str
 
     def run(table: pa.Table) -> pa.Table:
         out = fn(table)
+        if table.nbytes >= SLICE_BYTES:
+            give_back()
         return pa.table([pa.array(out[n], ARROW[k]) for n, k in fields], names=[n for n, _ in fields])
 
     return df.groupBy(key).applyInArrow(run, schema)

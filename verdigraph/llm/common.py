@@ -8,11 +8,14 @@ that judge rows one by one and left out by those that order or link documents; r
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigraph.session import scratch_path
@@ -20,6 +23,7 @@ from verdigraph.session import scratch_path
 SLICE_BYTES = 4 << 20
 ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
 HEX = "0123456789abcdef"
+_OPEN: ContextVar[list[str] | None] = ContextVar("scratch tables of the open scope", default=None)
 
 
 def texts(docs: DataFrame, drop_null_ids: bool = False) -> DataFrame:
@@ -50,6 +54,7 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[d
         arrow = pa.schema([(name, ARROW[kind]) for name, kind in kinds.items()])
         for out in fn(batches):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type, from_pandas=False) for f in arrow], schema=arrow)
+        give_back()
 
     return (df.select(*columns) if columns else df).mapInArrow(run, schema)
 
@@ -67,10 +72,47 @@ def map_texts(docs: DataFrame, fn: Callable[[list, list[str]], dict], schema: st
 def stored(df: DataFrame, label: str) -> DataFrame:
     """The rows written to the shared folder and read back: computed once, safe from lost executors."""
     path = scratch_path(df.sparkSession, label)
+    held = _OPEN.get()
+    if held is not None:
+        held.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Deletes at its end what ``stored`` wrote inside. The function it gives stores a table that outlives it.
+
+    Rows that are not stored by that function must not be read after the end.
+    """
+    held: list[str] = []
+    outer = _OPEN.get()
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        inner = _OPEN.set(outer)
+        try:
+            return stored(df, label)
+        finally:
+            _OPEN.reset(inner)
+
+    opened = _OPEN.set(held)
+    try:
+        yield keep
+    finally:
+        _OPEN.reset(opened)
+        for path in held:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def give_back() -> None:
+    """Hand memory that is no longer used to the system: a Python worker lives on from stage to stage, and keeps it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU C library has it
+    if trim:
+        trim(0)
+
+
 def pack(array: np.ndarray) -> bytes:
     """An integer array as zstd bytes; what a shuffle moves stays near its entropy."""
     import zstandard

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigraph.llm.blocks import LOWER, Batch, block_count, by_block, counts_of, grouped, pack_documents, recurring, rolling, word_hashes, words
-from verdigraph.llm.common import arrow_map, mix, pack, runs, stored, unpack
+from verdigraph.llm.common import arrow_map, mix, pack, runs, scratch, stored, unpack
 from verdigraph.llm.components import components
 
 SIZE = 5
@@ -365,8 +365,9 @@ def one_of_each(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> Da
 
     Of rows that repeat both doc_id and text, one stays.
     """
-    least = link(docs, size, percent).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"))
-    least = stored(least, "least")
+    with scratch(docs.sparkSession) as keep:
+        least = link(docs, size, percent).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"))
+        least = keep(least, "least")
     kept = docs.join(least.select(F.col("doc_id").alias("_least")), F.col("doc_id").cast("long") == F.col("_least"), "left_semi")
     if not least.where("times > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id", "text"])
