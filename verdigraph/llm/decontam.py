@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigraph.llm.blocks import grouped
-from verdigraph.llm.common import arrow_map, slices, texts
+from verdigraph.llm.common import arrow_map, give_back, slices, texts
 
 BLOCK = 48
 BUCKETS = 8192
@@ -59,6 +59,8 @@ MAX_ITEM_BYTES = 16 << 20
 SPACE_ITEMS = 200
 GRAM = 4
 RANGES = 64
+# Rows summed at once: few enough to stay in a core's cache.
+NEAR_BLOCKS, NEAR_TOKENS = 32, 1024
 SCHEMA = "doc_id long, item_id long, cosine double, lcs_share double, answer boolean"
 TABLE = bytes((b + 32 if 65 <= b <= 90 else b) if b >= 0x80 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -250,9 +252,9 @@ def block_sums(blocks: Blocks, table: np.ndarray) -> np.ndarray:
     out = np.zeros((blocks.n, table.shape[1]), dtype=np.float32)
     if len(blocks.tokens):
         new = np.flatnonzero(np.concatenate([[True], blocks.block[1:] != blocks.block[:-1]]))
-        for start in range(0, len(new), 4096):
-            chosen = new[start : start + 4096]
-            end = new[start + 4096] if start + 4096 < len(new) else len(blocks.tokens)
+        for start in range(0, len(new), NEAR_BLOCKS):
+            chosen = new[start : start + NEAR_BLOCKS]
+            end = new[start + NEAR_BLOCKS] if start + NEAR_BLOCKS < len(new) else len(blocks.tokens)
             out[blocks.block[chosen]] = np.add.reduceat(table[blocks.tokens[chosen[0] : end]], chosen - chosen[0], axis=0)
     return out
 
@@ -312,13 +314,11 @@ def latent_basis(docs: DataFrame, items: list[Item], vocabulary: dict[bytes, int
         spot = spots[b.tokens]
         keep = np.flatnonzero(spot >= 0)
         keep = keep[np.argsort(spot[keep], kind="stable")]
-        if len(keep):
-            s = spot[keep]
+        rows = b.block[keep]
+        for start in range(0, len(keep), NEAR_TOKENS):
+            s = spot[keep[start : start + NEAR_TOKENS]]
             new = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-            for start in range(0, len(new), 256):
-                chosen = new[start : start + 256]
-                end = new[start + 256] if start + 256 < len(new) else len(keep)
-                total[s[chosen]] += np.add.reduceat(per_block[b.block[keep[chosen[0] : end]]], chosen - chosen[0], axis=0)
+            total[s[new]] += np.add.reduceat(per_block[rows[start : start + NEAR_TOKENS]], new, axis=0)
 
     edges = np.linspace(0, len(used), RANGES + 1).astype(int)
 
@@ -352,7 +352,46 @@ def latent_basis(docs: DataFrame, items: list[Item], vocabulary: dict[bytes, int
     return basis
 
 
-def _leaks(docs: DataFrame, items: list[Item], rank: int) -> DataFrame:
+class Judge:
+    """What a task needs to find a part's items in texts: word weights and latent images, items, and their searches."""
+
+    def __init__(self, vocabulary: dict[bytes, int], table: np.ndarray, images: np.ndarray, items: list[Item], counts: np.ndarray, n_passages: int):
+        self.vocabulary, self.table, self.images, self.items = vocabulary, table, images, items
+        self.sequences, self.shared = Sequences(items, counts), Shared(items, counts, n_passages)
+
+    def find(self, rows: list[str]) -> dict[tuple[int, int], list]:
+        """Cosine, share and answer of every (text, item) where the text holds the item."""
+        b = Blocks(rows, self.vocabulary)
+        sums = b.passages(block_sums(b, self.table))
+        norm = np.sqrt(np.maximum(sums[:, -1], 1e-12))
+        out: dict[tuple[int, int], list] = {}
+
+        def compare(doc: int, k: int, first: int, last: int, cosine: float) -> None:
+            """Compare an item with a document's words from ``first`` to ``last`` and an item's length around."""
+            item = self.items[k]
+            reach = len(item.words)
+            share, answer = (item.compare_plain if item.plain else item.compare)(b.words[doc][max(0, first - reach) : last + reach])
+            if share >= LCS_SHARE or answer and share >= ANSWERED_SHARE:
+                kept = out.setdefault((doc, k), [0.0, 0.0, False])
+                kept[:] = max(kept[0], cosine), max(kept[1], share), kept[2] or answer
+
+        for start in range(0, len(sums), 8192):
+            cosine = sums[start : start + 8192, :-1] @ self.images.T / norm[start : start + 8192, None]
+            for p, k in zip(*np.nonzero(cosine >= MIN_COSINE)):
+                block = b.pairs[start + p]
+                at = int(b.index[block]) * BLOCK
+                compare(int(b.doc[block]), int(k), at, at + 2 * BLOCK, float(cosine[p, k]))
+        for p, k in self.shared.find(b):
+            at = int(b.index[b.pairs[p]]) * BLOCK
+            compare(int(b.doc[b.pairs[p]]), k, at, at + 2 * BLOCK, float(sums[p, :-1] @ self.images[k] / norm[p]))
+        for (doc, k), at in self.sequences.find(b).items():
+            p = np.searchsorted(b.pairs, b.first[doc] + at // BLOCK, side="right") - 1
+            compare(doc, k, at, at + len(self.items[k].words), float(sums[p, :-1] @ self.images[k] / norm[p]))
+        return out
+
+
+def fitted(docs: DataFrame, items: list[Item], rank: int):
+    """The broadcast ``Judge`` of a part's items: its size depends on the part alone."""
     vocabulary = {w: bucket(w) for i in items for w in i.words}
     n, counts = passage_counts(docs, vocabulary)
     for item in items:
@@ -367,46 +406,20 @@ def _leaks(docs: DataFrame, items: list[Item], rank: int) -> DataFrame:
         ids = [vocabulary[w] for w in item.words if w in vocabulary]
         v = table[ids, :-1].sum(0)
         images[k] = v / max(np.linalg.norm(v), 1e-12)
-    model = docs.sparkSession.sparkContext.broadcast((vocabulary, table, images, items, Sequences(items, counts), Shared(items, counts, n)))
+    return docs.sparkSession.sparkContext.broadcast(Judge(vocabulary, table, images, items, counts, n))
+
+
+def _leaks(docs: DataFrame, items: list[Item], rank: int) -> DataFrame:
+    judge = fitted(docs, items, rank)
 
     def run(batches):
-        vocabulary, table, images, items, sequences, shared = model.value
         for ids, rows in slices(batches):
-            b = Blocks(rows, vocabulary)
-            sums = b.passages(block_sums(b, table))
-            norm = np.sqrt(np.maximum(sums[:, -1], 1e-12))
-            out: dict[tuple, list] = {}
-
-            def judge(doc: int, k: int, first: int, last: int, cosine: float) -> None:
-                """Compare an item with a document's words from ``first`` to ``last`` and an item's length around."""
-                item = items[k]
-                reach = len(item.words)
-                compare = item.compare_plain if item.plain else item.compare
-                share, answer = compare(b.words[doc][max(0, first - reach) : last + reach])
-                if share >= LCS_SHARE or answer and share >= ANSWERED_SHARE:
-                    kept = out.setdefault((ids[doc], item.item_id), [0.0, 0.0, False])
-                    kept[:] = max(kept[0], cosine), max(kept[1], share), kept[2] or answer
-
-            for start in range(0, len(sums), 8192):
-                cosine = sums[start : start + 8192, :-1] @ images.T / norm[start : start + 8192, None]
-                for p, k in zip(*np.nonzero(cosine >= MIN_COSINE)):
-                    block = b.pairs[start + p]
-                    doc, at = int(b.doc[block]), int(b.index[block]) * BLOCK
-                    if ids[doc] is not None:
-                        judge(doc, k, at, at + 2 * BLOCK, float(cosine[p, k]))
-            for p, k in shared.find(b):
-                doc, at = int(b.doc[b.pairs[p]]), int(b.index[b.pairs[p]]) * BLOCK
-                if ids[doc] is not None:
-                    judge(doc, k, at, at + 2 * BLOCK, float(sums[p, :-1] @ images[k] / norm[p]))
-            for (doc, k), at in sequences.find(b).items():
-                if ids[doc] is not None:
-                    p = np.searchsorted(b.pairs, b.first[doc] + at // BLOCK, side="right") - 1
-                    judge(doc, k, at, at + len(items[k].words), float(sums[p, :-1] @ images[k] / norm[p]))
+            out = judge.value.find(rows)
             if out:
                 c, s, a = zip(*out.values())
-                yield {"doc_id": [k[0] for k in out], "item_id": [k[1] for k in out], "cosine": c, "lcs_share": s, "answer": a}
+                yield {"doc_id": [ids[d] for d, _ in out], "item_id": [judge.value.items[k].item_id for _, k in out], "cosine": c, "lcs_share": s, "answer": a}
 
-    found = arrow_map(texts(docs), run, SCHEMA)
+    found = arrow_map(texts(docs, drop_null_ids=True), run, SCHEMA)
     return found.groupBy("doc_id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("lcs_share").alias("lcs_share"), F.max("answer").alias("answer"))
 
 
@@ -434,6 +447,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
-    """The documents, with all their columns, that hold no benchmark item; rows without doc_id stay."""
-    found = leaks(docs, benchmark, rank).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long") == F.col("_leak"), "left_anti")
+    """The documents, with all their columns, that hold no benchmark item; rows without doc_id stay.
+
+    Every row is judged by its own text where it is read, so no text is moved; each part of the items sifts what the one before left.
+    """
+    kept = docs
+    number, column = docs.columns.index("doc_id"), docs.columns.index("text")
+    for items in item_parts(benchmark):
+        kept = kept.mapInArrow(_sieve(fitted(docs, items, rank), number, column), docs.schema)
+    return kept
+
+
+def _sieve(judge, number: int, column: int):
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(number)
+            rows = pa.RecordBatch.from_arrays([pa.array(range(len(ids))), batch.column(column).cast(pa.string()).fill_null("")], ["row", "text"])
+            leaking = {part[d] for part, some in slices([rows]) for d, _ in judge.value.find(some)}
+            yield batch.filter(pa.array([i not in leaking or not ids[i].is_valid for i in range(len(ids))], pa.bool_()))
+        give_back()
+
+    return run
