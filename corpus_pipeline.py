@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from verdigraph.llm import bpe, decontam, jaccard, pii, quality
-from verdigraph.llm.common import stored
+from verdigraph.llm.common import scratch
 from verdigraph.llm.queries import BYTE_BPE, table
 
 # Models are fitted and near duplicates linked by Spark jobs; SQL cannot express the stages.
@@ -53,8 +53,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for number, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if number < len(STAGES) - 1:
-            docs = stored(docs, f"stage{number}")
-    return docs
+    for number, (_, stage) in enumerate(STAGES[:-1]):
+        with scratch(spark) as keep:  # what a stage stored on its way goes once its output is written
+            docs = keep(stage(spark, docs, sf_dir), f"stage{number}")
+    return STAGES[-1][1](spark, docs, sf_dir)
