@@ -24,6 +24,8 @@ import base64
 import functools
 import hashlib
 import re
+from collections.abc import Generator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -141,15 +143,18 @@ class Codec:
                 start, held = i + 1, 0
         return out
 
-    def _contract_long(self, raw: bytes) -> bytes:
-        """Token ids of one long byte string: pieces, then the tokens around every border that does not hold."""
-        parts = [np.frombuffer(p, dtype=np.int32) for p in self._contract_all([raw[i : i + PIECE] for i in range(0, len(raw), PIECE)])]
+    def _contract_long(self, raw: bytes) -> Generator[list[bytes], list[bytes], bytes]:
+        """Token ids of one long byte string: pieces, then the tokens around every border that does not hold.
+
+        Yields byte strings and is sent their tokens, so that many strings share a query.
+        """
+        parts = [np.frombuffer(p, dtype=np.int32) for p in (yield [raw[i : i + PIECE] for i in range(0, len(raw), PIECE)])]
         reach = REACH
         borders = np.cumsum([len(p) for p in parts])[:-1]
         ids = np.concatenate(parts)
         while len(borders):
             pairs, where = np.unique(np.stack([ids[borders - 1], ids[borders]], axis=1), axis=0, return_inverse=True)
-            both = self._contract_all([self.tokens[a] + self.tokens[b] for a, b in pairs.tolist()])
+            both = yield [self.tokens[a] + self.tokens[b] for a, b in pairs.tolist()]
             holds = np.array([data == pair.tobytes() for data, pair in zip(both, pairs)])
             windows: list[list[int]] = []
             for b in borders[~holds[where.ravel()]].tolist():
@@ -158,7 +163,7 @@ class Codec:
                     windows[-1][1] = high
                 else:
                     windows.append([low, high])
-            again = self._contract_all([b"".join(map(self.tokens.__getitem__, ids[low:high].tolist())) for low, high in windows])
+            again = yield [b"".join(map(self.tokens.__getitem__, ids[low:high].tolist())) for low, high in windows]
             parts, edges, done, size = [], [], 0, 0
             for (low, high), data in zip(windows, again):
                 new = np.frombuffer(data, dtype=np.int32)
@@ -174,9 +179,19 @@ class Codec:
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Token ids (int32) of each word, every word one match of the pattern."""
         raw = [w.encode() for w in words]
-        short = [r for r in raw if len(r) <= LONG]
-        found = iter(self._contract_all(short))
-        return [next(found) if len(r) <= LONG else self._contract_long(r) for r in raw]
+        short = iter(self._contract_all([r for r in raw if len(r) <= LONG]))
+        jobs = {i: self._contract_long(r) for i, r in enumerate(raw) if len(r) > LONG}
+        asked, done = {i: next(job) for i, job in jobs.items()}, {}
+        while asked:
+            wanted = list(dict.fromkeys(chain.from_iterable(asked.values())))
+            known = dict(zip(wanted, self._contract_all(wanted)))
+            for i, strings in list(asked.items()):
+                try:
+                    asked[i] = jobs[i].send([known[x] for x in strings])
+                except StopIteration as end:
+                    done[i] = end.value
+                    del asked[i]
+        return [done[i] if i in done else next(short) for i in range(len(raw))]
 
     def _learn(self, words: set[str]) -> set[str]:
         """Encode the words not yet held, and name them."""
