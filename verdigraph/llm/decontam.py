@@ -61,6 +61,7 @@ GRAM = 4
 RANGES = 64
 # Rows summed at once: few enough to stay in a core's cache.
 NEAR_BLOCKS, NEAR_TOKENS = 32, 1024
+SLICE = 1 << 20
 SCHEMA = "doc_id long, item_id long, cosine double, lcs_share double, answer boolean"
 TABLE = bytes((b + 32 if 65 <= b <= 90 else b) if b >= 0x80 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -264,7 +265,7 @@ def passage_counts(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[int,
 
     def run(batches):
         total, n = np.zeros(BUCKETS, dtype=np.int64), 0
-        for _, rows in slices(batches):
+        for _, rows in slices(batches, SLICE):
             b = Blocks(rows, vocabulary)
             n += len(b.pairs)
             # A block belongs to up to two passages; a bucket in both blocks of one passage counts once there.
@@ -324,7 +325,7 @@ def latent_basis(docs: DataFrame, items: list[Item], vocabulary: dict[bytes, int
 
     def run(batches):
         total = np.zeros((len(used), width), dtype=np.float32)
-        for _, rows in slices(batches):
+        for _, rows in slices(batches, SLICE):
             share(rows, total)
         yield {"part": np.arange(RANGES), "sums": [total[a:b].tobytes() for a, b in zip(edges, edges[1:])]}
 
@@ -413,7 +414,7 @@ def _leaks(docs: DataFrame, items: list[Item], rank: int) -> DataFrame:
     judge = fitted(docs, items, rank)
 
     def run(batches):
-        for ids, rows in slices(batches):
+        for ids, rows in slices(batches, SLICE):
             out = judge.value.find(rows)
             if out:
                 c, s, a = zip(*out.values())
@@ -463,7 +464,7 @@ def _sieve(judge, number: int, column: int):
         for batch in batches:
             ids = batch.column(number)
             rows = pa.RecordBatch.from_arrays([pa.array(range(len(ids))), batch.column(column).cast(pa.string()).fill_null("")], ["row", "text"])
-            leaking = {part[d] for part, some in slices([rows]) for d, _ in judge.value.find(some)}
+            leaking = {part[d] for part, some in slices([rows], SLICE) for d, _ in judge.value.find(some)}
             yield batch.filter(pa.array([i not in leaking or not ids[i].is_valid for i in range(len(ids))], pa.bool_()))
         give_back()
 

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigraph.llm.common import arrow_map, map_texts, mix, runs, slices, texts
+from verdigraph.llm.common import arrow_map, give_back, map_texts, mix, runs, slices, texts
 
 BUCKETS = 1 << 16
 DIM = 16
@@ -31,7 +31,7 @@ MAX_TRAIN = 3000
 EPOCHS = 4
 RATE = 8.0
 BASE = np.uint64(0x9E3779B97F4A7C15)
-PIECE = 1 << 20
+PIECE = 1 << 18
 REPEATED = 0
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
@@ -184,7 +184,9 @@ def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_train:
 
     @F.pandas_udf("double")
     def score(column):
-        return column.__class__(score_texts(column.tolist(), *model.value))
+        scores = column.__class__(score_texts(column.tolist(), *model.value))
+        give_back()
+        return scores
 
     return docs.where(score(F.coalesce(F.col("text").cast("string"), F.lit(""))) >= threshold)
 
