@@ -35,7 +35,7 @@ from verdigraph.llm.common import map_texts
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 STEPS = 64
-QUERY_BYTES = 400_000
+QUERY_BYTES, QUERY_ROWS = 400_000, 3_000_000
 LONG, PIECE, REACH = 128, 64, 4
 # Entries a worker keeps; what comes later, when the frequent words are in, is kept for its slice alone.
 KEPT_WORDS, KEPT_PIECES = 800_000, 500_000
@@ -133,12 +133,12 @@ class Codec:
         return [data[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def _contract_all(self, raw: list[bytes]) -> list[bytes]:
-        """``_contract`` of any number of byte strings, about ``QUERY_BYTES`` a query."""
+        """``_contract`` of any number of byte strings: a query holds the rows of all its rounds, about ``QUERY_ROWS``."""
         out: list[bytes] = []
         start = held = 0
         for i, r in enumerate(raw):
-            held += len(r)
-            if held >= QUERY_BYTES or i == len(raw) - 1:
+            held += len(r) * min(len(r), STEPS)
+            if held >= QUERY_ROWS or i == len(raw) - 1:
                 out += self._contract(raw[start : i + 1])
                 start, held = i + 1, 0
         return out
