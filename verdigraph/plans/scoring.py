@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from verdigraph.functions import scores
+from verdigraph.operators import groups as G
 from verdigraph.operators import losses as L
 from verdigraph.operators.runs import batches
 from verdigraph.plans.budgets import LENGTHS_SQL, lengths
@@ -129,6 +130,46 @@ def l7_masked(t):
     return L.contrastive_loss(sims(t), mask=True).withColumn("loss", F.round("loss", 7))
 
 
+UNEQUAL_TILE = 16
+# Groups of 1, 3, 5, ... members, many of several tiles.
+UNEQUAL_SQL = """WITH g AS (SELECT CAST(floor(sqrt(vec_id)) AS BIGINT) AS grp, * FROM embeddings),
+ v AS (SELECT grp, vec_id - grp * grp AS pos, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS a,
+  list_reverse(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS b FROM g),
+ s AS (SELECT l.grp, l.pos AS i, r.pos AS j, list_inner_product(l.a, r.b) / sqrt(list_inner_product(l.a, l.a) * list_inner_product(r.b, r.b)) / 0.5 AS sim
+  FROM v l JOIN v r ON l.grp = r.grp)"""
+
+
+def unequal(t):
+    grouped = t.embeddings.withColumn("group", F.floor(F.sqrt("vec_id")))
+    return G.to_tiles(
+        grouped.select("group", (F.col("vec_id") - F.col("group") * F.col("group")).alias("pos"), F.col("embedding").alias("view1"), F.reverse("embedding").alias("view2")),
+        UNEQUAL_TILE,
+    )
+
+
+@query("l6_unequal_groups", UNEQUAL_SQL + ' SELECT grp AS "group", i AS "row", j AS col, round(sim, 6) AS sim FROM s')
+def l6_unequal(t):
+    tiles = G.tile_cosine(G.tile_pairs(unequal(t)), 0.5)
+    return tiles.select("group", "row", "start", F.posexplode("sims").alias("_k", "sim")).select(
+        "group", "row", (F.col("start") + F.col("_k")).alias("col"), F.round("sim", 6).alias("sim")
+    )
+
+
+def _unequal_contrast_sql(where: str) -> str:
+    return f"""{UNEQUAL_SQL}, r AS (SELECT grp, i, ln(sum(exp(sim))) - max(CASE WHEN i = j THEN sim END) AS nll FROM s {where} GROUP BY grp, i)
+ SELECT round(avg(nll), 7) AS loss, count(*) AS n_rows FROM r"""
+
+
+@query("l7_unequal_groups", _unequal_contrast_sql(""))
+def l7_unequal(t):
+    return G.tiled_loss(unequal(t), 0.5).withColumn("loss", F.round("loss", 7))
+
+
+@query("l7_unequal_groups_masked", _unequal_contrast_sql("WHERE i = j OR i = 0 OR j = 0"))
+def l7_unequal_masked(t):
+    return G.tiled_loss(unequal(t), 0.5, mask=True).withColumn("loss", F.round("loss", 7))
+
+
 @query(
     "l8_check_eos",
     f"""SELECT min(n) AS fewest, max(n) AS most, min(n) = max(n) AS uniform FROM (SELECT CAST(len(list_filter(ids, lambda x: x = 2)) AS INTEGER) AS n
