@@ -104,9 +104,11 @@ def evaluate(corpus: DataFrame, log: DataFrame, configs: Sequence, by: str = "co
 
     ``corpus``: idx, target; ``log``: ``by``, idx, response. Every configuration is asked every row, so a row
     without a line in the log counts as invalid there, as does an answer that gives no verdict. Of several
-    lines for one row the least text stands.
+    lines for one row the least text stands. Tables in equal buckets of idx are not moved.
     """
-    asked = corpus.select("idx", "target", F.explode(F.array(*[F.lit(c) for c in configs])).alias(by))
-    said = log.groupBy(by, "idx").agg(F.min("response").alias("response"))
-    judged = asked.join(said, [by, "idx"], "left").withColumn("pred", simple_verdict(F.col("response")))
-    return metrics_frac(judged, [by])
+    # One aggregate a row of the corpus holds all configurations: both sides meet on idx alone, before rows multiply.
+    each = [F.min(F.when(F.col(by) == c, F.col("response"))).alias(f"_r{i}") for i, c in enumerate(configs)]
+    met = corpus.select("idx", "target").join(log.groupBy("idx").agg(*each), "idx", "left")
+    answers = [F.struct(F.lit(c).alias(by), F.col(f"_r{i}").alias("response")) for i, c in enumerate(configs)]
+    judged = met.select("target", F.explode(F.array(*answers)).alias("_a")).select("target", "_a.*")
+    return metrics_frac(judged.withColumn("pred", simple_verdict(F.col("response"))), [by])

@@ -2,12 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from verdigraph import sources as IO
 from verdigraph.operators import runs as R
-from verdigraph.operators.baseline import bayes, fit_baseline, score_baseline
+from verdigraph.operators.baseline import bayes, fit_baseline, logistic, score_baseline
 from verdigraph.operators.metrics import metrics_pct
 from verdigraph.plans import sqltext as S
 from verdigraph.plans.budgets import SPLIT_EXPR
-from verdigraph.plans.fixtures import CORPUS_SQL, RESPONSES_SQL, STEPS_SQL, corpus, responses, steps
+from verdigraph.plans.fixtures import CORPUS_SQL, RESPONSES_SQL, STEPS_SQL, corpus, in_buckets, responses, steps
 from verdigraph.plans.measuring import COUNTS_SQL, JUDGED_SQL
 from verdigraph.plans.registry import query
 from verdigraph.session import scratch_path
@@ -15,6 +16,16 @@ from verdigraph.streaming.failures import cut_stream
 from verdigraph.streaming.scoring import drain_to_table, score_stream
 
 
+@query(
+    "c1_bucketed",
+    f"SELECT c.idx, c.func, c.target FROM ({CORPUS_SQL}) c WHERE c.idx NOT IN (SELECT idx FROM ({RESPONSES_SQL}) r WHERE idx % 3 = 0)",
+)
+def c1_bucketed(t):
+    """Corpus and log lie in the same buckets, so resuming moves neither."""
+    log = IO.log_lines(responses(t).where(F.col("idx") % 3 == 0).select("config", "idx", "response"))
+    return R.pending(in_buckets(t, "corpus", corpus(t)), in_buckets(t, "log", log))
+
+
 @query(
     "c1_pending",
     f"SELECT c.idx, c.func, c.target FROM ({CORPUS_SQL}) c WHERE c.idx NOT IN (SELECT idx FROM ({RESPONSES_SQL}) r WHERE idx % 3 = 0)",
@@ -124,14 +135,55 @@ BAYES_SQL = f"""WITH toks AS (SELECT idx, target, {SPLIT_EXPR} AS split, {S.word
 
 @query("c7_baseline", BAYES_SQL)
 def c7(t):
+    return bayes(*_splits(t), ALPHAS).select("idx", "target", "pred", "alpha", "valid_bacc")
+
+
+PENALTIES, ROUNDS, RATE = (0.0, 0.01), 6, 4.0
+
+
+def _logistic_sql() -> str:
+    """The steps one after the other: margins of the texts, slopes of the words, weights."""
+    n = range(len(PENALTIES))
+    value = "CASE WHEN f.token = '' THEN 1.0::DOUBLE ELSE f.x END"
+    margins = ", ".join(f"coalesce(sum(w.w{i} * {value}), 0.0) AS m{i}" for i in n)
+    parts = [
+        f"lists AS (SELECT idx, target, {SPLIT_EXPR} AS split, list_distinct({S.words('func')}) AS l FROM ({CORPUS_SQL}) c)",
+        "feats AS MATERIALIZED (SELECT idx, target, split, 1.0::DOUBLE / sqrt(greatest(len(l), 1)) AS x, unnest(list_prepend('', l)) AS token FROM lists)",
+        "sizes AS (SELECT target, 0.5::DOUBLE / count(*) AS share FROM lists WHERE split = 'train' GROUP BY target)",
+    ]
+    for k in range(ROUNDS):
+        if k == 0:
+            held = "SELECT idx, " + ", ".join(f"0.0::DOUBLE AS m{i}" for i in n) + " FROM lists WHERE split = 'train'"
+        else:
+            held = f"SELECT f.idx, {margins} FROM feats f JOIN w{k} w ON w.token = f.token WHERE f.split = 'train' GROUP BY f.idx"
+        slopes = ", ".join(f"sum((1.0::DOUBLE / (exp(-h.m{i}) + 1) - f.target) * s.share * ({value})) AS g{i}" for i in n)
+        parts.append(f"g{k} AS MATERIALIZED (SELECT f.token, {slopes} FROM feats f JOIN ({held}) h ON h.idx = f.idx JOIN sizes s ON s.target = f.target GROUP BY f.token)")
+        old = [f"w.w{i} * {1.0 - RATE * p}::DOUBLE" if k else "0.0::DOUBLE" for i, p in enumerate(PENALTIES)]
+        stepped = ", ".join(f"{old[i]} - g.g{i} * {RATE}::DOUBLE AS w{i}" for i in n)
+        parts.append(f"w{k + 1} AS MATERIALIZED (SELECT g.token, {stepped} FROM g{k} g{f' JOIN w{k} w ON w.token = g.token' if k else ''})")
+    scored = "SELECT f.idx, any_value(f.target) AS target, round(coalesce(sum(w.w{0} * ({1})), 0.0), 6) AS score FROM feats f LEFT JOIN w{2} w ON w.token = f.token WHERE f.split = '{3}' GROUP BY f.idx"
+    tried = [f"SELECT {i} AS i, {p}::DOUBLE AS penalty, b.bacc FROM ({_bacc_sql(scored.format(i, value, ROUNDS, 'valid'))}) b" for i, p in enumerate(PENALTIES)]
+    tested = [f"SELECT {p}::DOUBLE AS penalty, x.* FROM ({scored.format(i, value, ROUNDS, 'test')}) x" for i, p in enumerate(PENALTIES)]
+    parts += [
+        f"tried AS ({' UNION ALL '.join(tried)})", "best AS (SELECT penalty, bacc FROM tried ORDER BY bacc DESC, i LIMIT 1)",
+        f"tested AS ({' UNION ALL '.join(tested)})",
+    ]
+    return f"WITH {', '.join(parts)} SELECT idx, target, score, CASE WHEN score > 0 THEN 1 ELSE 0 END AS pred, penalty, bacc AS valid_bacc FROM tested JOIN best USING (penalty)"
+
+
+def _splits(t):
     rows = corpus(t).withColumn("split", F.expr(SPLIT_EXPR))
-    parts = [rows.where(F.col("split") == s) for s in ("train", "valid", "test")]
-    return bayes(*parts, ALPHAS).select("idx", "target", "pred", "alpha", "valid_bacc")
+    return [rows.where(F.col("split") == s) for s in ("train", "valid", "test")]
 
 
-@query("c7_logistic")
+@query("c7_logistic", _logistic_sql())
 def c7_logistic(t):
-    rows = corpus(t).withColumn("split", F.expr(SPLIT_EXPR))
-    fitted = fit_baseline(rows.where("split = 'train'"), rows.where("split = 'valid'"))
-    tested = score_baseline(fitted, rows.where("split = 'test'"))
-    return metrics_pct(tested).withColumns({"reg": F.lit(fitted.reg), "valid_bacc": F.lit(fitted.valid_bacc)})
+    return logistic(*_splits(t), PENALTIES, ROUNDS, RATE).select("idx", "target", "score", "pred", "penalty", "valid_bacc")
+
+
+@query("c7_hashed")
+def c7_hashed(t):
+    """Hashed words and a numeric solver, whose steps SQL cannot follow."""
+    train, valid, test = _splits(t)
+    fitted = fit_baseline(train, valid)
+    return metrics_pct(score_baseline(fitted, test)).withColumns({"reg": F.lit(fitted.reg), "valid_bacc": F.lit(fitted.valid_bacc)})

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from verdigraph.operators.scale import rank_rows
 from verdigraph.plans.registry import Tables
+from verdigraph.session import scratch_path
+from verdigraph.sources import write_buckets
 
 CORPUS_SQL = "SELECT d.doc_id AS idx, d.text AS func, l.toxic AS target FROM documents d JOIN labels l ON d.doc_id = l.doc_id"
 
@@ -82,6 +84,12 @@ def responses(t: Tables) -> DataFrame:
     return each.select("config", "idx", "target", F.expr(RESPONSE_EXPR).alias("response"))
 
 
+def in_buckets(t: Tables, name: str, df: DataFrame) -> DataFrame:
+    """The rows as a bucketed table of their own."""
+    path = scratch_path(t.spark, name)
+    return write_buckets(df, path, path.rsplit("/", 1)[1].replace("-", "_"), 8)
+
+
 # Free-text answers ending in a whole document.
 ANSWER_EXPR = """CASE doc_id % 14
  WHEN 0 THEN concat('Yes, the function is vulnerable.</s>', text)

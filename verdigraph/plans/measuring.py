@@ -6,8 +6,9 @@ from verdigraph.functions.answers import simple_verdict
 from verdigraph.functions.scores import verdict
 from verdigraph.operators import history as H
 from verdigraph.operators import metrics as M
-from verdigraph.plans.fixtures import CORPUS_SQL, HISTORY_SQL, RESPONSES_SQL, SCORED_SQL, STEPS_SQL, corpus, history, responses, scored, steps
+from verdigraph.plans.fixtures import CORPUS_SQL, HISTORY_SQL, RESPONSES_SQL, SCORED_SQL, STEPS_SQL, corpus, history, in_buckets, responses, scored, steps
 from verdigraph.plans.registry import query
+from verdigraph.sources import log_lines
 
 SIMPLE_SQL = """CASE WHEN contains(lower(response), 'yes') OR contains(lower(response), 'is vulnerable') OR contains(lower(response), 'true') THEN 1
  WHEN contains(lower(response), 'no') OR contains(lower(response), 'is not vulnerable') OR contains(lower(response), 'false') THEN 0 END"""
@@ -102,20 +103,30 @@ ASKED_SQL = f"""SELECT a.config, a.idx, a.target, {SIMPLE_SQL} AS pred FROM (SEL
  LEFT JOIN (SELECT config, idx, response FROM ({RESPONSES_SQL}) r WHERE (idx + config) % 7 <> 0) l ON l.config = a.config AND l.idx = a.idx"""
 
 
-@query(
-    "r8_evaluate",
-    rounded_sql(
-        fractions_sql(
-            f"SELECT config, {COUNTS_SQL}, count(CASE WHEN pred IS NULL THEN 1 END) AS n_invalid, count(*) AS n_total FROM ({ASKED_SQL}) j GROUP BY config",
-            "config, n_invalid, n_total",
-        ),
-        "config, tn, fp, fn, tp, n_invalid, n_total, CAST(n_invalid AS DOUBLE) / n_total AS invalid_ratio",
+R8_SQL = rounded_sql(
+    fractions_sql(
+        f"SELECT config, {COUNTS_SQL}, count(CASE WHEN pred IS NULL THEN 1 END) AS n_invalid, count(*) AS n_total FROM ({ASKED_SQL}) j GROUP BY config",
+        "config, n_invalid, n_total",
     ),
+    "config, tn, fp, fn, tp, n_invalid, n_total, CAST(n_invalid AS DOUBLE) / n_total AS invalid_ratio",
 )
+
+
+@query("r8_evaluate", R8_SQL)
 def r8(t):
     """Some rows have no line in the log at all."""
-    log = responses(t).where((F.col("idx") + F.col("config")) % 7 != 0).select("config", "idx", "response")
-    return rounded(M.evaluate(corpus(t), log, range(3)))
+    return rounded(M.evaluate(corpus(t), partial_log(t), range(3)))
+
+
+def partial_log(t):
+    return responses(t).where((F.col("idx") + F.col("config")) % 7 != 0).select("config", "idx", "response")
+
+
+@query("r8_bucketed", R8_SQL)
+def r8_bucketed(t):
+    """Corpus and log written in the same buckets: only counts move."""
+    rows = in_buckets(t, "corpus", corpus(t).select("idx", "target"))
+    return rounded(M.evaluate(rows, in_buckets(t, "log", log_lines(partial_log(t))), range(3)))
 
 
 def _cumulative(name: str, cond: str) -> str:

@@ -7,6 +7,7 @@ from verdigraph.functions.text import SPACE
 from verdigraph.operators import code as C
 from verdigraph.operators import flow as G
 from verdigraph.operators.corpus import subtoken_spans
+from verdigraph.operators.intervals import overlaps
 from verdigraph.plans import sqltext as S
 from verdigraph.plans.fixtures import CODE_SQL, code_corpus, text_list
 from verdigraph.plans.registry import query
@@ -355,6 +356,47 @@ def g13(t):
     return G.attention_links(placed)
 
 
+# The same links where the sequence has holes: two places are skipped after every third token, and every fifth place is masked.
+@query(
+    "g13_span_links",
+    f"""WITH RECURSIVE {TOKS}, {EDGES}, {PRUNED}, {NODES},
+ spans AS (SELECT idx, pos, CAST(e - (length(text) + 3) // 4 + 2 * (pos // 3) AS BIGINT) AS s, CAST(e + 2 * (pos // 3) AS BIGINT) AS e FROM (SELECT idx, pos, text, 1 + sum((length(text) + 3) // 4) OVER (PARTITION BY idx ORDER BY pos) AS e FROM toks) x),
+ places AS (SELECT idx, u.c FROM spans, unnest(range(s, e)) AS u(c) WHERE u.c % 5 <> 0),
+ sizes AS (SELECT idx, max(e) + 1 AS ni, max(e) + 1 + 12 AS total FROM spans GROUP BY idx),
+ laid AS (SELECT n.idx, n.node, n.dn, s.s, s.e, z.ni, z.total FROM nodes n JOIN spans s ON s.idx = n.idx AND s.pos = n.pos JOIN sizes z ON z.idx = n.idx),
+ hit AS (SELECT l.idx, l.node + l.ni AS node, p.c FROM laid l JOIN places p ON p.idx = l.idx AND p.c >= l.s AND p.c < l.e WHERE l.s < l.ni AND l.e < l.ni)
+ SELECT DISTINCT idx, CAST("row" AS BIGINT) AS "row", CAST(col AS BIGINT) AS col FROM (SELECT idx, node AS "row", c AS col FROM hit UNION ALL SELECT idx, c, node FROM hit
+  UNION ALL SELECT idx, node + ni, u.d + ni FROM laid, unnest(dn) AS u(d) WHERE u.d + ni < total) l""",
+)
+def g13_spans(t):
+    sized = toks(t).select("idx", "pos", F.floor((F.length("text") + 3) / 4).alias("n"))
+    gap = 2 * F.floor(F.col("pos") / 3)
+    spans = subtoken_spans(sized).select("idx", "pos", (F.col("start") + gap).alias("start"), (F.col("end") + gap).alias("end"))
+    places = spans.select("idx", F.explode(F.sequence("start", F.col("end") - 1)).alias("col")).where(F.col("col") % 5 != 0)
+    return G.span_links(G.place_nodes(nodes(t), spans, 12), places)
+
+
+# Spans of 1 to 1,000 days that are neither dense nor ordered: a line ships on a day and lasts by its quantity.
+LASTS_EXPR = "CAST(l_quantity AS BIGINT) * CASE WHEN l_linenumber % 3 = 0 THEN 20 ELSE 1 END"
+
+
+@query(
+    "g13_overlaps",
+    f"""WITH lines AS (SELECT l_partkey AS part, l_linenumber AS n, CAST(l_shipdate AS DATE) - DATE '1995-01-01' AS s, {LASTS_EXPR} AS days FROM lineitem),
+ pairs AS (SELECT a.part, least(a.s + a.days, b.s + b.days) - greatest(a.s, b.s) AS days FROM lines a JOIN lines b ON b.part = a.part AND a.s < b.s + b.days AND b.s < a.s + a.days
+  WHERE a.n % 2 = 0 AND b.n % 2 = 1)
+ SELECT part, count(*) AS n_pairs, CAST(sum(days) AS BIGINT) AS days FROM pairs GROUP BY part""",
+)
+def g13_overlaps(t):
+    """How long lines of a part with an even number and with an odd one overlap, as an interval join."""
+    day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1995-01-01").cast("date")).cast("bigint")
+    lines = t.lineitem.select(F.col("l_partkey").alias("part"), "l_linenumber", day.alias("start"), (day + F.expr(LASTS_EXPR)).alias("end"))
+    even, odd = [lines.where(F.col("l_linenumber") % 2 == k).select("part", "start", "end") for k in (0, 1)]
+    met = overlaps(even, odd, ["part"])
+    days = F.least("left.end", "right.end") - F.greatest("left.start", "right.start")
+    return met.groupBy("part").agg(F.count(F.lit(1)).alias("n_pairs"), F.sum(days).alias("days"))
+
+
 # Definitions at the end of both arms of every branch, and before it where there is no else.
 @query(
     "g8_branch_states",

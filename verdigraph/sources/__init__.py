@@ -4,10 +4,13 @@ from verdigraph.sources.readers import lines_in_order, read_corpus, read_respons
 from verdigraph.sources.writers import (
     append_responses,
     commit_runs,
+    log_lines,
+    open_buckets,
     read_log,
     read_runs,
     split_generations,
     stage_runs,
+    write_buckets,
     write_generations,
     write_history,
     write_metrics,
@@ -16,6 +19,6 @@ from verdigraph.sources.writers import (
 )
 
 __all__ = [
-    "append_responses", "commit_runs", "lines_in_order", "read_corpus", "read_log", "read_responses", "read_runs", "read_shots", "split_generations",
-    "stage_runs", "write_generations", "write_history", "write_metrics", "write_predictions", "write_runs",
+    "append_responses", "commit_runs", "lines_in_order", "log_lines", "open_buckets", "read_corpus", "read_log", "read_responses", "read_runs", "read_shots", "split_generations",
+    "stage_runs", "write_buckets", "write_generations", "write_history", "write_metrics", "write_predictions", "write_runs",
 ]

@@ -111,3 +111,28 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 def write_history(wide: DataFrame, path: str, ids: tuple[str, ...] = ("run", "epoch", "step")) -> None:
     """Long scalar history by run; a repeated run replaces its rows."""
     write_runs(to_history(wide, ids), path, (ids[0],))
+
+
+def log_lines(log: DataFrame, by: str = "config") -> DataFrame:
+    """One line a configuration and row, the least text: answers repeated without end are folded before they move."""
+    return log.groupBy(by, "idx").agg(F.min("response").alias("response"))
+
+
+def write_buckets(df: DataFrame, path: str, name: str, buckets: int, key: str = "idx") -> DataFrame:
+    """Write the rows in buckets of ``key``, one sorted file each, as table ``name``, and read it.
+
+    Tables with as many buckets join and group by the key without moving again: corpus and answer log are dealt
+    once, and every resume and evaluation reads them in place. A key's rows share a bucket, so the key should not
+    repeat without end; :func:`log_lines` sees to that for a log.
+    """
+    dealt = df.repartition(buckets, key)
+    dealt.write.bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def open_buckets(spark: SparkSession, path: str, name: str, schema: str, buckets: int, key: str = "idx") -> DataFrame:
+    """A bucketed folder that an earlier session wrote, under a name of this one."""
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS `{name}` ({schema}) USING parquet CLUSTERED BY (`{key}`) SORTED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{path}'"
+    )
+    return spark.table(name)
