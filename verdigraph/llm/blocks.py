@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigraph.llm.common import SLICE_BYTES, arrow_map, give_back, mix, pack, runs, slices, stored, texts, unpack
+from verdigraph.llm.common import SLICE_BYTES, arrow_map, give_back, let_go, mix, pack, runs, slices, stored, texts, unpack
 
 BATCH_BYTES = 2 << 20
 BLOCK_BYTES = 16 << 20
@@ -68,6 +68,7 @@ def grouped(df: DataFrame, key: str, fn: Callable[[pa.Table], dict], schema: str
     fields = [f.strip().split(" ") for f in schema.split(",")]
 
     def run(table: pa.Table) -> pa.Table:
+        let_go()
         out = fn(table)
         if table.nbytes >= SLICE_BYTES:
             give_back()

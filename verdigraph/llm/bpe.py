@@ -21,7 +21,6 @@ Cases: null and empty texts have no tokens; a repeated row gives a repeated resu
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 import re
 from collections.abc import Generator
@@ -31,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from verdigraph.llm.common import map_texts
+from verdigraph.llm.common import hold, map_texts
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 STEPS = 64
@@ -276,9 +275,8 @@ class Codec:
         return " ".join(map(self.names.__getitem__, ids.tolist()))
 
 
-@functools.lru_cache(maxsize=1)
 def codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
+    return hold(Codec, path, pattern)
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -290,7 +288,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         decoded = [hashlib.sha256(d).hexdigest() for d in coder.decode(encoded)]
         return {"doc_id": ids, "n_tokens": [len(e) for e in encoded], "ids": encoded, "decoded_sha256": decoded}
 
-    return map_texts(docs, run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")
+    return map_texts(docs, run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string", holds=True)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -309,4 +307,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             "decoded_sha256": [sha(d) for d in coder.decode(encoded)],
         }
 
-    return map_texts(docs, run, SCHEMA)
+    return map_texts(docs, run, SCHEMA, holds=True)

@@ -9,6 +9,7 @@ that judge rows one by one and left out by those that order or link documents; r
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
@@ -23,6 +24,7 @@ from verdigraph.session import scratch_path
 SLICE_BYTES = 4 << 20
 ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
 HEX = "0123456789abcdef"
+_HELD: dict[tuple, object] = {}
 _OPEN: ContextVar[list[str] | None] = ContextVar("scratch tables of the open scope", default=None)
 
 
@@ -45,12 +47,14 @@ def slices(batches: Iterable[pa.RecordBatch], max_bytes: int = SLICE_BYTES) -> I
             yield ids[start:], rows[start:]
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str, columns: list[str] | None = None) -> DataFrame:
-    """``mapInArrow`` for a function that yields dicts of equally long columns in the order of ``schema``."""
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str, columns: list[str] | None = None, holds: bool = False) -> DataFrame:
+    """``mapInArrow`` for a function that yields dicts of equally long columns in the order of ``schema``; ``holds`` if it uses :func:`hold`."""
     fields = [f.strip().split(" ") for f in schema.split(",")]
     kinds = {name: kind for name, kind in fields}
 
     def run(batches):
+        if not holds:
+            let_go()
         arrow = pa.schema([(name, ARROW[kind]) for name, kind in kinds.items()])
         for out in fn(batches):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type, from_pandas=False) for f in arrow], schema=arrow)
@@ -59,14 +63,14 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[d
     return (df.select(*columns) if columns else df).mapInArrow(run, schema)
 
 
-def map_texts(docs: DataFrame, fn: Callable[[list, list[str]], dict], schema: str, drop_null_ids: bool = False, max_bytes: int = SLICE_BYTES) -> DataFrame:
+def map_texts(docs: DataFrame, fn: Callable[[list, list[str]], dict], schema: str, drop_null_ids: bool = False, max_bytes: int = SLICE_BYTES, holds: bool = False) -> DataFrame:
     """Apply ``fn(ids, texts)`` to slices of the documents."""
 
     def run(batches):
         for ids, rows in slices(batches, max_bytes):
             yield fn(ids, rows)
 
-    return arrow_map(texts(docs, drop_null_ids), run, schema)
+    return arrow_map(texts(docs, drop_null_ids), run, schema, holds=holds)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -105,6 +109,23 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def hold(make: Callable, *args):
+    """``make(*args)``, which a Python worker keeps from task to task until a task of other work comes to it."""
+    name = (make, *args)
+    if name not in _HELD:
+        let_go()
+        _HELD[name] = make(*args)
+    return _HELD[name]
+
+
+def let_go() -> None:
+    """Other work begins: what the worker holds for the work before goes, as a worker outlives its stage."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+        give_back()
+
+
 def give_back() -> None:
     """Hand memory that is no longer used to the system: a Python worker lives on from stage to stage, and keeps it otherwise."""
     pa.default_memory_pool().release_unused()

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigraph.llm.blocks import grouped
-from verdigraph.llm.common import arrow_map, give_back, slices, texts
+from verdigraph.llm.common import arrow_map, give_back, let_go, slices, texts
 
 BLOCK = 48
 BUCKETS = 8192
@@ -461,6 +461,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Da
 
 def _sieve(judge, number: int, column: int):
     def run(batches):
+        let_go()
         for batch in batches:
             ids = batch.column(number)
             rows = pa.RecordBatch.from_arrays([pa.array(range(len(ids))), batch.column(column).cast(pa.string()).fill_null("")], ["row", "text"])

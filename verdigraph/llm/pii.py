@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigraph.llm.common import give_back, hashed_sample, map_texts, texts
+from verdigraph.llm.common import give_back, hashed_sample, let_go, map_texts, texts
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -314,6 +314,7 @@ def redact(docs: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
 
     @F.pandas_udf("string")
     def cover(column):
+        let_go()
         covered = column.map(lambda t: None if t is None else masked(t, all_spans(t, field)[1]))
         give_back()
         return covered

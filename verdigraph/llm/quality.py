@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigraph.llm.common import arrow_map, give_back, map_texts, mix, runs, slices, texts
+from verdigraph.llm.common import arrow_map, give_back, let_go, map_texts, mix, runs, slices, texts
 
 BUCKETS = 1 << 16
 DIM = 16
@@ -184,6 +184,7 @@ def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_train:
 
     @F.pandas_udf("double")
     def score(column):
+        let_go()
         scores = column.__class__(score_texts(column.tolist(), *model.value))
         give_back()
         return scores

@@ -16,7 +16,6 @@ doc_id each have their place, in the order of their ids; an empty table gives no
 
 from __future__ import annotations
 
-import functools
 import re
 import struct
 import zlib
@@ -25,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from verdigraph.llm.common import arrow_map, map_texts
+from verdigraph.llm.common import arrow_map, hold, map_texts
 from verdigraph.session import scratch_path
 
 MAGIC = b"VGTF"
@@ -187,9 +186,8 @@ class WordEncoder:
         return out
 
 
-@functools.lru_cache(maxsize=1)
 def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    return hold(WordEncoder, path)
 
 
 def encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
@@ -200,7 +198,7 @@ def encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         end = coder._raw([end_id])
         return {"doc_id": ids, "ids": [x + end for x in coder.encode(rows)]}
 
-    return map_texts(docs, run, "doc_id long, ids binary", drop_null_ids=True)
+    return map_texts(docs, run, "doc_id long, ids binary", drop_null_ids=True, holds=True)
 
 
 def quantile_cuts(docs: DataFrame, rows_per_bucket: int = DOCS_PER_BUCKET) -> list[int]:
@@ -228,27 +226,27 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, w
         return {"doc_id": ids, "ids": [x + end for x in coder.encode(rows)], "bucket": np.searchsorted(found, np.array(ids, dtype=np.int64), side="right").astype(np.int32)}
 
     placed = (
-        map_texts(docs, encoded, "doc_id long, ids binary, bucket int", drop_null_ids=True, max_bytes=ENCODE_BYTES)
+        map_texts(docs, encoded, "doc_id long, ids binary, bucket int", drop_null_ids=True, max_bytes=ENCODE_BYTES, holds=True)
         .repartition(len(cuts) + 1, "bucket")
         .sortWithinPartitions("bucket", "doc_id", "ids")
     )
 
     def packed(batches):
-        held, ids, parts, bucket, seq = 0, [], [], None, 0
+        size, ids, parts, bucket, seq = 0, [], [], None, 0
 
         def shard():
             return {"bucket": [bucket], "seq": [seq], "blob": [Shard.dump(ids, parts, width)]}
 
         for batch in batches:
             for b, d, data in zip(*[batch.column(i).to_pylist() for i in range(3)]):
-                if ids and (b != bucket or held + len(data) > SHARD_IDS * width):
+                if ids and (b != bucket or size + len(data) > SHARD_IDS * width):
                     yield shard()
                     seq = seq + 1 if b == bucket else 0
-                    held, ids, parts = 0, [], []
+                    size, ids, parts = 0, [], []
                 bucket = b
                 ids.append(d)
                 parts.append(data)
-                held += len(data)
+                size += len(data)
         if ids:
             yield shard()
 
