@@ -37,7 +37,7 @@ STEPS = 64
 QUERY_BYTES, QUERY_ROWS = 400_000, 3_000_000
 LONG, PIECE, REACH = 128, 64, 4
 # Entries a worker keeps; what comes later, when the frequent words are in, is kept for its slice alone.
-KEPT_WORDS, KEPT_PIECES = 800_000, 500_000
+KEPT_WORDS, KEPT_PIECES = 400_000, 300_000
 DECODE_TOKENS = 500_000
 SPACE = re.compile(r"\s")
 
