@@ -58,6 +58,23 @@ def test_equals_the_fixed_size_form(spark):
     assert tiled["n_rows"] == fixed["n_rows"] and tiled["loss"] == pytest.approx(fixed["loss"])
 
 
+@pytest.mark.parametrize("mask", [False, True])
+def test_fixed_groups_may_lack_members(spark, mask):
+    rows = [r for r in members({"whole": 4, "end": 2, "gap": 4, "headless": 3}) if r[:2] not in {("gap", 1), ("headless", 0)}]
+    sims = L.group_cosine(L.to_groups(spark.createDataFrame(rows, SCHEMA), 4, short=True), 0.5)
+    assert {(r["group"], r["row"], tuple(r["slots"])) for r in sims.collect() if r["group"] == "gap"} == {("gap", i, (0, 2, 3)) for i in (0, 2, 3)}
+    loss, n = L.contrastive_loss(sims, mask).first()
+    want, count = plain_loss(rows, 0.5, mask)
+    assert n == count == 11 and loss == pytest.approx(want)
+
+
+@pytest.mark.parametrize("positions", [[0, 0], [0, 4], [-1, 0], [None, 0]])
+def test_short_groups_repeat_no_position(spark, positions):
+    df = spark.createDataFrame([("a", p, [1.0], [2.0]) for p in positions], SCHEMA)
+    with pytest.raises(Exception, match="at most once"):
+        L.group_cosine(L.to_groups(df, 4, short=True)).collect()
+
+
 @pytest.mark.parametrize("positions", [[0, 2], [1, 2], [0, 0, 1], [-1, 0, 1], [0, 1, None], [0, 1, 2, 3, 3, 5], [0, 1, 2, 3, 8]])
 def test_wrong_positions_are_an_error(spark, positions):
     df = spark.createDataFrame([("a", p, [1.0], [2.0]) for p in positions], SCHEMA)

@@ -49,29 +49,40 @@ def batch_mean_loss(df: DataFrame, loss: str = "loss", batch: str = "batch", by:
     return per_batch.groupBy(*by).agg(F.avg("_mean").alias("loss"), F.count(F.lit(1)).alias("n_batches"))
 
 
-def to_groups(df: DataFrame, group_size: int, group: str = "group", pos: str = "pos", first: str = "view1", second: str = "view2") -> DataFrame:
+def to_groups(
+    df: DataFrame, group_size: int, group: str = "group", pos: str = "pos", first: str = "view1", second: str = "view2", short: bool = False
+) -> DataFrame:
     """One row per group of exactly ``group_size`` members: arrays of both views by position.
 
     Every member fills the slot of its position, so a group row never outgrows ``group_size``.
-    A position outside the group, or a missing or repeated one, is an error.
+    A position outside the group, or a missing or repeated one, is an error. With ``short`` positions may be
+    missing: the arrays hold the members there are, and ``slots`` their positions.
     """
     slot = F.col(pos)
 
     def filled(name: str) -> Column:
         return F.array(*[F.max_by(F.when(slot == i, F.col(name)), (slot == i)) for i in range(group_size)])
 
+    def present(name: str) -> Column:
+        return F.transform("slots", lambda i: F.get(name, i))
+
     complete = (F.count(F.lit(1)) == group_size) & (F.count_if((slot >= 0) & (slot < group_size)) == group_size)
+    if short:
+        complete = F.count(F.lit(1)) == F.count_if((slot >= 0) & (slot < group_size))
     for i in range(group_size):
-        complete = complete & (F.count_if(slot == i) == 1)
-    wrong = F.raise_error(F.lit(f"a group needs each position below {group_size} once"))
+        complete = complete & (F.count_if(slot == i) <= 1 if short else F.count_if(slot == i) == 1)
+    held = F.array_compact(F.array(*[F.when(F.count_if(slot == i) > 0, i) for i in range(group_size)]))
+    wrong = F.raise_error(F.lit(f"a group needs each position below {group_size} {'at most ' if short else ''}once"))
     grouped = df.groupBy(group).agg(
-        filled(first).alias("firsts"), filled(second).alias("seconds"), complete.alias("_complete")
+        filled(first).alias("firsts"), filled(second).alias("seconds"), complete.alias("_complete"), *([held.alias("slots")] if short else [])
     )
+    if short:
+        grouped = grouped.withColumns({name: present(name) for name in ("firsts", "seconds")})
     return grouped.withColumn("firsts", F.when(F.col("_complete"), F.col("firsts")).otherwise(wrong)).drop("_complete")
 
 
 def group_cosine(groups: DataFrame, temperature: float = 1.0) -> DataFrame:
-    """Each member's cosine with every member's second view, as one array of the group's fixed size."""
+    """Each member's cosine with every member's second view, as one array by position, or by ``slots`` where groups have them."""
     rows = groups.select("*", F.posexplode("firsts").alias("row", "_view"))
 
     def scaled(other: Column) -> Column:
@@ -79,22 +90,30 @@ def group_cosine(groups: DataFrame, temperature: float = 1.0) -> DataFrame:
         norms = F.greatest(F.sqrt(dot(mine, mine) * dot(other, other)), F.lit(NORM_FLOOR))
         return dot(mine, other) / norms / F.lit(float(temperature))
 
-    return rows.select("group", "row", F.transform("seconds", scaled).alias("sims"))
+    if "slots" not in groups.columns:
+        return rows.select("group", "row", F.transform("seconds", scaled).alias("sims"))
+    return rows.select("group", F.get("slots", F.col("row")).alias("row"), "slots", F.transform("seconds", scaled).alias("sims"))
 
 
 def contrastive_loss(sims: DataFrame, mask: bool = False) -> DataFrame:
     """Mean cross-entropy of each member against its own position in its row of similarities.
 
-    The masked form keeps only the diagonal, the first row and the first column.
+    The masked form keeps only the diagonal, the first row and the first column. ``slots`` gives the positions of the
+    similarities where a group lacks some.
     """
     row = F.col("row")
     seen = F.col("sims")
+    short = "slots" in sims.columns
     if mask:
-        seen = F.transform(
-            seen, lambda s, j: F.when((row == j) | (row == 0) | (j == 0), s).otherwise(F.lit(HIDDEN))
-        )
+
+        def shown(s: Column, k: Column) -> Column:
+            j = F.get("slots", k) if short else k
+            return F.when((row == j) | (row == 0) | (j == 0), s).otherwise(F.lit(HIDDEN))
+
+        seen = F.transform(seen, shown)
     kept = sims.withColumn("_seen", seen)
-    return kept.agg(F.avg(class_nll(F.col("_seen"), row)).alias("loss"), F.count(F.lit(1)).alias("n_rows"))
+    own = F.array_position("slots", row) - 1 if short else row
+    return kept.agg(F.avg(class_nll(F.col("_seen"), own)).alias("loss"), F.count(F.lit(1)).alias("n_rows"))
 
 
 def check_eos(df: DataFrame, eos: int, ids: str = "input_ids", strict: bool = False) -> DataFrame:

@@ -107,12 +107,13 @@ def sims(t):
         F.floor(F.col("vec_id") / GROUP).alias("group"), (F.col("vec_id") % GROUP).cast("int").alias("pos"),
         F.col("embedding").alias("view1"), F.reverse("embedding").alias("view2"),
     )
-    return L.group_cosine(L.to_groups(rows, GROUP), temperature=0.5)
+    return L.group_cosine(L.to_groups(rows, GROUP, short=True), temperature=0.5)
 
 
 @query("l6_group_cosine", SIMS_SQL + ' SELECT grp AS "group", CAST(i AS INTEGER) AS "row", CAST(j AS INTEGER) AS col, round(sim, 6) AS sim FROM s')
 def l6(t):
-    return sims(t).select("group", "row", F.posexplode("sims").alias("col", "sim")).withColumn("sim", F.round("sim", 6))
+    each = sims(t).select("group", "row", F.explode(F.arrays_zip(F.col("slots").alias("col"), F.col("sims").alias("sim"))).alias("_s"))
+    return each.select("group", "row", "_s.col", F.round("_s.sim", 6).alias("sim"))
 
 
 def _contrast_sql(where: str) -> str:
