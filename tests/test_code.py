@@ -259,3 +259,19 @@ def test_sentences_and_links_take_one_exchange(spark):
         # The distinct links are dealt by all their columns only if their function's place does not do.
         assert plan.count("Exchange hashpartitioning") == 1
         assert "Join" not in plan and plan.count("Scan") == 1
+
+
+def test_tokens_are_dealt_by_the_size_of_their_text(spark):
+    rows = corpus(spark, *["{ a = b; /* " + "x" * 40000 + " */ }"] * 40)
+    assert C.tokens(rows).rdd.getNumPartitions() == 4
+
+
+def test_sentences_need_no_spans(spark):
+    rows = corpus(spark, "{ a = b; c = a + a; }", "int f(int n) { if (n) n = g(n); return n; }")
+    told = [
+        sorted(map(tuple, G.flow_sentences(G.align_deps(G.reindex_edges(G.prune_edges(G.function_flow(rows, placed=p))))).collect())) for p in (True, False)
+    ]
+    assert len(told[0]) == 2 and told[0] == told[1]
+    plain = G.function_flow(rows, placed=False)
+    assert plain.columns == G.function_flow(rows).columns[:-3]
+    assert "Window" not in plain._jdf.queryExecution().executedPlan().toString()

@@ -99,3 +99,12 @@ def test_rank_keeps_other_columns_and_null_keys(spark):
     df = spark.createDataFrame([(None, 2, "b"), (None, 1, "a"), (5, 1, None)], "k bigint, o bigint, t string")
     got = sorted((r["t"] or "", r["pos"]) for r in S.rank_rows(df, ["o"], ["k"]).collect())
     assert got == [("", 0), ("a", 0), ("b", 1)]
+
+
+def test_partitions_follow_the_text_and_stay(spark):
+    rows = spark.createDataFrame([(i % 50 or None, "x" * 100) for i in range(400)] + [(7, None)], "idx bigint, func string")
+    dealt = S.spread(rows, "idx", "func", part_bytes=1000)
+    parts = dealt.select("idx", F.spark_partition_id().alias("p"))
+    assert dealt.rdd.getNumPartitions() == 40 and dealt.count() == 401
+    assert parts.groupBy("idx").agg(F.count_distinct("p").alias("n")).agg(F.max("n")).first()[0] == 1
+    assert S.spread(rows.limit(0), "idx", "func").count() == 0

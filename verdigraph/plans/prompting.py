@@ -233,7 +233,7 @@ def q12(t):
     """Source to prompt: call and flow sentences, both prompt types, chat layout and budget, for the whole sweep."""
     rows = code_corpus(t)
     calls = C.call_sentence(C.call_sites(rows)).withColumn("kind", F.lit("api_call"))
-    edges = G.align_deps(G.reindex_edges(G.prune_edges(G.function_flow(rows))))
+    edges = G.align_deps(G.reindex_edges(G.prune_edges(G.function_flow(rows, placed=False))))
     flow = G.flow_sentences(edges).withColumn("kind", F.lit("data_flow"))
     asked = P.few_shot(rows, shots(t), N, seed=SEED).withColumnRenamed("user", "_few")
     told = P.attach_contexts(asked, calls.unionByName(flow))
