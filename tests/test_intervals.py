@@ -74,3 +74,13 @@ def test_links_over_all_places_equal_those_without_holes(spark):
     held = places.where("col % 3 <> 0")
     left = {x for x in whole if all(p >= 42 or p % 3 for p in x[1:])}
     assert {tuple(x) for x in G.span_links(nodes, held.union(held)).collect()} == left and left != whole
+
+
+def test_links_do_not_plan_their_nodes_again(spark):
+    edges = G.reindex_edges(G.prune_edges(G.function_flow(spark.createDataFrame([(1, "{ a = b; c = a; }")], "idx bigint, func string"))))
+    nodes = edges.withColumn("node_index", F.col("length")).withColumn("length", F.col("length") + 12)
+    links = G.span_links(nodes, nodes.select("idx", F.lit(3).cast("bigint").alias("col")).distinct().limit(1))
+    assert "aggregate(" in nodes._jdf.queryExecution().optimizedPlan().toString()
+    places_free = G.span_links(nodes, spark.createDataFrame([(1, 3)], "idx bigint, col bigint"))
+    assert "aggregate(" not in places_free._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, links.collect())) == sorted(map(tuple, places_free.collect()))
