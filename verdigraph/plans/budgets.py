@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from verdigraph.functions import arrays, text
 from verdigraph.operators import corpus as C
+from verdigraph.operators.scale import spread
 from verdigraph.plans import sqltext as S
 from verdigraph.plans.fixtures import CODE_SQL, CORPUS_SQL, code_corpus, corpus, text_list
 from verdigraph.plans.registry import query
@@ -153,8 +154,8 @@ def p9(t):
   unnest(d.l) WITH ORDINALITY AS u(w, i)) a) b""",
 )
 def p10(t):
-    spread = t.documents.select(F.col("doc_id").alias("idx"), "text").repartition("idx")
-    toks = spread.select("idx", F.posexplode(text.words("text")).alias("pos", "w"))
+    dealt = spread(t.documents.select(F.col("doc_id").alias("idx"), "text"), "idx", "text", 1 << 22)
+    toks = dealt.select("idx", F.posexplode(text.words("text")).alias("pos", "w"))
     return C.subtoken_spans(toks.select("idx", "pos", F.ceil(F.length("w") / 4).alias("n")))
 
 
