@@ -275,3 +275,16 @@ def test_sentences_need_no_spans(spark):
     plain = G.function_flow(rows, placed=False)
     assert plain.columns == G.function_flow(rows).columns[:-3]
     assert "Window" not in plain._jdf.queryExecution().executedPlan().toString()
+
+
+def test_edges_alone_carry_no_chains(spark):
+    assert "chains" not in G.def_use(corpus(spark, "{ a = b; c = a->d; }"))._jdf.queryExecution().optimizedPlan().toString()
+    pieces = record.statements(corpus(spark, "{ a = b; }"), "func", names=False)
+    assert "chains" not in pieces.columns and "ids" not in pieces.columns
+
+
+def test_kinds_of_tokens(spark):
+    texts = ["(", "->", "+=", "...", ".", ".5", "0x1F", "if", "size_t", "_a", "Z9", '"', '"s"', "'", "'c'", "#", "\\", "é", "", None]
+    kinds = ["op", "op", "op", "op", "op", "number", "number", "keyword", "type", "ident", "ident", "op", "string", "op", "char", "op", "op", "op", "op", "op"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string")
+    assert [r["k"] for r in rows.select("i", C.token_kind(F.col("x")).alias("k")).orderBy("i").collect()] == kinds
