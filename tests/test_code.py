@@ -288,3 +288,9 @@ def test_kinds_of_tokens(spark):
     kinds = ["op", "op", "op", "op", "op", "number", "number", "keyword", "type", "ident", "ident", "op", "string", "op", "char", "op", "op", "op", "op", "op"]
     rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string")
     assert [r["k"] for r in rows.select("i", C.token_kind(F.col("x")).alias("k")).orderBy("i").collect()] == kinds
+
+
+def test_values_computed_once_are_not_copied(spark):
+    """Steps of folds and transforms copy what they give, so a value bound once stands in the finish of a fold over nothing."""
+    plan = G.def_use(corpus(spark, "int f(int a) { while (a) { if (a > 1) a = g(a); else a--; } return a; }"))._jdf.queryExecution().optimizedPlan().toString()
+    assert not [bound for bound in ("aggregate(array(", "transform(array(") if bound in plan]
