@@ -91,3 +91,26 @@ def test_very_long_words():
     got = bpe.codec(BYTE_BPE, public_tokenizers.PATTERN).encode(rows)
     for row, ids in zip(rows, got):
         assert ids.tolist() == library.encode_ordinary(row), (row[:20], len(row))
+
+
+def test_a_slice_looks_each_distinct_piece_up_once():
+    class Counted(dict):
+        looked = 0
+
+        def get(self, key, default=None):
+            Counted.looked += 1
+            return super().get(key, default)
+
+        def __getitem__(self, key):
+            Counted.looked += 1
+            return super().__getitem__(key)
+
+    coder = tokenfile.WordEncoder(WORD_BPE)
+    coder.pieces = Counted(coder.pieces)
+    odd = ["", " ", " a  b ", "don't I'll 'S 's. it's, (foo) \"bar\" é.%! ª, µ. İx Ω.", "a\x85b c", "x<|endoftext|>y", "a\x1cb", "　a. 日本。"]
+    rows = [*odd, "one two, Two. " * 500]
+    found = coder.encode(rows)
+    plain = [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in rows]
+    assert [list(memoryview(x).cast("H")) for x in found] == plain
+    assert Counted.looked < 100
+    assert coder.encode([]) == []

@@ -21,10 +21,12 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from verdigraph.llm.common import arrow_map, hold, map_texts
+from verdigraph.llm.common import arrow_map, hold, map_texts, runs
 from verdigraph.session import scratch_path
 
 MAGIC = b"VGTF"
@@ -32,13 +34,16 @@ SHARD_IDS = 1 << 20
 SELECT_STEP = 64
 DOCS_PER_BUCKET = 4000
 MAX_BUCKETS = 20_000
-# Entries a worker keeps; what comes later, when the frequent words are in, is kept for its slice alone.
-KEPT_PIECES, KEPT_WORDS = 120_000, 100_000
+# Entries a worker keeps; what comes later, when the frequent words are in, is encoded once a slice.
+KEPT_PIECES, KEPT_WORDS = 50_000, 150_000
 ENCODE_BYTES = 1 << 20
 CONTROL_SPACE = re.compile("[\x1c-\x1f]")
 # The tokenizer's own split of a text without white space, for Latin-1 characters, where its
 # normalisation is lower-casing alone. Fixed value.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# Marks that stand together as one word behind letters; none opens an ending such as 's.
+TAIL = ".,;:!?%&$#*)\""
+LETTERS = "".join(filter(str.isalpha, map(chr, range(256))))
 
 
 class EliasFano:
@@ -128,8 +133,15 @@ class Shard:
         return head + b"".join(parts) + EliasFano.of(np.cumsum(sizes)).dump() + EliasFano.of(np.array(doc_ids)).dump()
 
 
+def listed(strings: pa.Array) -> list[str]:
+    return strings.to_numpy(zero_copy_only=False).tolist()
+
+
 class WordEncoder:
-    """Ids of texts, each distinct white-space-free piece encoded once by the library."""
+    """Ids of texts, each distinct word of a slice encoded once by the library.
+
+    Most pieces between white space are letters with marks behind them. Those are lower-cased and cut by columns; any other is split on its own.
+    """
 
     def __init__(self, path: str):
         import regex
@@ -139,7 +151,7 @@ class WordEncoder:
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.kind = "<u2" if self.width == 2 else "<u4"
         self.split = regex.compile(SPLIT)
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         from tokenizers.pre_tokenizers import ByteLevel
 
         shown = ByteLevel(add_prefix_space=False, use_regex=False)
@@ -150,39 +162,74 @@ class WordEncoder:
                 self.shown[b] = s
         # Tokens beside the model's own, which the library cuts out of a text before anything else.
         self.added = tuple({t.content for t in self.tokenizer.get_added_tokens_decoder().values()})
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {"": b""}
+        self.pieces: dict[str, bytes] = {"": b""}
 
     def _raw(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=self.kind).tobytes()
+        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words; the library sees those not held yet, each byte as its character."""
+        out = list(map(self.words.get, words))
+        missing = [k for k, ids in enumerate(out) if ids is None]
+        fresh = [words[k] for k in missing]
+        tokenize, ids, ends = self.tokenize, [], []
+        # No word holds a line's end, so it parts them.
+        for seen in "\n".join(fresh).encode().decode("latin-1").translate(self.shown).split(self.shown[10]) if fresh else ():
+            ids += [t.id for t in tokenize(seen)]
+            ends.append(self.width * len(ids))
+        data = self._raw(ids)
+        for k, a, b in zip(missing, [0, *ends], ends):
+            out[k] = data[a:b]
+        for word, k in zip(fresh[: max(0, KEPT_WORDS - len(self.words))], missing):
+            self.words[word] = out[k]
+        return out
 
-    def _word(self, word: str) -> bytes:
-        got = self.words.get(word)
+    def _piece(self, piece: str) -> bytes:
+        got = self.pieces.get(piece)
         if got is None:
-            seen = word if word.isascii() and word.isalnum() else word.encode().decode("latin-1").translate(self.shown)
-            got = self._raw([t.id for t in self.model.tokenize(seen)])
-            if len(self.words) < KEPT_WORDS:
-                self.words[word] = got
+            if not piece.isascii() and max(piece) > "ÿ":
+                got = self._raw(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+            else:
+                got = b"".join(self._words(self.split.findall(piece.lower())))
+            if len(self.pieces) < KEPT_PIECES:
+                self.pieces[piece] = got
         return got
 
-    def _piece(self, piece: str) -> bytes:
-        if max(piece) > "ÿ":
-            return self._raw(self.tokenizer.encode(piece, add_special_tokens=False).ids)
-        low = piece.lower()
-        if low.isalpha():
-            return self._word(low)
-        return b"".join(map(self._word, self.split.findall(low)))
+    def _parts(self, pieces: pa.Array) -> tuple[list[bytes], np.ndarray]:
+        """Distinct runs of ids, and for each piece the two that make it up: of its letters and its tail, or of all of it and none."""
+        rest = pc.utf8_ltrim(pieces, characters=LETTERS)
+        plain = pc.and_(pc.equal(pc.utf8_rtrim(rest, characters=TAIL), ""), pc.not_equal(rest, pieces))
+        words = pc.utf8_lower(pc.utf8_rtrim(pieces.filter(plain), characters=TAIL)).dictionary_encode()
+        tails = rest.filter(plain).dictionary_encode()
+        odd = listed(pieces.filter(pc.invert(plain)))
+        parts = [b"", *self._words(listed(words.dictionary)), *self._words(listed(tails.dictionary)), *map(self._piece, odd)]
+        both = np.zeros((len(pieces), 2), dtype=np.int64)
+        plain = plain.to_numpy(zero_copy_only=False)
+        both[plain, 0] = 1 + words.indices.to_numpy()
+        both[plain, 1] = 1 + len(words.dictionary) + tails.indices.to_numpy()
+        both[~plain, 0] = len(parts) - len(odd) + np.arange(len(odd))
+        return parts, both
 
     def encode(self, rows: list[str]) -> list[bytes]:
-        cut = [None if CONTROL_SPACE.search(t) or any(a in t for a in self.added) else t.split() for t in rows]
-        fresh = set().union(*[c for c in cut if c]) - self.pieces.keys()
-        self.pieces.update((p, self._piece(p)) for p in fresh)
-        get = self.pieces.__getitem__
-        whole = lambda t: self._raw(self.tokenizer.encode(t, add_special_tokens=False).ids)
-        out = [whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(rows, cut)]
-        if len(self.pieces) > KEPT_PIECES:
-            for p in fresh:
-                del self.pieces[p]
+        """Ids of each text: its pieces are named by number, their distinct words are looked up once, and numbers are turned into ids."""
+        out = [b""] * len(rows)
+        cut = []
+        for i, t in enumerate(rows):
+            if CONTROL_SPACE.search(t) or any(a in t for a in self.added):
+                out[i] = self._raw(self.tokenizer.encode(t, add_special_tokens=False).ids)
+            else:
+                cut.append(i)
+        split = pc.utf8_split_whitespace(pa.array([rows[i] for i in cut], pa.large_string()))
+        named = split.flatten().dictionary_encode()
+        parts, both = self._parts(named.dictionary)
+        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // self.width
+        at = both[named.indices.to_numpy()]
+        each = sizes[at]
+        data = np.frombuffer(b"".join(parts), dtype=self.kind)[runs((np.cumsum(sizes) - sizes)[at].ravel(), each.ravel())].tobytes()
+        ends = (self.width * np.append(0, np.cumsum(each.sum(axis=1)))[split.offsets.to_numpy()]).tolist()
+        for i, a, b in zip(cut, ends, ends[1:]):
+            out[i] = data[a:b]
         return out
 
 
