@@ -114,3 +114,34 @@ def test_a_slice_looks_each_distinct_piece_up_once():
     assert [list(memoryview(x).cast("H")) for x in found] == plain
     assert Counted.looked < 100
     assert coder.encode([]) == []
+
+
+def test_candidates_that_share_too_few_words_are_not_compared():
+    """Every passage is near every item here; only those that hold enough of its words are compared, and none that passes is left out."""
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(2000)]
+    texts = [r.choices(words, k=n) for n in (4, 7, 20, 40, 47, 60, 130)]
+    compared = []
+
+    class Watched(decontam.Item):
+        def compare(self, other):
+            compared.append(self.item_id)
+            return super().compare(other)
+
+    items = [Watched(k, " ".join(t[:-5]) + ". " + " ".join(t[-5:])) for k, t in enumerate(texts)]
+    rows = [" ".join(r.choices(words, k=r.randint(0, 400))) for _ in range(200)] + [""]
+    for k, t in enumerate(texts):
+        half = [w if i % 10 < 6 or i >= len(t) - 5 else "other" for i, w in enumerate(t)]
+        rows += [" ".join(r.choices(words, k=150) + part + r.choices(words, k=n)) for part in (t, half, t[: len(t) * 9 // 20]) for n in (0, 30, 200)]
+    vocabulary = {w: decontam.bucket(w) for i in items for w in i.words}
+    counts = np.ones(decontam.BUCKETS, dtype=np.int64)
+    for item in items:
+        item.weigh(counts > 0)
+    table, images = np.ones((decontam.BUCKETS, 2), dtype=np.float32), np.ones((len(items), 1), dtype=np.float32)
+    judge = decontam.Judge(vocabulary, table, images, items, counts, 1000)
+    found = judge.find(rows)
+    few = len(compared)
+    judge.possible = lambda b, passages, items: np.ones(len(passages), dtype=bool)
+    compared.clear()
+    assert judge.find(rows) == found and len(found) > 30
+    assert few * 5 < len(compared)

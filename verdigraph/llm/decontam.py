@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigraph.llm.blocks import grouped
-from verdigraph.llm.common import arrow_map, give_back, let_go, slices, texts
+from verdigraph.llm.common import arrow_map, give_back, let_go, runs, slices, texts
 
 BLOCK = 48
 BUCKETS = 8192
@@ -61,6 +61,8 @@ GRAM = 4
 RANGES = 64
 # Rows summed at once: few enough to stay in a core's cache.
 NEAR_BLOCKS, NEAR_TOKENS = 32, 1024
+# Passages, and words read for them, that are held side by side, a byte a bucket.
+NEAR_PASSAGES, NEAR_WORDS = 1024, 1 << 20
 SLICE = 1 << 20
 SCHEMA = "doc_id long, item_id long, cosine double, lcs_share double, answer boolean"
 TABLE = bytes((b + 32 if 65 <= b <= 90 else b) if b >= 0x80 or chr(b).isalnum() else 32 for b in range(256))
@@ -74,6 +76,12 @@ def bucket(word: bytes) -> int:
     return zlib.crc32(word) % BUCKETS
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The values in order, each once; they come nearly in order, where sorting takes a fraction of what ``np.unique`` takes."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 def lcs(item: list, masks: dict, other: list) -> int:
     """Length of the longest common subsequence, bit-parallel over the item; ``masks`` has each word's places."""
     full = (1 << len(item)) - 1
@@ -229,14 +237,14 @@ class Shared:
         if not self.chosen:
             return
         spot = self.spots[b.tokens]
-        held = np.unique(b.block[spot >= 0] * BUCKETS + spot[spot >= 0])
+        held = distinct(b.block[spot >= 0] * BUCKETS + spot[spot >= 0])
         block, spot = held // BUCKETS, held % BUCKETS
         # Each block is the first of the passage at its own place and the second of the one before.
         place = np.full(b.n + 1, -1)
         place[b.pairs] = np.arange(len(b.pairs))
         before = np.full(b.n + 1, -1)
         before[b.pairs[~b.single] + 1] = np.flatnonzero(~b.single)
-        both = np.unique(np.concatenate([(at[block] * BUCKETS + spot)[at[block] >= 0] for at in (place, before)]))
+        both = distinct(np.concatenate([(at[block] * BUCKETS + spot)[at[block] >= 0] for at in (place, before)]))
         passage, spot = both // BUCKETS, both % BUCKETS
         new = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]])) if len(passage) else passage
         for start in range(0, len(new), 4096):
@@ -272,11 +280,13 @@ def passage_counts(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[int,
             last = np.zeros(b.n, dtype=bool)
             last[b.n - 1 :] = True
             last[:-1] = b.doc[1:] != b.doc[:-1]
-            key = np.unique(b.block.astype(np.int64) * BUCKETS + b.tokens)
+            key = distinct(b.block.astype(np.int64) * BUCKETS + b.tokens)
             block, token = key // BUCKETS, key % BUCKETS
             multiplicity = 1 + ((b.index[block] > 0) & ~last[block])
             total += np.bincount(token, weights=multiplicity, minlength=BUCKETS).astype(np.int64)
-            following = np.isin(key + BUCKETS, key) & ~last[block]
+            near = np.flatnonzero(~last[block])
+            after = np.searchsorted(key, key[near] + BUCKETS)
+            following = near[key[np.minimum(after, len(key) - 1)] == key[near] + BUCKETS]
             total -= np.bincount(token[following], minlength=BUCKETS)
         yield {"bucket": np.append(np.arange(BUCKETS), -1), "n": np.append(total, n)}
 
@@ -359,6 +369,40 @@ class Judge:
     def __init__(self, vocabulary: dict[bytes, int], table: np.ndarray, images: np.ndarray, items: list[Item], counts: np.ndarray, n_passages: int):
         self.vocabulary, self.table, self.images, self.items = vocabulary, table, images, items
         self.sequences, self.shared = Sequences(items, counts), Shared(items, counts, n_passages)
+        # An item's words and its answer's, by bucket.
+        self.spots = [np.unique(np.array([bucket(w) for w in i.words], dtype=np.int64), return_counts=True) for i in items]
+        self.answers = [np.unique(np.array([bucket(w) for w in i.answer], dtype=np.int64)) for i in items]
+
+    def possible(self, b: Blocks, passages: np.ndarray, items: np.ndarray) -> np.ndarray:
+        """Which (passage, item) share enough words to pass ``compare``: a subsequence holds no word that the stretch compared does not hold.
+
+        Items look at stretches of their own length rounded up to blocks, so a few tables of the words at hand serve all.
+        """
+        out = np.zeros(len(passages), dtype=bool)
+        around = np.array([-(-len(i.words) // BLOCK) * BLOCK for i in self.items], dtype=np.int64)[items]
+        for reach in np.unique(around).tolist():
+            chosen = np.flatnonzero(around == reach)
+            used, row = np.unique(passages[chosen], return_inverse=True)
+            block = b.pairs[used]
+            doc, at = b.doc[block], b.index[block] * BLOCK
+            low = np.maximum(at - reach, 0)
+            sizes = np.minimum(at + 2 * BLOCK + reach, b.sizes[doc]) - low
+            ends, start = np.cumsum(sizes), 0
+            while start < len(used):
+                full = int(np.searchsorted(ends, ends[start] - sizes[start] + NEAR_WORDS, side="right"))
+                end = max(start + 1, min(start + NEAR_PASSAGES, full))
+                held = np.zeros((end - start, BUCKETS + 1), dtype=bool)  # the last for words of no item
+                held[np.repeat(np.arange(end - start), sizes[start:end]), b.all[runs((b.starts[doc] + low)[start:end], sizes[start:end])]] = True
+                near = np.flatnonzero((row >= start) & (row < end))
+                which, place = items[chosen[near]], row[near] - start
+                for k in np.unique(which).tolist():
+                    own = np.flatnonzero(which == k)
+                    spots, times = self.spots[k]
+                    share = (held[place[own][:, None], spots] @ times.astype(np.float32)).astype(np.float64) / len(self.items[k].words)
+                    told = held[place[own][:, None], self.answers[k]].all(axis=1) & (len(self.answers[k]) > 0)
+                    out[chosen[near[own]]] = share >= np.where(told, ANSWERED_SHARE, LCS_SHARE)
+                start = end
+        return out
 
     def find(self, rows: list[str]) -> dict[tuple[int, int], list]:
         """Cosine, share and answer of every (text, item) where the text holds the item."""
@@ -378,7 +422,9 @@ class Judge:
 
         for start in range(0, len(sums), 8192):
             cosine = sums[start : start + 8192, :-1] @ self.images.T / norm[start : start + 8192, None]
-            for p, k in zip(*np.nonzero(cosine >= MIN_COSINE)):
+            near, items = np.nonzero(cosine >= MIN_COSINE)
+            passes = self.possible(b, start + near, items)
+            for p, k in zip(near[passes], items[passes]):
                 block = b.pairs[start + p]
                 at = int(b.index[block]) * BLOCK
                 compare(int(b.doc[block]), int(k), at, at + 2 * BLOCK, float(cosine[p, k]))
