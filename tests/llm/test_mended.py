@@ -1,6 +1,7 @@
 """Cases that went wrong before: each with the input that showed it."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -8,7 +9,7 @@ import public_tokenizers
 import tiktoken
 from tokenizers import Tokenizer
 
-from verdigraph.llm import bpe, decontam, imi, pii, quality, tokenfile
+from verdigraph.llm import blocks, bpe, decontam, imi, pii, quality, tokenfile
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -145,3 +146,27 @@ def test_candidates_that_share_too_few_words_are_not_compared():
     compared.clear()
     assert judge.find(rows) == found and len(found) > 30
     assert few * 5 < len(compared)
+
+
+def test_hashes_and_their_least_are_found_in_parts():
+    """Runs of units hash and compare in parts that fit a cache: the memory taken is that of the result, and the parts' borders do not show."""
+    r = np.random.default_rng(7)
+    units = r.integers(0, 1 << 62, 1 << 20).astype(np.uint64)
+    for fn, size in ((blocks.rolling, 16), (blocks.window_least, 35)):
+        tracemalloc.start()
+        out = fn(units, size)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 1.5 * out.nbytes
+    least = blocks.window_least(units, 35)
+    for at in (0, 1, blocks.NEAR - 35, blocks.NEAR - 1, blocks.NEAR, len(least) - 1):
+        assert least[at] == at + int(units[at : at + 35].argmin())
+    few = r.integers(0, 5, blocks.NEAR + 40).astype(np.uint64)
+    for size in (1, 2, 5, 16, 20):
+        hashed = blocks.rolling(few, size)
+        for at in (0, blocks.NEAR - 1, blocks.NEAR, len(few) - size):
+            total = 0
+            for x in few[at : at + size].tolist():
+                total = (total * int(blocks.BASE) + x) % 2**64
+            assert hashed[at] == blocks.mix(np.array([total], dtype=np.uint64))[0]
+    assert len(blocks.rolling(few[:3], 4)) == len(blocks.window_least(few[:3], 4)) == 0
