@@ -9,7 +9,7 @@ import public_tokenizers
 import tiktoken
 from tokenizers import Tokenizer
 
-from verdigraph.llm import blocks, bpe, decontam, imi, pii, quality, tokenfile
+from verdigraph.llm import blocks, bpe, decontam, imi, jaccard, pii, quality, tokenfile
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -170,3 +170,20 @@ def test_hashes_and_their_least_are_found_in_parts():
                 total = (total * int(blocks.BASE) + x) % 2**64
             assert hashed[at] == blocks.mix(np.array([total], dtype=np.uint64))[0]
     assert len(blocks.rolling(few[:3], 4)) == len(blocks.window_least(few[:3], 4)) == 0
+
+
+def test_documents_meet_the_ids_that_go(spark):
+    """Of many documents few go: the ids of those that stay are not sent to the documents, nor are the documents moved for them."""
+    text = [" ".join(f"w{(i * 7 + k) % 977}{'x' * (i % 3)}" for k in range(12)) for i in range(400)]
+    rows = [(i, t) for i, t in enumerate(text)]
+    rows += [(1000, text[3]), (1001, text[5] + " more"), (7, text[7]), (8, "another text of id eight"), (9, text[4]), (1000, text[3]), (None, text[3]), (None, text[3]), (2000, None), (2001, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    links = {(r["doc_id"], r["component_id"]) for r in jaccard.link(docs).collect()}
+    stay = {d for d, c in links if d == c}
+    kept = jaccard.one_of_each(docs)
+    expected = sorted({(d, t or "") for d, t in rows if d in stay}) + [(None, text[3])] * 2
+    got = [(r["doc_id"], r["text"] or "") for r in kept.collect()]
+    assert sorted((g for g in got if g[0] is not None)) + [g for g in got if g[0] is None] == expected
+    assert 1000 not in stay and {2000, 2001, 7, 8, 9} <= stay
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "LeftSemi" not in plan
