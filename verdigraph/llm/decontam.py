@@ -62,7 +62,7 @@ RANGES = 64
 # Rows summed at once: few enough to stay in a core's cache.
 NEAR_BLOCKS, NEAR_TOKENS = 32, 1024
 # Passages, and words read for them, that are held side by side, a byte a bucket.
-NEAR_PASSAGES, NEAR_WORDS = 1024, 1 << 20
+NEAR_PASSAGES, NEAR_WORDS = 256, 1 << 16
 SLICE = 1 << 20
 SCHEMA = "doc_id long, item_id long, cosine double, lcs_share double, answer boolean"
 TABLE = bytes((b + 32 if 65 <= b <= 90 else b) if b >= 0x80 or chr(b).isalnum() else 32 for b in range(256))
