@@ -84,3 +84,23 @@ def test_links_do_not_plan_their_nodes_again(spark):
     places_free = G.span_links(nodes, spark.createDataFrame([(1, 3)], "idx bigint, col bigint"))
     assert "aggregate(" not in places_free._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, links.collect())) == sorted(map(tuple, places_free.collect()))
+
+
+def test_unrolled_spans_are_not_sent_to_all_tasks(spark):
+    """A guess by the packed source takes unrolled rows for small, and the driver would hold them all."""
+    nodes = spark.range(9).selectExpr("id % 3 AS idx", "id AS pos", "id AS node", "array(id) AS dep_nodes")
+    spans = spark.range(9).selectExpr("id % 3 AS idx", "id AS pos", "2 * id AS start", "2 * id + 2 AS end")
+    placed = G.place_nodes(nodes, spans, 12)
+    met = overlaps(spans.select("idx", "start", "end"), spans.select("idx", "start", "end"), ["idx"])
+    for df, joins in ((placed, 2), (met, 1)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == joins and "Broadcast" not in plan
+    assert placed.count() == 9 and met.count() == 9
+
+
+def test_bounds_keep_their_types(spark):
+    left = spark.sql("SELECT 'k' AS k, CAST(1 AS INT) AS start, CAST(4 AS SMALLINT) AS end, 'a' AS x")
+    right = spark.sql("SELECT 'k' AS k, 2.5D AS start, CAST(3 AS BIGINT) AS end, CAST(NULL AS STRING) AS y")
+    met = overlaps(left, right, ["k"])
+    assert dict(met.dtypes)["left"] == "struct<start:int,end:smallint,x:string>" and dict(met.dtypes)["right"] == "struct<start:double,end:bigint,y:string>"
+    assert [tuple(r["left"]) + tuple(r["right"]) for r in met.collect()] == [(1, 4, "a", 2.5, 3, None)]
