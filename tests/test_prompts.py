@@ -140,3 +140,15 @@ def test_with_context(spark):
     contexts = spark.createDataFrame([(1, "api_call", "A"), (1, "data_flow", "D"), (3, "api_call", "B")], "idx bigint, kind string, text string")
     got = P.with_context(rows, contexts, F.col("kind")).collect()
     assert sorted((r["idx"], r["kind"], r["context"]) for r in got) == [(1, "api_call", "A"), (1, "data_flow", "D"), (2, "api_call", ""), (3, "None", "")]
+
+
+def test_texts_of_the_corpus_are_not_sent_to_all_tasks(spark):
+    """Draws, worked examples and contexts have a row a function, or several, whatever the packed source weighs."""
+    rows = spark.range(6).selectExpr("id AS idx", "concat('f', id) AS func")
+    shots = spark.range(8).selectExpr("concat('s', id) AS func", "CAST(id % 2 AS INT) AS target", "id DIV 2 AS pair_id", "CAST(id % 2 AS INT) AS pos_in_pair")
+    contexts = spark.range(6).selectExpr("id AS idx", "'api_call' AS kind", "concat('c', id) AS text")
+    ready = P.attach_contexts(P.few_shot(rows, shots, 2, seed=1), contexts)
+    plan = ready._jdf.queryExecution().executedPlan().toString()
+    # Drawn numbers meet the pool, then its blocks; the corpus meets its examples and its contexts. The pool's ranks alone meet a row a block.
+    assert plan.count("SortMergeJoin") >= 4 and not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "[_key#" not in x]
+    assert ready.where("user IS NULL OR contexts.api_call IS NULL").count() == 0 and ready.count() == 6

@@ -11,6 +11,7 @@ from verdigraph.functions import prompt_text as fixed
 from verdigraph.functions.text import collapse_ws
 from verdigraph.operators.corpus import RESERVE_HOSTED, RESERVE_LOCAL, fit_budget
 from verdigraph.operators.scale import rank_rows
+from verdigraph.session import by_merge
 
 
 def answer_text(target: Column) -> Column:
@@ -107,7 +108,7 @@ def draw_pairs(df: DataFrame, shots: DataFrame, n: int, seed: int, key: str = "i
     """key, slot, pair_id: ``n`` distinct stored pairs for each row, drawn by their rank in the pool."""
     ranked = rank_rows(shots.select("pair_id").distinct(), ["pair_id"], name="_pick")
     drawn = sample_pairs(df.select(key), ranked.count(), n, seed, key)
-    return drawn.select(key, F.posexplode("picks").alias("slot", "_pick")).join(ranked, "_pick").select(key, "slot", "pair_id")
+    return drawn.select(key, F.posexplode("picks").alias("slot", "_pick")).join(by_merge(ranked), "_pick").select(key, "slot", "pair_id")
 
 
 def few_shot(df: DataFrame, shots: DataFrame, n: int, seed: int | None = None, code: str = "func") -> DataFrame:
@@ -122,11 +123,11 @@ def few_shot(df: DataFrame, shots: DataFrame, n: int, seed: int | None = None, c
         ordered = F.array_sort(F.collect_list(F.struct("pair_id", "pos_in_pair", shot_block(F.col("func"), F.col("target")).alias("block"))))
         examples = first_shots(shots, n).agg(F.array_join(F.transform(ordered, lambda x: x["block"]), "").alias("block"))
         return out.withColumn("user", F.concat(examples.scalar(), question))
-    drawn = draw_pairs(df, shots, n, seed).join(pair_blocks(shots), "pair_id")
+    drawn = draw_pairs(df, shots, n, seed).join(by_merge(pair_blocks(shots)), "pair_id")
     listed = F.array_sort(F.collect_list(F.struct("slot", "block")))
     told = drawn.groupBy("idx").agg(F.array_join(F.transform(listed, lambda x: x["block"]), "").alias("_blocks"), F.count(F.lit(1)).alias("_n"))
     held = F.when(F.col("_n") == n, F.col("_blocks")).otherwise(F.raise_error(F.lit("an example block is missing")))
-    return out.join(told, "idx", "left").withColumn("user", F.concat(held, question)).drop("_blocks", "_n")
+    return out.join(by_merge(told), "idx", "left").withColumn("user", F.concat(held, question)).drop("_blocks", "_n")
 
 
 def route(model: Column) -> Column:
@@ -199,7 +200,7 @@ def attach_contexts(df: DataFrame, contexts: DataFrame) -> DataFrame:
     """
     texts = [F.max(F.when(F.col("kind") == k, F.col("text"))).alias(k) for k in fixed.CONTEXT_LABELS]
     per_text = contexts.groupBy("idx").agg(*texts).select("idx", F.struct(*fixed.CONTEXT_LABELS).alias("contexts"))
-    return df.join(per_text, "idx", "left")
+    return df.join(by_merge(per_text), "idx", "left")
 
 
 def context_of(kind: Column) -> Column:
