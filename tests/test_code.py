@@ -294,3 +294,12 @@ def test_values_computed_once_are_not_copied(spark):
     """Steps of folds and transforms copy what they give, so a value bound once stands in the finish of a fold over nothing."""
     plan = G.def_use(corpus(spark, "int f(int a) { while (a) { if (a > 1) a = g(a); else a--; } return a; }"))._jdf.queryExecution().optimizedPlan().toString()
     assert not [bound for bound in ("aggregate(array(", "transform(array(") if bound in plan]
+
+
+def test_spans_need_no_names(spark):
+    rows = corpus(spark, "{ a = b; c = a->d[e]; f(c); }", "int f(int n) { while (n) n = g(n); return n; }")
+    cols = ["idx", "pos", "var", "rel", "deps", "dep_pos", "start", "end", "length"]
+    bare = G.function_flow(rows, names=False)
+    assert "chains" not in bare._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, bare.select(cols).collect())) == sorted(map(tuple, G.function_flow(rows).select(cols).collect()))
+    assert bare.where("end > start").count() > 0
