@@ -303,3 +303,29 @@ def test_spans_need_no_names(spark):
     assert "chains" not in bare._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, bare.select(cols).collect())) == sorted(map(tuple, G.function_flow(rows).select(cols).collect()))
     assert bare.where("end > start").count() > 0
+
+
+def test_sentences_unroll_no_edges(spark):
+    """Edges of a function find each other in its one row: nothing is unrolled, and one window counts occurrences."""
+    edge = "idx int, node int, var string, rel string, deps array<string>, dep_nodes array<int>, told boolean"
+    rows = [
+        (1, 0, "a", "comesFrom", [], [], True), (1, 1, "b", "computedFrom", ["a"], [0], True), (1, 3, "a", "comesFrom", ["a", "b"], [0, None, 1, 2], True),
+        (1, 5, "b", "comesFrom", ["a", None], [3, 1, 5], True), (1, 6, "c", "comesFrom", ["c"], [9], True), (1, 7, "d", "comesFrom", ["b"], [5], False),
+        (2, 0, "x", "comesFrom", ["x"], [], True), (None, 0, "y", "comesFrom", ["y"], [0], True), (3, 0, "z", "comesFrom", None, None, True), (3, 1, "z", "comesFrom", ["z"], [0], None),
+    ]
+    told = G.flow_sentences(spark.createDataFrame(rows, edge))
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("+- Window") == 1
+    got = {r["idx"]: r["text"] for r in told.collect()}
+    first = "The 1st b is computed from the 1st a. The 2nd a comes from the 1st a and the 1st a. "
+    assert got == {1: first + "The 2nd b comes from the 2nd a, and the 2nd a. ", None: "The 1st y comes from the 1st y. "}
+
+
+def test_names_of_chains(spark):
+    source = "struct s f(my_t *p, int n) { p->a[i].b = q[j] + n; r.x = if_ + Z9; g(p->h(n)); my_t w; }"
+    rows = record.statements(corpus(spark, source)).orderBy("stmt").collect()
+    assert sorted({i for r in rows for i in r["ids"]}) == ["Z9", "f", "g", "i", "if_", "j", "my_t", "n", "p", "q", "r", "w"]
+    texts = ["", "a", "_", "9", "if", "int", "a->b", "(", "é", None]
+    marked = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string")
+    both = marked.select((C.token_kind(F.col("x")) == "ident").alias("k"), C.is_ident(F.col("x")).alias("j")).collect()
+    assert all(r["k"] == r["j"] for r in both)
